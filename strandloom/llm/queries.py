@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, media, packing, secrets
+from strandloom.llm import bpe, media, merkle, packing, secrets
 from strandloom.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op6_bpe, op7_media, op9_secrets)}
+    return {f.__name__: f for f in (op3_packing, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
