@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, media, merkle, ngram_join, packing, secrets
+from strandloom.llm import bpe, media, merkle, ngram_join, packing, secrets, substring
 from strandloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -44,7 +48,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_ngram_join, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
