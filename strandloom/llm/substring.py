@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import bucket_cuts, mix, pack_ints, pack_u64, scan_parts, unpack_ints, unpack_u64
 
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 16, 256, 160
+LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 16, 256, 200
 SEGMENT = 1 << 20
 
 
