@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, media, merkle, ngram_join, packing, secrets, substring
+from strandloom.llm import bpe, lm, media, merkle, ngram_join, packing, secrets, substring
 from strandloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
@@ -48,7 +52,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_lm, op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
