@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, lm, media, merkle, ngram_join, packing, secrets, substring
-from strandloom.llm.common import table
+from strandloom.llm import bpe, html, langid, lm, media, merkle, ngram_join, packing, secrets, substring
+from strandloom.llm.common import crc_mod, table
 
 
 def tokenizer(name: str) -> str:
@@ -22,6 +22,13 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs, folds=4, held_out=2)
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text", held_out), net, ["doc_id", "held_out"])
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
@@ -43,6 +50,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -52,7 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_lm, op2_langid, op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op8_html, op9_secrets, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
