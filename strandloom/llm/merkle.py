@@ -80,13 +80,15 @@ def edited(docs: DataFrame) -> DataFrame:
     The text is shuffled once, by id; it meets its predecessor's id there, and only the piece that the predecessor takes
     over and the leaves go on to the second join.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    kind, none = docs.schema["doc_id"].dataType, -(2**63)
+    # Both joins take the same two columns by the same key, so that Spark shuffles the texts once.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     need = base.groupBy("k").agg(F.max(F.length("text")).alias("most"))
     order = next_ids(need).join(need, "k").select(F.col("k").alias("of"), F.col("next_k").alias("k"), F.expr("most div 3").alias("most"))
     stands = base.join(order, "k").select("of", F.expr("substring(text, 1, cast(most as int))").alias("head"), F.sha2("text", 256).alias("digest"), tree(F.col("text")).alias("next_tree"))
     stands = stands.select("of", "digest", "head", leaves(F.col("next_tree")).alias("next_leaves"), F.substring(fingerprint(F.col("next_tree")), 1, 32).alias("next_root"))
     stands = stands.groupBy("of").agg(F.min_by(F.struct("head", "next_leaves", "next_root"), "digest").alias("next"))
-    met = base.join(stands, F.col("k") == F.col("of")).select("doc_id", "text", "next", F.length("text").alias("n_chars"))
+    met = base.join(stands, F.col("k") == F.col("of")).select(F.when(F.col("k") != none, F.col("k")).cast(kind).alias("doc_id"), "text", "next", F.length("text").alias("n_chars"))
     cut = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next.head, 1, cast(n_chars div 3 as int)))")
     grown = met.select("doc_id", "n_chars", "next", tree(F.col("text")).alias("t"), cut.alias("edited"))
     grown = grown.select("doc_id", "n_chars", "next", "t", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("e"))
