@@ -97,7 +97,7 @@ def candidates(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFr
     def keys(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sets = [s for _, s in _chosen(left, right, n)]
         if not sets:
-            return pd.DataFrame({"block": [], "bucket": [], "keys": []})
+            return pd.DataFrame({"block": [], "bucket": [], "keys": [], "counts": []})
         short, count = np.unique(np.concatenate(sets) >> SHORT, return_counts=True)
         cuts = bucket_cuts(short << SHORT, parts)
         filled = np.flatnonzero(np.diff(cuts))
@@ -132,7 +132,7 @@ def candidates(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFr
                 if len(first_at):
                     for k, v in zip(out, (doc, len(s), s[first[first_at]].view(np.int64), first_at.astype(np.int32), pack_u64(s)), strict=True):
                         out[k].append(v)
-        return pd.DataFrame(out)
+        return pd.DataFrame({k: pd.Series(v, dtype="int64" if k in ("doc_id", "n") else "object") for k, v in out.items()})
 
     return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(prefixes, "doc_id long, n long, grams array<long>, at array<int>, packed binary")
 
