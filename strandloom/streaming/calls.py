@@ -9,6 +9,6 @@ from strandloom.sources.text import dtc_parse, dtc_scan
 
 
 def call_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed calls of every file that lands in a folder; ord is the place in a micro-batch, file tells the source."""
-    lines = spark.readStream.text(folder).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+    """Parsed calls of every file that lands in a folder; file tells the source."""
+    lines = spark.readStream.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
     return dtc_parse(dtc_scan(lines))
