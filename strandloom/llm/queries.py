@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, html, langid, lm, media, merkle, ngram_join, packing, secrets, substring
 from strandloom.llm.common import crc_mod, table
+from strandloom.llm.oracles import ORACLES
 
 
 def tokenizer(name: str) -> str:
@@ -67,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
