@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import convert, infer, lift, panel
 from strandloom.sinks import plink, report, vcf
-from strandloom.sources import text
+from strandloom.sources import bcf, text
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,10 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
     """(tagged variant rows, contig table, inferred facts)."""
     blocks = text.fasta_blocks(text.read_lines(spark, cfg.reference)).cache()
     contigs = contig_table(blocks).cache()
-    lines = text.read_lines(spark, cfg.input)
     kind = cfg.input_format
     if kind == "auto":
-        first = lines.limit(1).first()
-        kind = text.detect_format((first["line"] if first else "").encode(), cfg.input)
+        kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
+    lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
     facts: dict = {"input_format": kind}
     if kind == "dtc":
         parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos")
@@ -60,8 +59,8 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         rows = convert.dtc_to_variant(good, contigs, blocks, facts["sex"], cfg.assembly, strand == "reverse", cfg.variants_only)
         bad = parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason"))
         rows = rows.unionByName(bad, allowMissingColumns=True)
-    elif kind == "vcf":
-        parsed = text.vcf_scan(lines)
+    elif kind in ("vcf", "bcf"):
+        parsed = text.vcf_scan(lines) if kind == "vcf" else bcf.read(spark, cfg.input).withColumn("error", F.lit(None).cast("string"))
         facts["sex"] = cfg.sex or "unknown"
         from strandloom.operators.reference import reference_base, resolve_contig
 
@@ -90,9 +89,13 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
         indexed = panel.panel_alt_index(panel.harmonize(panel.panel_join(out, sites)), [F.col("ord")])
         out = panel.inject(indexed).withColumn("symbolic", F.col("alts"))
         panel.padded(sites, indexed).write.mode("overwrite").parquet(cfg.output + "_panel")
+    names = [(r["contig"], r["length"]) for r in contigs.orderBy("contig_idx").collect()]
+    head = vcf.header(names, cfg.sample, cfg.assembly, cfg.reference)
     if cfg.output_format == "vcf":
-        names = [(r["contig"], r["length"]) for r in contigs.orderBy("contig_idx").collect()]
-        vcf.write(out, vcf.header(names, cfg.sample, cfg.assembly, cfg.reference), cfg.output)
+        vcf.write(out, head, cfg.output)
+    elif cfg.output_format == "bcf":
+        records = out.orderBy(*convert.order_keys()).select("chrom", "pos", "id", "ref", F.col("symbolic").alias("alts"), F.array("gt").alias("gts"))
+        bcf.blocks(records, head).write.mode("overwrite").parquet(cfg.output)
     else:
         site = out.withColumn("ids", F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id"))).withColumn("gts", F.array("gt"))
         plink.bim(site).write.mode("overwrite").parquet(cfg.output + "_bim")

@@ -43,6 +43,22 @@ def detect_format(head: bytes, path: str) -> str:
     return "bcf" if path.endswith((".bcf", ".bcf.gz")) else "dtc"
 
 
+def peek(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of the first file without its layers; of a packed file its first 64 KB are enough for that."""
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
+    data = bytes(first["c"]) if first else b""
+    for _ in range(MOST_LAYERS):
+        if data[:2] == b"\x1f\x8b":
+            data = zlib.decompressobj(31).decompress(data, 1 << 16)
+        elif data[:4] == b"PK\x03\x04":
+            name, extra = int.from_bytes(data[26:28], "little"), int.from_bytes(data[28:30], "little")
+            rest = data[30 + name + extra :]
+            data = zlib.decompressobj(-15).decompress(rest, 1 << 16) if data[8] == 8 else rest
+        else:
+            break
+    return data
+
+
 def read_lines(spark: SparkSession, path: str, layered: bool | None = None) -> DataFrame:
     """(ord, line). Plain text is read and split by Spark; files with layers are unpacked one file to a task.
 
