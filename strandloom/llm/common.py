@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,15 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """int64 counts, mostly small: byte planes, entropy-coded."""
+    return zstandard.ZstdCompressor(level=1).compress(pack_ints(x))
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return unpack_ints(zstandard.ZstdDecompressor().decompress(b))
+
+
 def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Start of each bucket in sorted uint64 keys: buckets are equal ranges of the key space."""
     edges = (np.arange(buckets + 1, dtype=np.float64) * (2.0**64 / buckets)).clip(0, 2.0**64 - 2048).astype(np.uint64)

@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bucket_cuts, crc_mod, mix, pack_ints, pack_u64, scan_parts, unpack_ints, unpack_u64, words, written
+from strandloom.llm.common import bucket_cuts, crc_mod, mix, pack_counts, pack_ints, pack_u64, scan_parts, unpack_counts, unpack_ints, unpack_u64, words, written
 from strandloom.llm.ngram_join import P, word_hashes
 
 END = np.uint64(0x656E64)
+#: Unigram keys have 64 bits, bigram keys 56, which travel in a byte less.
+BIGRAM_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
+BLOCKS_A_PART = 6
 DEFAULT = (0.1, 0.5, 0.4)
 LEAST_WEIGHT = 1e-5
 STEPS, GRID = 60, 4.0
@@ -38,7 +41,7 @@ def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     n = np.array([len(e) for e in each], np.int64)
     flat = np.concatenate(each) if each else np.empty(0, np.uint64)
     before = np.concatenate([[END], flat[:-1]]) if len(flat) else flat  # a text's first token follows another text's end
-    return mix(flat), mix(before * P + flat + np.uint64(1)), n
+    return mix(flat), mix(before * P + flat + np.uint64(1)) & BIGRAM_BITS, n
 
 
 def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,9 +49,9 @@ def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     uni, bi, n = keys_of(t.column("text").to_pylist())
     fold = np.repeat(t.column("fold").to_numpy(), n)
     keys, where = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-    both = np.concatenate([fold, fold])
-    train = np.bincount(where, both >= 0, len(keys)).astype(np.int64)
-    return keys, train, np.bincount(where, both == 1, len(keys)).astype(np.int64), where[: len(uni)], where[len(uni) :], n
+    uni, bi = where[: len(uni)], where[len(uni) :]
+    count = lambda mask: np.bincount(uni[mask], minlength=len(keys)) + np.bincount(bi[mask], minlength=len(keys))
+    return keys, count(fold >= 0), count(fold == 1), uni, bi, n
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     fold: -1 held out, 0 training, 1 training and deleted for EM.
     """
-    parts = 2 * scan_parts(docs)
+    parts = BLOCKS_A_PART * scan_parts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocked = docs.select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("block"))
 
@@ -68,25 +71,25 @@ def counted(docs: DataFrame) -> DataFrame:
         edge = bucket_cuts(keys, parts)
         full = np.flatnonzero(np.diff(edge)).tolist()
         col = lambda f, x: pa.array([f(x[edge[b] : edge[b + 1]]) for b in full], pa.binary())
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "keys": col(pack_u64, keys), "train": col(pack_ints, train * 2 + single), "deleted": col(pack_ints, deleted)})
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "keys": col(pack_u64, keys), "train": col(pack_counts, train * 2 + single), "deleted": col(pack_counts, deleted)})
 
     def add(t: pa.Table) -> pa.Table:
         got = [unpack_u64(b) for b in t.column("keys").to_pylist()]
         keys, where = np.unique(np.concatenate(got), return_inverse=True)
-        train = np.concatenate([unpack_ints(b) for b in t.column("train").to_pylist()])
+        train = np.concatenate([unpack_counts(b) for b in t.column("train").to_pylist()])
         total = np.bincount(where, train >> 1, len(keys)).astype(np.int64)
-        fold = np.bincount(where, np.concatenate([unpack_ints(b) for b in t.column("deleted").to_pylist()]), len(keys)).astype(np.int64)
+        fold = np.bincount(where, np.concatenate([unpack_counts(b) for b in t.column("deleted").to_pylist()]), len(keys)).astype(np.int64)
         first = np.full(len(keys), len(where))
         np.minimum.at(first, where, np.arange(len(where)))
         told = (first[where] == np.arange(len(where))) & (train & 1 > 0) & (total[where] > 0)  # each word type is answered for once
         split = np.cumsum([len(g) for g in got])[:-1]
-        col = lambda x: pa.array([pack_ints(p) for p in np.split(x, split)], pa.binary())
+        col = lambda x: pa.array([pack_counts(p) for p in np.split(x, split)], pa.binary())
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": col(total[where] * 2 + told), "fold_total": col(fold[where])})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        total = np.concatenate([unpack_ints(b) for b in right.column("total").to_pylist()])
-        fold = np.concatenate([unpack_ints(b) for b in right.column("fold_total").to_pylist()])
+        total = np.concatenate([unpack_counts(b) for b in right.column("total").to_pylist()])
+        fold = np.concatenate([unpack_counts(b) for b in right.column("fold_total").to_pylist()])
         _, _, _, uni, bi, n = _distinct(left)
         count, rest = total >> 1, (total >> 1) - fold
         folds, ends = left.column("fold").to_pylist(), np.cumsum(n)
