@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import convert, infer, lift, panel
+from strandloom.sinks import panel as panel_sink
 from strandloom.sinks import plink, report, vcf
 from strandloom.sources import bcf, text
 
@@ -88,7 +89,9 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
         sites = text.panel_sites(text.vcf_scan(text.read_lines(spark, cfg.panel)).where("error is null"))
         indexed = panel.panel_alt_index(panel.harmonize(panel.panel_join(out, sites)), [F.col("ord")])
         out = panel.inject(indexed).withColumn("symbolic", F.col("alts"))
-        panel.padded(sites, indexed).write.mode("overwrite").parquet(cfg.output + "_panel")
+        grown = panel.padded(sites, indexed)
+        order = [r["contig"] for r in contigs.orderBy("contig_idx").collect()]
+        panel_sink.write(grown, ["##fileformat=VCFv4.5", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"], order, cfg.output + "_panel")
     names = [(r["contig"], r["length"]) for r in contigs.orderBy("contig_idx").collect()]
     head = vcf.header(names, cfg.sample, cfg.assembly, cfg.reference)
     if cfg.output_format == "vcf":

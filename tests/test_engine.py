@@ -56,6 +56,8 @@ def test_panel_run(spark, tmp_path):
         site = put(tmp_path, f"p{alt}.vcf", f"##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t1500\t.\tT\t{alt}\t.\t.\t.\n")
         convert_file(spark, Config(calls, fasta, str(tmp_path / f"o{alt}"), sex="female", panel=site))
         assert [x.split("\t")[4] for x in body(str(tmp_path / f"o{alt}")) if "\t1500\t" in x] == [alts]
+        panel = [x.split("\t") for x in body(str(tmp_path / f"o{alt}_panel"))[1:]]
+        assert [(x[1], x[4]) for x in panel if x[1] == "1500"] == [("1500", ",".join(dict.fromkeys([alt, "A", "G"])))] and [int(x[1]) for x in panel] == sorted(int(x[1]) for x in panel)
 
 
 def test_vcf_with_lift(spark, tmp_path):
@@ -120,3 +122,24 @@ def test_bcf_round_trip(spark, tmp_path):
     assert got == [(1, "A", ["C", "G"], "1|2"), (6, "C", ["T"], "./."), (9, "A", ["<DEL>"], "0")]
     assert convert_file(spark, Config(path, fasta, str(tmp_path / "again"), sex="female")) == {"variant_records": 3}
     assert [x.split("\t")[-1] for x in body(str(tmp_path / "again"))[1:]] == ["1|2", "./.", "0"]
+
+
+def test_panel_samples_and_order(spark):
+    from strandloom.sinks.panel import panel_lines, sample_fields
+
+    assert sample_fields(2, ["DP", "GT"]) == "GT:DP\t./.:.\t./.:." and sample_fields(0, []) == ""
+    with pytest.raises(ValueError):
+        sample_fields(1, [])
+    df = spark.createDataFrame([("chr2", 5, "A", ["C"], "original"), ("1", 9, "A", ["C"], "original"), ("1", 3, "T", ["G"], "novel"), ("zz", 1, "A", [], "novel")], "chrom string, pos long, ref string, alts array<string>, kind string")
+    got = [r["line"].split("\t")[:5] for r in panel_lines(df, ["1", "2"]).orderBy("rank", "tail", "pos").collect()]
+    assert got == [["1", "3", "1:3:T:G", "T", "G"], ["1", "9", ".", "A", "C"], ["chr2", "5", ".", "A", "C"], ["zz", "1", "zz:1:A:.", "A", "."]]
+
+
+def test_command_line():
+    from strandloom.plans.cli import config, sample_name, summary_lines
+
+    c = config(["a.b.txt", "out", "--reference", "r.fa", "--sex", "male", "--format", "plink", "--infer-strand"])
+    assert (c.sample, c.sex, c.output_format, c.strand) == ("a_b", "male", "plink", None) and sample_name("x://h/q.vcf") == "q"
+    assert summary_lines({"b": 2, "a": 1}) == ["total_records: 3", "a: 1", "b: 2"]
+    with pytest.raises(SystemExit):
+        config(["a", "o", "--reference", "r", "--input-build", "GRCh37"])
