@@ -78,16 +78,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """The same columns with text as zstd-compressed UTF-8, which is a third less to shuffle than what Spark compresses; null is empty."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                text = pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], text, *part.columns[at + 1 :]], names=part.schema.names)
+
+    return docs.mapInArrow(run, StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema]))
+
+
+def expanded(texts: list[bytes]) -> list[str]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(t).decode("utf-8", "surrogatepass") for t in texts]
+
+
 # --- the exchange: blocks of documents send sorted distinct keys to buckets, buckets answer in the same order -----------
 
 
 def pack_u64(x: np.ndarray) -> bytes:
-    """Sorted uint64 as byte planes of differences; the high planes are nearly empty and compress away in the shuffle."""
-    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted uint64 as byte planes of differences, entropy-coded: the high planes are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack_u64(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bucket_cuts, crc_mod, mix, pack_counts, pack_ints, pack_u64, scan_parts, unpack_counts, unpack_ints, unpack_u64, words, written
+from strandloom.llm.common import bucket_cuts, crc_mod, expanded, mix, pack_counts, pack_ints, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_u64, words, written
 from strandloom.llm.ngram_join import P, word_hashes
 
 END = np.uint64(0x656E64)
@@ -46,7 +46,7 @@ def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: sorted distinct keys, training counts, counts in the deleted fold, and where each token's unigram and bigram stand; tokens of each text."""
-    uni, bi, n = keys_of(t.column("text").to_pylist())
+    uni, bi, n = keys_of(expanded(t.column("text").to_pylist()))
     fold = np.repeat(t.column("fold").to_numpy(), n)
     keys, where = np.unique(np.concatenate([uni, bi]), return_inverse=True)
     uni, bi = where[: len(uni)], where[len(uni) :]
@@ -62,7 +62,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """
     parts = BLOCKS_A_PART * scan_parts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocked = docs.select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("block"))
+    blocked = squeezed(docs.select("doc_id", "text", "fold")).select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("block"))
 
     def send(t: pa.Table) -> pa.Table:
         keys, train, deleted, uni, _, _ = _distinct(t)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bucket_cuts, map_arrow, mix, pack_u64, scan_parts, unpack_u64, words, written
+from strandloom.llm.common import bucket_cuts, expanded, map_arrow, mix, pack_u64, scan_parts, squeezed, unpack_u64, words, written
 from strandloom.llm.graph import components
 
 P = np.uint64(0x100000001B3)
@@ -80,7 +80,7 @@ def _chosen(left: pd.DataFrame, keep: pd.DataFrame, n: int) -> list[tuple[int, n
     out = {}
     for doc, text in zip(left["doc_id"], left["text"], strict=True):
         if doc in ids:
-            s = ngram_set(text, n)
+            s = ngram_set(expanded([text])[0], n)
             key = (doc, xxhash.xxh3_128_hexdigest(s.tobytes()))
             if key in wanted:
                 out[key] = s
@@ -89,9 +89,9 @@ def _chosen(left: pd.DataFrame, keep: pd.DataFrame, n: int) -> list[tuple[int, n
 
 def candidates(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n, grams and positions (the shared n-grams of its prefix), packed: documents that share a prefix n-gram."""
-    parts = 2 * scan_parts(docs)
+    parts = 4 * scan_parts(docs)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("block")
-    blocked = docs.where("doc_id is not null").select("doc_id", "text", block)
+    blocked = squeezed(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "text", block)
     chosen = reps.where("doc_id is not null").select("doc_id", "digest", block)
 
     def keys(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
