@@ -1,9 +1,10 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, matched across documents by digest.
 
-A cut lies where the gear hash of the last 16 bytes has five given bits at zero, so chunks are the same wherever the same
-passage stands, whatever was inserted before it. Blocks of documents send the digests of their distinct chunks to buckets;
-a bucket finds the chunks that several documents hold and the smallest doc_id of each, and answers in the same order. A
-run of such chunks of at least `least` bytes is a repeated passage; the smallest doc_id keeps it.
+A cut lies where the gear hash of the last 16 bytes has four given bits at zero, or where it is smallest if none does for
+long, so chunks are the same wherever the same passage stands, whatever was inserted before it, also in periodic text.
+Blocks of documents send the digests of their distinct chunks to buckets; a bucket finds the chunks that several documents
+hold and the smallest doc_id of each, and answers in the same order. A run of such chunks of at least `least` words is a
+repeated passage; the smallest doc_id keeps it. A passage of 50 words loses a part of a chunk at both ends, hence 35.
 
 Repeats inside one document are left alone. 64-bit digests are enough, since a run needs several chunks in a row.
 
@@ -23,32 +24,33 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import bucket_cuts, mix, pack_ints, pack_u64, scan_parts, unpack_ints, unpack_u64
 
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 16, 256, 200
+LEAST_CHUNK, MOST_CHUNK, LEAST_WORDS = 16, 64, 35
 SEGMENT = 1 << 20
 
 
+def gear(b: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Gear hashes of the 16 bytes that end at each of the bytes start to stop."""
+    h = GEAR[b[max(0, start - 15) : stop]]
+    for s in (1, 2, 4, 8):
+        moved = np.zeros_like(h)
+        moved[s:] = h[:-s] << np.uint32(s)
+        h = h + moved
+    return h[start - max(0, start - 15) :]
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks, each at the start of a UTF-8 character or at the end."""
     b = np.frombuffer(data, np.uint8)
-    found = []
-    for at in range(0, len(b), SEGMENT):
-        seg = b[max(0, at - 15) : at + SEGMENT]
-        h = GEAR[seg]
-        for s in (1, 2, 4, 8):
-            moved = np.zeros_like(h)
-            moved[s:] = h[:-s] << np.uint32(s)
-            h = h + moved
-        ends = np.flatnonzero((h >> np.uint32(15)) & np.uint32(31) == 0) + max(0, at - 15) + 1
-        found.append(ends[ends > at])
+    found = [np.flatnonzero((gear(b, at, at + SEGMENT) >> np.uint32(15)) & np.uint32(15) == 0) + at + 1 for at in range(0, len(b), SEGMENT)]
     ends = np.concatenate(found) if found else np.empty(0, np.int64)
     ends = ends[ends < len(b)]
     ends = ends[(b[ends] & 0xC0) != 0x80].tolist() + [len(b)]
     out, last = [], 0
     for e in ends:
-        while e - last > MOST_CHUNK:  # no cut for long: the largest chunk, from a character's start
-            last += MOST_CHUNK
-            while b[last] & 0xC0 == 0x80:
-                last -= 1
+        while e - last > MOST_CHUNK:  # no cut for long: the last smallest hash within reach, so that a period repeats its chunks
+            able = np.flatnonzero((b[last + LEAST_CHUNK : last + MOST_CHUNK + 1] & 0xC0) != 0x80)[::-1]
+            h = gear(b, last + LEAST_CHUNK - 1, last + MOST_CHUNK) >> np.uint32(12)
+            last += LEAST_CHUNK + int(able[h[able].argmin()])
             out.append(last)
         if e - last >= LEAST_CHUNK or e == len(b):
             if e > last:
@@ -88,10 +90,10 @@ def repeated(docs: list[int | None], texts: list[str | None], keys: np.ndarray,
             many, first = owners[0][at] > 0, owners[1][at]
             starts = np.concatenate([[0], ends[:-1]])
             edge = np.flatnonzero(np.diff(np.concatenate([[0], many.astype(np.int8), [0]])))
-            hits = [(i, j) for i, j in zip(edge[::2], edge[1::2], strict=True) if ends[j - 1] - starts[i] >= least]
+            raw = text.encode("utf-8", "surrogatepass") if len(edge) else b""
+            hits = [(i, j) for i, j in zip(edge[::2], edge[1::2], strict=True) if len(raw[starts[i] : ends[j - 1]].split()) >= least]
             if hits:
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
                 for i, j in hits:
                     own = first[i:j] == doc
                     parts = [i, *(np.flatnonzero(own[1:] != own[:-1]) + i + 1).tolist(), j]
@@ -141,7 +143,7 @@ def _with_spans(docs: DataFrame, fn, schema: str, least: int) -> DataFrame:
     return blocked.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
-def passages(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start, stop, first_doc_id, is_first, n_chars, n_words: every passage that stands in several documents, in code points."""
 
     def fn(t: pa.Table, spans: list[list[tuple[int, int, int]]]) -> pa.Table:
@@ -153,7 +155,7 @@ def passages(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     return _with_spans(docs, fn, "doc_id long, start long, stop long, first_doc_id long, is_first boolean, n_chars long, n_words long", least)
 
 
-def dedup(docs: DataFrame, least: int = LEAST_RUN) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The documents without the passages that a smaller doc_id keeps; rows and columns stay, n_chars follows the text where it is there."""
     names = docs.columns
 
