@@ -55,8 +55,9 @@ def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, fold, n, and packed counts of each token: c1, c2, and d1, d2 without the deleted fold
-    (for its own documents); and one row for each block, fold null, whose n is the number of word types it answers for.
+    """One row for each document: doc_id, fold, n, and packed counts of each token: c1, c2; and one row for each block, fold null,
+    whose n is the number of word types it answers for and whose c1 holds its cells for EM: those of the tokens of its
+    deleted documents, by counts without the deleted fold.
 
     fold: -1 held out, 0 training, 1 training and deleted for EM.
     """
@@ -78,31 +79,36 @@ def counted(docs: DataFrame) -> DataFrame:
         keys, where = np.unique(np.concatenate(got), return_inverse=True)
         train = np.concatenate([unpack_counts(b) for b in t.column("train").to_pylist()])
         total = np.bincount(where, train >> 1, len(keys)).astype(np.int64)
-        fold = np.bincount(where, np.concatenate([unpack_counts(b) for b in t.column("deleted").to_pylist()]), len(keys)).astype(np.int64)
+        deleted = np.concatenate([unpack_counts(b) for b in t.column("deleted").to_pylist()])
+        fold = np.bincount(where, deleted, len(keys)).astype(np.int64)
         first = np.full(len(keys), len(where))
         np.minimum.at(first, where, np.arange(len(where)))
         told = (first[where] == np.arange(len(where))) & (train & 1 > 0) & (total[where] > 0)  # each word type is answered for once
         split = np.cumsum([len(g) for g in got])[:-1]
-        col = lambda x: pa.array([pack_counts(p) for p in np.split(x, split)], pa.binary())
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": col(total[where] * 2 + told), "fold_total": col(fold[where])})
+        col = lambda parts: pa.array([pack_counts(p) for p in parts], pa.binary())
+        asked = [w[d > 0] for w, d in zip(np.split(where, split), np.split(deleted, split), strict=True)]  # only a block with deleted tokens of a key needs its count in the fold
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": col(np.split(total[where] * 2 + told, split)), "fold_total": col(fold[w] for w in asked)})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
         total = np.concatenate([unpack_counts(b) for b in right.column("total").to_pylist()])
-        fold = np.concatenate([unpack_counts(b) for b in right.column("fold_total").to_pylist()])
-        _, _, _, uni, bi, n = _distinct(left)
-        count, rest = total >> 1, (total >> 1) - fold
+        _, _, deleted, uni, bi, n = _distinct(left)
+        count = total >> 1
+        rest = count.copy()
+        rest[deleted > 0] -= np.concatenate([unpack_counts(b) for b in right.column("fold_total").to_pylist()])
         folds, ends = left.column("fold").to_pylist(), np.cumsum(n)
+        told = np.repeat(left.column("fold").to_numpy(), n) == 1
+        cells = cells_of(rest[uni][told], rest[bi][told])
         spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
-        col = lambda x, at, only: [pack_ints(x[at[a:b]]) if only is None or f == only else None for (a, b), f in zip(spans, folds, strict=True)]
-        out = {"doc_id": left.column("doc_id").to_pylist(), "fold": folds, "n": n.tolist(), "c1": col(count, uni, None), "c2": col(count, bi, None), "d1": col(rest, uni, 1), "d2": col(rest, bi, 1)}
+        col = lambda at: [pack_ints(count[at[a:b]]) for a, b in spans]
+        out = {"doc_id": left.column("doc_id").to_pylist(), "fold": folds, "n": n.tolist(), "c1": col(uni), "c2": col(bi)}
         types = {"doc_id": left.schema.field("doc_id").type, "fold": pa.int32(), "n": pa.int64()}
-        last = {"n": int((total & 1).sum())}
+        last = {"n": int((total & 1).sum()), "c1": pack_ints(cells.T.ravel())}
         return pa.table({k: pa.array([*v, last.get(k)], types.get(k, pa.binary())) for k, v in out.items()})
 
     sent = blocked.groupBy("block").applyInArrow(send, "block int, bucket int, keys binary, train binary, deleted binary")
     answered = sent.groupBy("bucket").applyInArrow(add, "block int, bucket int, total binary, fold_total binary")
-    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, fold int, n long, c1 binary, c2 binary, d1 binary, d2 binary")
+    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, fold int, n long, c1 binary, c2 binary")
 
 
 def buckets_of(context: np.ndarray) -> np.ndarray:
@@ -136,23 +142,25 @@ def expectation_maximisation(cells: list[tuple[int, int, int, int]], n: int, v:
 NONE = -(10**6)
 
 
+def cells_of(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """(cells, 4): context bucket, rounded log of c2 / c(h), rounded log of c1, tokens. The tokens are those of whole texts, so each first one follows an end."""
+    ch = contexts(c1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q2 = np.where(c2 > 0, np.rint(GRID * np.log2(c2 / np.maximum(ch, 1))), NONE)
+        q1 = np.where(c1 > 0, np.rint(GRID * np.log2(c1)), NONE)
+    found, count = np.unique(np.stack([buckets_of(ch), q2, q1], axis=1).astype(np.int64), axis=0, return_counts=True)
+    return np.column_stack([found, count])
+
+
 def learned(codes: DataFrame, n: int, v: int) -> np.ndarray:
     """The weights, from the deleted fold; the driver receives a histogram of bounded size."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d1, d2 in zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True):
-                c1, c2 = unpack_ints(d1), unpack_ints(d2)
-                ch = contexts(c1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    q2 = np.where(c2 > 0, np.rint(GRID * np.log2(c2 / np.maximum(ch, 1))), NONE)
-                    q1 = np.where(c1 > 0, np.rint(GRID * np.log2(c1)), NONE)
-                rows.append(np.stack([buckets_of(ch), q2, q1], axis=1).astype(np.int64))
-            found, count = np.unique(np.concatenate(rows), axis=0, return_counts=True) if rows else (np.empty((0, 3), np.int64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), pa.array(count)], names=["b", "q2", "q1", "k"])
-
-    found = codes.where("fold = 1").select("d1", "d2").mapInArrow(cells, "b long, q2 long, q1 long, k long").groupBy("b", "q2", "q1").agg(F.sum("k").alias("k"))
+            for packed in batch.column("c1").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack_ints(packed).reshape(4, -1)], names=["b", "q2", "q1", "k"])
+
+    found = codes.where("fold is null").select("c1").mapInArrow(cells, "b long, q2 long, q1 long, k long").groupBy("b", "q2", "q1").agg(F.sum("k").alias("k"))
     return expectation_maximisation([tuple(r) for r in found.collect()], n, v)
 
 
