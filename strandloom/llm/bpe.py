@@ -29,6 +29,8 @@ BLOCK_CHARS = 1 << 17
 CACHE = 300_000
 #: Pre-tokens beyond so many bytes go through the windowed transducer; shorter ones are one window.
 WINDOW = 4096
+#: A pair that no rule merges.
+NEVER = (1 << 62, -1)
 
 
 def byte_chars() -> dict[str, int]:
@@ -53,6 +55,7 @@ class Model:
             self.text[i] = raw[t]
         for t, i in self.special.items():
             self.text[i] = t.encode()
+        self.decimal = list(map(str, range(len(self.text))))
         self.of_byte = [0] * 256
         for i in ids.values():
             if len(self.text[i]) == 1:
@@ -81,15 +84,15 @@ class Model:
         ids, rank = [self.of_byte[b] for b in data], self.rank
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        ranks = [rank.get(pair, NEVER) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) is not NEVER:
+            at, made = ranks.index(best), best[1]
+            ids[at : at + 2] = [made]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank.get((ids[at - 1], made), NEVER)
+            if at < len(ranks):
+                ranks[at] = rank.get((made, ids[at + 1]), NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -317,13 +320,14 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def fn(cols: dict[str, list]) -> dict[str, list]:
         code = encoder(tokenizer)
+        decimal = code.model.decimal.__getitem__
         counts, coded, back = [], [], []
         for text in cols["text"]:
             n, of_ids, of_text, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(code.model)
             for block in code.encode(text):
                 if block:
                     ids = np.frombuffer(block, "<u4").tolist()
-                    of_ids.update(("," * bool(n) + ",".join(map(str, ids))).encode())
+                    of_ids.update(("," * bool(n) + ",".join(map(decimal, ids))).encode())
                     of_text.update(d.push(ids).encode())
                     n += len(ids)
             of_text.update(d.finish().encode())
