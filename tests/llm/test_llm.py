@@ -323,6 +323,26 @@ def test_chunks_resist_insertions():
     assert len(np.intersect1d(a, b)) >= 0.98 * len(np.unique(a))
 
 
+def test_passages_of_fifty_words_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(0, 300, 3):
+        shared = line(52)
+        rows += [(i, f"{line(rng.randint(0, 60))} {shared} {line(30)}"), (i + 1, f"{line(rng.randint(0, 60))} {shared}"), (i + 2, line(rng.randint(5, 200)))]
+    got = {r["doc_id"] for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(d % 3 == 2 for d in got) and len(got) >= 198
+
+
+def test_periodic_text_has_the_same_chunks_at_any_place():
+    period = "zuß. " * 60
+    one, two = (set(substring.chunks(start + period)[1].tolist()) for start in ("x", "another start of this text, "))
+    assert one & two
+
+
 def test_fingerprints(spark, docs, empty):
     kept = [(i, t) for i, t, *_ in ROWS[: len(TEXTS)]]
     got = {r["doc_id"]: r for r in merkle.edited(spark.createDataFrame([(i, t, "n") for i, t in kept], "doc_id long, text string, next string")).collect()}
