@@ -3,8 +3,8 @@
 A page is a stream of tags and text slots. Folding turns tandem repeats into groups (x)+; aligning two expressions turns what
 only one has into optional groups (x)? and texts that differ into slots, so the wrapper of a host grows page by page.
 Wrappers are merged in three steps, in a task, in a salted part of a host and for the host, each over one small expression
-for each input of the step; a host with a third of all pages is never one task's group. Texts that stay the same on all of
-a host's pages belong to the template; menus, headers, footers, sidebars, notices, adverts, forms and comments are told by
+for each input of the step; a host with a third of all pages is never one task's group. Outside article and main elements, texts
+that stand at the same path on all pages of a host with pages that differ belong to the template; menus, headers, footers, sidebars, notices, adverts, forms and comments are told by
 their elements and class names. What the wrapper holds under an article or main element is the content, and where it holds
 none, everything else in the body.
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", re.I)
 LONGEST_PERIOD = 12
-CONSTANT_PAGES = 5
 
 
 def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
@@ -164,8 +164,13 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
+def digest_of(text: str) -> str:
+    """128 bits of a text."""
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def expression(page: list[tuple[str, str]]) -> list:
-    return fold([[path, zlib.crc32(text.encode("utf-8", "surrogatepass"))] for path, text in page])
+    return fold([[path, digest_of(text)] for path, text in page])
 
 
 def merged(parts: list[tuple[int, list]]) -> tuple[int, list]:
@@ -185,13 +190,12 @@ def slots(wrapper: list) -> Iterator[list]:
             yield t
 
 
-def rules(pages: int, wrapper: list) -> str:
-    """What extraction needs: whether content stands under an article or main element, and the template's own texts there."""
-    found = list(slots(wrapper))
-    region = any(is_content(p) for p, _ in found)
-    fixed = sorted({c for p, c in found if c is not None}) if pages >= CONSTANT_PAGES else []
-    required = {t[1] for t in wrapper if t[0] not in ("+", "?") and t[1] is not None}
-    return json.dumps({"region": region, "fixed": [c for c in fixed if c in required]})
+def rules(differ: bool, wrapper: list) -> str:
+    """What extraction needs: whether content stands under an article or main element, and (path, digest, times) of the template's
+    own texts elsewhere. differ: the host has pages that differ; copies of one page tell nothing about its template."""
+    region = any(is_content(p) for p, _ in slots(wrapper))
+    fixed = Counter((p, d) for p, d in wrapper if differ and p not in ("+", "?") and d is not None and not is_content(p))
+    return json.dumps({"region": region, "fixed": sorted([p, d, n] for (p, d), n in fixed.items())})
 
 
 def is_content(path: str) -> bool:
@@ -199,9 +203,18 @@ def is_content(path: str) -> bool:
 
 
 def main_text(page: list[tuple[str, str]], rule: dict) -> str:
-    fixed = set(rule["fixed"])
     region = rule["region"] and any(is_content(p) for p, _ in page)
-    keep = [t for p, t in page if (is_content(p) if region else "!" not in p) and not (fixed and zlib.crc32(t.encode("utf-8", "surrogatepass")) in fixed)]
+    if region:
+        return "\n".join(t for p, t in page if is_content(p))
+    left, keep = {(p, d): n for p, d, n in rule["fixed"]}, []
+    for p, t in page:
+        if "!" in p:
+            continue
+        key = (p, digest_of(t)) if left else None
+        if left.get(key, 0):
+            left[key] -= 1
+        else:
+            keep.append(t)
     return "\n".join(keep)
 
 
@@ -215,28 +228,33 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[str, list]] = {}  # by host and shape: pages, expression
+        ends: dict[str, tuple[str, str]] = {}  # by host: smallest and largest digest of a page
         for batch in batches:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                e = expression(blocks(page))
+                found, host = blocks(page), host_of(url)
+                e, digest = expression(found), digest_of(json.dumps(found))
+                lo, hi = ends.get(host, (digest, digest))
+                ends[host] = min(lo, digest), max(hi, digest)
                 shape = " ".join(map(_shape, e))
-                seen = known.setdefault(host_of(url), {}).get(shape)
+                seen = known.setdefault(host, {}).get(shape)
                 if seen is None:
-                    known[host_of(url)][shape] = [1, e]
+                    known[host][shape] = [1, e]
                 else:
                     seen[0], seen[1] = seen[0] + 1, [_met(a, b) for a, b in zip(seen[1], e, strict=True)]
         salt = TaskContext.get().partitionId() % salts
-        rows = [(h, salt, *merged([tuple(x) for x in of.values()])) for h, of in known.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([json.dumps(r[3]) for r in rows], pa.string())], names=["host", "salt", "pages", "wrapper"])
+        rows = [(h, salt, *merged([tuple(x) for x in of.values()]), *ends[h]) for h, of in known.items()]
+        col = lambda i, kind: pa.array([json.dumps(r[i]) if i == 3 else r[i] for r in rows], kind)
+        yield pa.RecordBatch.from_arrays([col(0, pa.string()), col(1, pa.int32()), col(2, pa.int64()), col(3, pa.string()), col(4, pa.string()), col(5, pa.string())], names=["host", "salt", "pages", "wrapper", "lo", "hi"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         pages, wrapper = merged([(int(n), json.loads(w)) for n, w in zip(rows["pages"], rows["wrapper"], strict=True)])
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [0], "pages": [pages], "wrapper": [json.dumps(wrapper)]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [0], "pages": [pages], "wrapper": [json.dumps(wrapper)], "lo": [rows["lo"].min()], "hi": [rows["hi"].max()]})
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         one = merge(rows)
-        return pd.DataFrame({"host": one["host"], "rules": [rules(int(one["pages"][0]), json.loads(one["wrapper"][0]))]})
+        return pd.DataFrame({"host": one["host"], "rules": [rules(one["lo"][0] != one["hi"][0], json.loads(one["wrapper"][0]))]})
 
-    schema = "host string, salt int, pages long, wrapper string"
+    schema = "host string, salt int, pages long, wrapper string, lo string, hi string"
     parts = pages.select("url", "html").mapInArrow(infer, schema).groupBy("host", "salt").applyInPandas(merge, schema)
     return parts.groupBy("host").applyInPandas(finish, "host string, rules string")
 

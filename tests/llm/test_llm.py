@@ -275,6 +275,17 @@ def test_pages_of_the_tables(spark):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+def test_template_texts_never_take_article_text(spark):
+    same = "<body><nav>Home</nav><p>Site line</p><article><h1>News</h1><p>Home</p><p>Same text</p></article></body>"
+    rows = [(i, f"http://copies.org/{i}", same) for i in range(8)]
+    rows += [(10 + i, f"http://lines.org/{i}", f"<article><h1>Weekly</h1><p>Menu</p><ul><li>own {i}</ul></article><div><p>Menu</p></div>") for i in range(8)]
+    rows += [(20 + i, f"http://plain.org/{i}", f"<div><p>Template</p></div><h2>Page</h2><p>own {i}</p><ul><li>Template</li></ul><ol><li>{i}</li></ol>") for i in range(3)]
+    rows += [(30 + i, f"http://plaincopies.org/{i}", "<h2>Page</h2><p>text</p>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "News\nHome\nSame text" and got[10 + i] == f"Weekly\nMenu\nown {i}" and got[30 + i] == "Page\ntext" for i in range(8))
+    assert all(got[20 + i] == f"own {i}\n{i}" for i in range(3))
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     one = html.expression([("a", "x"), ("p", "1"), ("p", "2"), ("z", "end")])
     two = html.expression([("a", "x"), ("p", "3"), ("q", "only here"), ("z", "end")])
