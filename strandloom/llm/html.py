@@ -5,8 +5,9 @@ only one has into optional groups (x)? and texts that differ into slots, so the
 Wrappers are merged in three steps, in a task, in a salted part of a host and for the host, each over one small expression
 for each input of the step; a host with a third of all pages is never one task's group. Outside article and main elements, texts
 that stand at the same path on all pages of a host with pages that differ belong to the template; menus, headers, footers, sidebars, notices, adverts, forms and comments are told by
-their elements and class names. What the wrapper holds under an article or main element is the content, and where it holds
-none, everything else in the body.
+their elements and class names. What stands under an article or main element is the content, and where a page has none,
+everything else in the body. Class names are a guess that the wrapper can overrule: where nothing is left without marked
+boxes, the slots of the host that vary inside them are the content, those under an article or main element first.
 
 Defined results: null html or html without main text gives an empty text; cut tags at the end are markup; a null url is a
 host of its own; repeated rows are extracted each; other columns are ignored; an empty table gives no rows.
@@ -34,6 +35,8 @@ BOX = {"html", "body", "article", "main", "section", "div", "nav", "header", "fo
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CHROME = {"nav", "header", "footer", "aside", "form", "dialog"}
 CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "discussion", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+#: Whole class names that mark a block element such as a paragraph.
+LEAF_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "cookie", "cookies", "newsletter", "promo", "share", "sponsored"}
 CONTENT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -56,7 +59,7 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(path of boxes and the block element, text) of each block, in page order; a box whose element or class marks it as page furniture has a ! in the path."""
+    """(path of boxes and the block element, text) of each block, in page order; what marks page furniture is in the path, ! for an element and ~ for a class name."""
     stack: list[tuple[str, str]] = []
     out: list[tuple[str, str]] = []
     held: list[str] = []
@@ -86,11 +89,11 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 held.append(" ")
         else:
             flush()
-            leaf = tag if kind == "open" and tag not in BOX else ""
+            leaf = tag + "~" * (not LEAF_NAMES.isdisjoint(more.split())) if kind == "open" and tag not in BOX else ""
             if tag in BOX:
                 if kind == "open":
-                    marked = tag in CHROME or not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", more))
-                    stack.append((tag, tag + ("!" if marked and tag not in ("html", "body") else "")))
+                    named = tag not in ("html", "body") and not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", more))
+                    stack.append((tag, tag + ("!" if tag in CHROME else "~" if named else "")))
                 elif any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
@@ -182,39 +185,47 @@ def merged(parts: list[tuple[int, list]]) -> tuple[int, list]:
     return pages, out
 
 
-def slots(wrapper: list) -> Iterator[list]:
-    for t in wrapper:
-        if t[0] in ("+", "?"):
-            yield from slots(t[1])
+def slots(wrapper: list, varies: bool = False) -> Iterator[tuple[str, bool]]:
+    """(path, whether it varies by page) of each slot; what is optional or repeated varies."""
+    for token, x in wrapper:
+        if token in ("+", "?"):
+            yield from slots(x, True)
         else:
-            yield t
+            yield token, varies or x is None
 
 
 def rules(differ: bool, wrapper: list) -> str:
-    """What extraction needs: whether content stands under an article or main element, and (path, digest, times) of the template's
-    own texts elsewhere. differ: the host has pages that differ; copies of one page tell nothing about its template."""
-    region = any(is_content(p) for p, _ in slots(wrapper))
+    """What extraction needs of a wrapper: (path, digest, times) of the template's own texts outside articles, and the paths in boxes
+    marked by class names whose slots vary. differ: the host has pages that differ; copies of one page tell nothing about its template."""
     fixed = Counter((p, d) for p, d in wrapper if differ and p not in ("+", "?") and d is not None and not is_content(p))
-    return json.dumps({"region": region, "fixed": sorted([p, d, n] for (p, d), n in fixed.items())})
+    varied = {p for p, varies in slots(wrapper) if differ and varies and "~" in p and "!" not in p}
+    return json.dumps({"fixed": sorted([p, d, n] for (p, d), n in fixed.items()), "varied": sorted(varied), "differ": differ})
+
+
+def in_content(path: str) -> bool:
+    return "!" not in path and any(label.rstrip("~") in CONTENT for label in path.split(">"))
 
 
 def is_content(path: str) -> bool:
-    return "!" not in path and not CONTENT.isdisjoint(path.split(">"))
+    return "~" not in path and in_content(path)
 
 
 def main_text(page: list[tuple[str, str]], rule: dict) -> str:
-    region = rule["region"] and any(is_content(p) for p, _ in page)
-    if region:
-        return "\n".join(t for p, t in page if is_content(p))
-    left, keep = {(p, d): n for p, d, n in rule["fixed"]}, []
-    for p, t in page:
-        if "!" in p:
-            continue
-        key = (p, digest_of(t)) if left else None
-        if left.get(key, 0):
-            left[key] -= 1
-        else:
-            keep.append(t)
+    keep = [t for p, t in page if is_content(p)]
+    if not keep:
+        left = {(p, d): n for p, d, n in rule["fixed"]}
+        for p, t in page:
+            if "!" in p or "~" in p:
+                continue
+            key = (p, digest_of(t)) if left else None
+            if left.get(key, 0):
+                left[key] -= 1
+            else:
+                keep.append(t)
+    if not keep:
+        varied = set(rule["varied"])
+        able = [(p, t) for p, t in page if (p in varied if rule["differ"] else in_content(p))]
+        keep = [t for p, t in able if in_content(p)] or [t for _, t in able]
     return "\n".join(keep)
 
 
@@ -274,7 +285,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [main_text(blocks(h), json.loads(r) if r else {"region": True, "fixed": []}) for h, r in zip(part.column("html").to_pylist(), part.column("rules").to_pylist(), strict=True)]
+                texts = [main_text(blocks(h), json.loads(r) if r else {"fixed": [], "varied": [], "differ": False}) for h, r in zip(part.column("html").to_pylist(), part.column("rules").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

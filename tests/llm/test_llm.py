@@ -286,6 +286,15 @@ def test_template_texts_never_take_article_text(spark):
     assert all(got[20 + i] == f"own {i}\n{i}" for i in range(3))
 
 
+def test_wrapper_overrules_class_names(spark):
+    rows = [(i, f"http://side.org/{i}", f'<p>Site</p><div class="page has-sidebar"><div>Box</div><article><h1>T{i}</h1><p>own {i}</p></article></div><div class="nav"><p>Menu</p></div><footer>{i}</footer>') for i in range(3)]
+    rows += [(10 + i, f"http://share.org/{i}", f'<div class="share-page"><h2>Site</h2><p>own {i}</p></div>') for i in range(3)]
+    rows += [(20, "http://one.org/", '<main class="no-sidebar"><p>only page</p></main>')]
+    rows += [(30 + i, f"http://adverts.org/{i}", f'<p class="advert">buy {i}</p><h2 class="ad-hoc">T{i}</h2><p>own {i}</p>') for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[30 + i] == f"T{i}\nown {i}" and got[10 + i] == f"own {i}" for i in range(3)) and got[20] == "only page"
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     one = html.expression([("a", "x"), ("p", "1"), ("p", "2"), ("z", "end")])
     two = html.expression([("a", "x"), ("p", "3"), ("q", "only here"), ("z", "end")])
