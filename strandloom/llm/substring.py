@@ -4,9 +4,13 @@ A cut lies where the gear hash of the last 16 bytes has four given bits at zero,
 long, so chunks are the same wherever the same passage stands, whatever was inserted before it, also in periodic text.
 Blocks of documents send the digests of their distinct chunks to buckets; a bucket finds the chunks that several documents
 hold and the smallest doc_id of each, and answers in the same order. A run of such chunks of at least `least` words is a
-repeated passage; the smallest doc_id keeps it. A passage of 50 words loses a part of a chunk at both ends, hence 35.
+repeated passage; the smallest doc_id keeps it. A passage of 50 words loses a part of a chunk at both ends, hence 35. Words of
+over LONG_WORD bytes, as in scripts and lines without blanks, count as one for each WORD_BYTES bytes.
 
-Repeats inside one document are left alone. 64-bit digests are enough, since a run needs several chunks in a row.
+So that no end loss hides a passage of 50 words, whatever their length, digests of 35 words in a row travel as well: of each
+16 such windows the one of the smallest hash, hence one at least of those in any 50 words.
+
+Repeats inside one document are left alone. 64-bit digests are enough: at 30 GB chance makes two windows equal once in some 100 runs.
 
 Defined results: null and empty texts have no chunk; a null doc_id neither keeps nor loses passages; rows that share a doc_id
 are one document; ties can't arise, the smallest doc_id keeps a passage; other columns pass through dedup() unchanged (those
@@ -22,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import bucket_cuts, mix, pack_ints, pack_u64, scan_parts, unpack_ints, unpack_u64
+from strandloom.llm.ngram_join import P, word_hashes
 
 GEAR = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 LEAST_CHUNK, MOST_CHUNK, LEAST_WORDS = 16, 64, 35
+WHOLE_WORDS, LONG_WORD, WORD_BYTES = 50, 30, 6
 SEGMENT = 1 << 20
 
 
@@ -66,6 +72,59 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends, np.int64), np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)], np.uint64)
 
 
+def windows(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts and ends in bytes, digests) of the chosen windows of `least` words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    found, reach = data.split(), WHOLE_WORDS - least + 1
+    n = len(found) - least + 1
+    if n < reach or reach < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    power, of, h, done, p = word_hashes(found), 1, np.zeros(n, np.uint64), 0, np.uint64(P)
+    while of <= least:  # hashes of runs of 1, 2, 4, ... words, put together to `least`
+        if least & of:
+            h = h * p + power[done : done + n]
+            done += of
+        power, of, p = power[:-of] * p + power[of:], 2 * of, p * p
+    h = mix(h)
+    last = np.lib.stride_tricks.sliding_window_view(h[::-1], reach).argmin(axis=1)  # of equal ones the last in the text
+    at = np.unique(n - 1 - (last + np.arange(n - reach + 1)))
+    b = np.frombuffer(data, np.uint8)
+    word = np.diff(np.concatenate([[0], ((b != 32) & ((b < 9) | (b > 13))).astype(np.int8), [0]]))
+    return np.flatnonzero(word > 0)[at], np.flatnonzero(word < 0)[at + least - 1], h[at]
+
+
+def n_words(raw: bytes, least: int) -> int:
+    """Words of a passage, long ones by their length; at `least` words it need not look further."""
+    found = raw.split()
+    return len(found) if len(found) >= least else sum(len(w) // WORD_BYTES if len(w) > LONG_WORD else 1 for w in found)
+
+
+def _united(doc: int, runs: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint spans of runs, and of what only `more` covers; spans that touch are one where the first doc is itself in both or in neither."""
+    spans, k = list(runs), 0
+    at = 0
+    for a, b, first in more:  # by start
+        a = max(a, at)
+        while k < len(runs) and runs[k][1] <= a:
+            k += 1
+        i = k
+        while a < b:
+            if i < len(runs) and runs[i][0] <= a:
+                a, i = max(a, runs[i][1]), i + 1
+                continue
+            stop = min(b, runs[i][0]) if i < len(runs) else b
+            spans.append((a, stop, first))
+            a = at = stop
+    out: list[tuple[int, int, int]] = []
+    for a, b, first in sorted(spans):
+        joins = out and out[-1][1] == a and (out[-1][2] == doc) == (first == doc) and ((a, b, first) not in runs or out[-1] not in runs)
+        if joins:
+            out[-1] = (out[-1][0], b, out[-1][2])
+        else:
+            out.append((a, b, first))
+    return out
+
+
 def _distinct(docs: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct digests of a block, the smallest document of each, and whether it has several."""
     if not docs:
@@ -90,14 +149,20 @@ def repeated(docs: list[int | None], texts: list[str | None], keys: np.ndarray,
             many, first = owners[0][at] > 0, owners[1][at]
             starts = np.concatenate([[0], ends[:-1]])
             edge = np.flatnonzero(np.diff(np.concatenate([[0], many.astype(np.int8), [0]])))
-            raw = text.encode("utf-8", "surrogatepass") if len(edge) else b""
-            hits = [(i, j) for i, j in zip(edge[::2], edge[1::2], strict=True) if len(raw[starts[i] : ends[j - 1]].split()) >= least]
-            if hits:
-                point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                for i, j in hits:
+            raw = text.encode("utf-8", "surrogatepass")
+            runs = []
+            for i, j in zip(edge[::2], edge[1::2], strict=True):
+                if n_words(raw[starts[i] : ends[j - 1]], least) >= least:
                     own = first[i:j] == doc
                     parts = [i, *(np.flatnonzero(own[1:] != own[:-1]) + i + 1).tolist(), j]
-                    spans += [(int(point[starts[a]]), int(point[ends[b - 1]]), int(first[a])) for a, b in zip(parts, parts[1:], strict=False)]
+                    runs += [(int(starts[a]), int(ends[b - 1]), int(first[a])) for a, b in zip(parts, parts[1:], strict=False)]
+            start, stop, digest = windows(text, least)
+            at = np.searchsorted(keys, digest)
+            met = np.flatnonzero(owners[0][at] > 0)
+            more = list(zip(start[met].tolist(), stop[met].tolist(), owners[1][at[met]].tolist(), strict=True))
+            if runs or more:
+                point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                spans = [(int(point[a]), int(point[b]), f) for a, b, f in _united(doc, runs, more)]
         out.append(spans)
     return out
 
@@ -108,7 +173,7 @@ def _with_spans(docs: DataFrame, fn, schema: str, least: int) -> DataFrame:
     blocked = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
     def rows(t: pa.Table) -> list[tuple[int, np.ndarray]]:
-        return [(d, chunks(x)[1]) for d, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True) if d is not None and x]
+        return [(d, np.concatenate([chunks(x)[1], windows(x, least)[2]])) for d, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True) if d is not None and x]
 
     def keys(t: pa.Table) -> pa.Table:
         digest, doc, many = _distinct(rows(t))

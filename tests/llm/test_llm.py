@@ -357,6 +357,29 @@ def test_passages_of_fifty_words_wherever_they_stand(spark):
     assert not any(d % 3 == 2 for d in got) and len(got) >= 198
 
 
+def test_passages_of_short_words_and_without_blanks(spark):
+    import random
+
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(n))
+    rows = []
+    for i in range(0, 300, 3):
+        shared = line(51) if i < 200 else han(400)
+        rows += [(i, f"{line(rng.randint(1, 60))} {shared} {line(30)}"), (i + 1, f"{line(rng.randint(1, 60))} {shared}"), (i + 2, line(rng.randint(5, 200)))]
+    texts = dict(rows)
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _ in rows if d % 3 < 2}
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["start"], r["stop"], r["first_doc_id"]))
+    for d, of in by.items():
+        other = d + (1 if d % 3 == 0 else -1)
+        start, stop, first = max(of, key=lambda x: x[1] - x[0])  # a short chunk at an end can be another document's too
+        assert texts[d][start:stop].strip() in texts[other] and first == min(d, other)
+    assert all(x[1] <= y[0] for of in by.values() for x, y in zip(sorted(of), sorted(of)[1:], strict=False))
+
+
 def test_periodic_text_has_the_same_chunks_at_any_place():
     period = "zuß. " * 60
     one, two = (set(substring.chunks(start + period)[1].tolist()) for start in ("x", "another start of this text, "))
