@@ -63,7 +63,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """
     parts = BLOCKS_A_PART * scan_parts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocked = squeezed(docs.select("doc_id", "text", "fold")).select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("block"))
+    blocked = squeezed(docs.select("doc_id", "text", "fold")).select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"))  # by text too: null and repeated ids are many blocks
 
     def send(t: pa.Table) -> pa.Table:
         keys, train, deleted, uni, _, _ = _distinct(t)

@@ -170,7 +170,7 @@ def repeated(docs: list[int | None], texts: list[str | None], keys: np.ndarray,
 def _with_spans(docs: DataFrame, fn, schema: str, least: int) -> DataFrame:
     """Run fn(table, spans of each row) over blocks of documents, after chunk digests met in buckets."""
     parts = 2 * scan_parts(docs)
-    blocked = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    blocked = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))  # by text too: null and repeated ids are many blocks
 
     def rows(t: pa.Table) -> list[tuple[int, np.ndarray]]:
         return [(d, np.concatenate([chunks(x)[1], windows(x, least)[2]])) for d, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True) if d is not None and x]

@@ -143,6 +143,14 @@ def test_language_model_scores_against_brute_force(spark):
         assert abs(got[i]["score"] - want) < 1e-6
 
 
+def test_rows_without_or_of_one_id_are_many_blocks(spark):
+    texts = [f"text {i} " + PASSAGE for i in range(60)]
+    for key in (None, 7):
+        got = lm.counted(spark.createDataFrame([(key, t, 0) for t in texts], "doc_id long, text string, fold int")).collect()
+        assert sum(r["fold"] is not None for r in got) == 60 and sum(r["fold"] is None for r in got) > 5
+        assert substring.passages(spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")).count() == 0
+
+
 def test_gradients_are_those_of_the_loss():
     net = langid.Net.new(["a", "b"])
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
