@@ -1,7 +1,7 @@
 """Secret scans: patterned secrets, and a token-efficiency test for random strings.
 
-Prose has long tokens under a public vocabulary, random strings short ones: a candidate of letters and digits whose
-characters per token stay under a limit is reported, after digests of known lengths and plain identifiers are set aside.
+Prose has long tokens under a public vocabulary, random strings short ones: a candidate whose characters per token stay
+under a limit is reported, after digests of known lengths and identifiers of words with long tokens are set aside.
 
 Defined results: null and empty texts have no span; a text is scanned whole, however long; repeated rows each get their
 spans; other columns are ignored; an empty table gives no rows.
@@ -22,13 +22,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: A candidate of the efficiency test: at least MIN_CHARS characters with two kinds of letter case or digits among letters.
+#: A candidate of the efficiency test: at least MIN_CHARS characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_CHARS, MAX_RATIO = 20, 2.2
 #: Lengths of hexadecimal digests (CRC, MD5, SHA family) and the shape of identifiers; neither is a secret by itself.
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{8}|[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 IDENTIFIER = re.compile(r"[A-Za-z]{2,}\d{0,4}(?:[_/+=-]+(?:[A-Za-z]{2,}\d{0,4}|\d{1,8}))*[_/+=-]*\Z")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _codings: dict[str, object] = {}
 
 
@@ -54,24 +55,48 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def of_words(s: str, path: str, max_ratio: float) -> bool:
+    """Whether s is an identifier whose words have long tokens themselves."""
+    found = WORD.findall(s) if IDENTIFIER.match(s) else []
+    return bool(found) and sum(map(len, found)) >= max_ratio * sum(len(coding(path).encode_ordinary(w)) for w in found)
+
+
 def random_spans(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
     """Strings whose characters per token are under max_ratio and that are neither digests nor identifiers."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(map(str.isdigit, s)) and re.search("[A-Za-z]", s)) or DIGEST.match(s) or UUID.match(s) or IDENTIFIER.match(s):
+        if DIGEST.match(s) or UUID.match(s):
             continue
-        if len(s) < max_ratio * len(coding(path).encode_ordinary(s)):
+        if len(s) < max_ratio * len(coding(path).encode_ordinary(s)) and not of_words(s, path, max_ratio):
             out.append((m.start(), "random", m.end()))
     return out
 
 
+def uncovered(span: tuple[int, str, int], base: list[tuple[int, str, int]], text: str, path: str) -> list[tuple[int, str, int]]:
+    """What base spans leave of a random string; marks alone and single words of one token, such as a name before a password, are none."""
+    at, out = span[0], []
+    for a, _, b in [*sorted(base), (span[2], "", span[2])]:
+        stop = min(a, span[2])
+        if at < stop:
+            out.append((at, stop))
+        at = max(at, b)
+    if out == [(span[0], span[2])]:
+        return [span]
+    kept = []
+    for a, b in out:
+        piece = text[a:b].strip("_/+=-")
+        if piece and not (piece.isalpha() and len(coding(path).encode_ordinary(piece)) == 1):
+            kept.append((a, span[1], b))
+    return kept
+
+
 def all_spans(text: str | None, path: str) -> tuple[list, list]:
-    """(base spans, all spans); a random string that overlaps a base span is not told twice."""
+    """(base spans, all spans); what a base span covers of a random string is not told twice."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [r for r in random_spans(text, path) if not any(a < r[2] and r[0] < b for a, _, b in base)]
+    more = [x for r in random_spans(text, path) for x in uncovered(r, [s for s in base if s[0] < r[2] and r[0] < s[2]], text, path)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
