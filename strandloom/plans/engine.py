@@ -1,4 +1,4 @@
-"""The conversion as one plan: sources, inference, conversion, lifting, panel, sinks."""
+"""The conversion as one plan: sources, inference of sex and strand, conversion, lifting, panel, sinks."""
 
 from __future__ import annotations
 
@@ -63,6 +63,8 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
     elif kind in ("vcf", "bcf"):
         parsed = text.vcf_scan(lines) if kind == "vcf" else bcf.read(spark, cfg.input).withColumn("error", F.lit(None).cast("string"))
         facts["sex"] = cfg.sex or "unknown"
+        if parsed.where("size(samples) > 1").limit(1).count():
+            raise ValueError(f"{cfg.input} has more than one sample")
         from strandloom.operators.reference import reference_base, resolve_contig
 
         rows = parsed.where("error is null").withColumn("gt", F.coalesce(F.try_element_at(F.get("samples", F.lit(0)), F.lit("GT")), F.lit(".")))

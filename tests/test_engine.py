@@ -44,6 +44,18 @@ def test_small_conversion(spark, tmp_path):
     assert lines[0].startswith("#CHROM") and [x.split("\t")[:5] + [x.split("\t")[-1]] for x in lines[1:]] == [["1", "2", "rs1", "C", ".", "0/0"], ["1", "3", "rs2", "G", "A", "1/0"], ["2", "4", "rs3", "T", ".", "0/0"]]
 
 
+def test_more_than_one_sample_raises(spark, tmp_path):
+    fasta = put(tmp_path, "r.fa", ">1\nACGT\n")
+    for n in (1, 2):
+        names, gts = "\t".join(f"s{i}" for i in range(n)), "\t".join(["0/1"] * n)
+        vcf = put(tmp_path, f"c{n}.vcf", f"##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{names}\n1\t2\t.\tC\tA\t.\t.\t.\tGT\t{gts}\n")
+        if n == 1:
+            assert convert_file(spark, Config(vcf, fasta, str(tmp_path / "o1"))) == {"variant_records": 1}
+        else:
+            with pytest.raises(ValueError, match="more than one sample"):
+                convert_file(spark, Config(vcf, fasta, str(tmp_path / "o2")))
+
+
 def test_empty_input(spark, tmp_path):
     got = convert_file(spark, Config(put(tmp_path, "c.txt", ""), put(tmp_path, "r.fa", ">1\nACGT\n"), str(tmp_path / "out"), sex="female"))
     assert got == {} and len(body(str(tmp_path / "out"))) == 1
