@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bucket_cuts, crc_mod, expanded, mix, pack_counts, pack_ints, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_u64, words, written
-from strandloom.llm.ngram_join import P, word_hashes
+from strandloom.llm.common import RUN, bucket_cuts, crc_mod, expanded, mix, pack_counts, pack_ints, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_u64, word_hashes, written
 
 END = np.uint64(0x656E64)
 #: Unigram keys have 64 bits, bigram keys 56, which travel in a byte less.
@@ -35,18 +34,17 @@ LEAST_WEIGHT = 1e-5
 STEPS, GRID = 60, 4.0
 
 
-def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unigram keys, bigram keys of each token with the one before, tokens of each text); the first token's context is the end."""
-    each = [np.append(word_hashes(w) if w else np.empty(0, np.uint64), END) for w in map(words, texts)]
-    n = np.array([len(e) for e in each], np.int64)
-    flat = np.concatenate(each) if each else np.empty(0, np.uint64)
-    before = np.concatenate([[END], flat[:-1]]) if len(flat) else flat  # a text's first token follows another text's end
-    return mix(flat), mix(before * P + flat + np.uint64(1)) & BIGRAM_BITS, n
+    h, n = word_hashes(data, bounds)
+    flat = np.insert(h, np.cumsum(n), END)
+    before = np.concatenate([[END], flat])[: len(flat)]  # a text's first token follows another text's end
+    return mix(flat), mix(before * RUN + flat + np.uint64(1)) & BIGRAM_BITS, n + 1
 
 
 def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: sorted distinct keys, training counts, counts in the deleted fold, and where each token's unigram and bigram stand; tokens of each text."""
-    uni, bi, n = keys_of(expanded(t.column("text").to_pylist()))
+    uni, bi, n = keys_of(*expanded(t.column("text").to_pylist()))
     fold = np.repeat(t.column("fold").to_numpy(), n)
     keys, where = np.unique(np.concatenate([uni, bi]), return_inverse=True)
     uni, bi = where[: len(uni)], where[len(uni) :]
