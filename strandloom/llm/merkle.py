@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import written
+
 GROUP_WORDS = 8
 LEAF_HEX = 8
-#: The order of all ids is cut into ranges of 2 to so many ids.
-RANGE_BITS = 14
 
 
 def tree(text: Column) -> Column:
@@ -64,13 +64,14 @@ def edited_places(fp_a: Column, fp_b: Column) -> Column:
 def next_ids(ids: DataFrame) -> DataFrame:
     """(k, next_k) for distinct keys k: the next one in descending order, the first after the last.
 
-    Keys are dealt into ranges; only each range's largest and smallest key (one row for many thousand ids) meet in one task.
+    Spark cuts the keys into ranges by quantiles of a sample, whatever their values; only each range's largest key meets the
+    others in one task, which is a row for each partition.
     """
-    ranged = ids.select("k").distinct().withColumn("range", F.shiftright("k", RANGE_BITS))
+    ranged = written(ids.select("k").distinct().repartitionByRange("k").select("k", F.spark_partition_id().alias("range")))
     inner = ranged.withColumn("next_k", F.lead("k").over(Window.partitionBy("range").orderBy(F.desc("k"))))
     ends = ranged.groupBy("range").agg(F.max("k").alias("top"))
     order = Window.orderBy(F.desc("range"))
-    ends = ends.select("range", F.coalesce(F.lead("top").over(order), F.first("top").over(order)).alias("after"))
+    ends = ends.select("range", F.coalesce(F.lead("top").over(order), F.max("top").over(Window.partitionBy())).alias("after"))
     return inner.join(ends, "range").select("k", F.coalesce("next_k", "after").alias("next_k"))
 
 
@@ -84,7 +85,7 @@ def edited(docs: DataFrame) -> DataFrame:
     # Both joins take the same two columns by the same key, so that Spark shuffles the texts once.
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     need = base.groupBy("k").agg(F.max(F.length("text")).alias("most"))
-    order = next_ids(need).join(need, "k").select(F.col("k").alias("of"), F.col("next_k").alias("k"), F.expr("most div 3").alias("most"))
+    order = next_ids(base).join(need, "k").select(F.col("k").alias("of"), F.col("next_k").alias("k"), F.expr("most div 3").alias("most"))
     stands = base.join(order, "k").select("of", F.expr("substring(text, 1, cast(most as int))").alias("head"), F.sha2("text", 256).alias("digest"), tree(F.col("text")).alias("next_tree"))
     stands = stands.select("of", "digest", "head", leaves(F.col("next_tree")).alias("next_leaves"), F.substring(fingerprint(F.col("next_tree")), 1, 32).alias("next_root"))
     stands = stands.groupBy("of").agg(F.min_by(F.struct("head", "next_leaves", "next_root"), "digest").alias("next"))
