@@ -12,7 +12,7 @@ empty table gives no piece; other columns are ignored. Only the last sequence is
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +21,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bpe import byte_chars
-from strandloom.llm.common import written
+from strandloom.llm.common import given_back, written
 
-#: Words kept by a Python worker; when full, the cache starts anew.
-CACHE_WORDS = 700_000
+#: Words kept by a Python worker between tasks, in two generations.
+CACHE_WORDS = 240_000
 #: The tokenizer's own word pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Totals of parts that are broadcast at most: 16 bytes each.
+MOST_BROADCAST = 1_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
+class Recent(dict):
+    """A bounded cache of a function: when half of it is full, what was not asked for since the last time goes."""
+
+    def __init__(self, fn: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.fn, self.half, self.old = fn, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        self[key] = got = self.fn(key) if got is None else got
+        return got
+
+
 class WordCoder:
-    """The tokenizers library behind two bounded caches: it drops white space, so each word codes alone.
+    """The tokenizers library behind bounded caches: it drops white space, so each word codes alone.
 
     Python's str.split() cuts at the library's white space and at \\x1c-\\x1f; texts that hold one of these, or a special
     token, go to the library whole.
@@ -47,50 +65,25 @@ class WordCoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.normal, self.pattern = self.lib.normalizer.normalize_str, regex.compile(WORD_PATTERN)
         self.stand_in = {b: c for c, b in byte_chars().items()}
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = Recent(self.word, CACHE_WORDS), Recent(self.part, CACHE_WORDS // 4)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def part(self, part: str) -> bytes:
         """Ids of one match of the pattern in normal form."""
-        got = self.parts.get(part)
-        if got is None:
-            chars = part if part.isascii() and part.isprintable() else "".join(map(self.stand_in.__getitem__, part.encode()))
-            got = self.parts[part] = array("I", [t.id for t in self.lib.model.tokenize(chars)]).tobytes()
-        return got
+        chars = part if part.isascii() and part.isprintable() else "".join(map(self.stand_in.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.lib.model.tokenize(chars)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        norm = word.lower() if word.isascii() else self.normal(word)
+        return self.parts[norm] if norm.isalpha() else b"".join(map(self.parts.__getitem__, self.pattern.findall(norm)))
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.parts) > CACHE_WORDS // 2:
-            self.parts.clear()
-        for w in words:
-            norm = w.lower() if w.isascii() else self.normal(w)
-            self.known[w] = self.part(norm) if norm.isalpha() else b"".join(map(self.part, self.pattern.findall(norm)))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = []
-        wait, new = [], set()
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.append(self.whole(text))
-                continue
-            pieces = text.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                out.append(None)
-                wait.append((k, pieces))
-                new.update(w for w in pieces if w not in self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            new = {w for _, pieces in wait for w in pieces}
-        self.learn(new)
-        for k, pieces in wait:
-            out[k] = b"".join(map(self.known.__getitem__, pieces))
-        return out
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.whole(text)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def coder(path: str) -> WordCoder:
@@ -112,7 +105,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 small = batch.slice(i, 128)
-                ids = [b + end for b in code.encode_many([t or "" for t in small.column("text").to_pylist()])]
+                ids = [code.encode(t or "") + end for t in small.column("text").to_pylist()]
                 n = np.array([len(b) // 4 for b in ids], np.int64)
                 upto = at + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
@@ -120,6 +113,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                     names=["part", "at", "doc_id", "n", "ids"],
                 )
                 at = int(upto[-1])
+        given_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"part int, at long, doc_id {kind}, n long, ids binary")
 
@@ -133,19 +127,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     totals = sorted((r["part"], r["n"]) for r in stored.groupBy("part").agg(F.sum("n").alias("n")).collect())
     upto = np.cumsum([n for _, n in totals], dtype=np.int64)
     before = [(p, int(u) - n) for (p, n), u in zip(totals, upto, strict=True)]
-    offsets = stored.join(F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before long")), "part")
-    offsets = offsets.withColumn("at", F.col("at") + F.col("before"))
-    first, last = F.expr(f"at div {window}"), F.expr(f"(at + n - 1) div {window}")
-    pieces = offsets.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))
-    pieces = pieces.withColumn("start", F.greatest(F.lit(0), F.col("sequence_id") * window - F.col("at")))
-    pieces = pieces.withColumn("stop", F.least(F.col("n"), (F.col("sequence_id") + 1) * window - F.col("at")))
-    return pieces.select(
+    side = docs.sparkSession.createDataFrame(before, "part int, before long")
+    side = F.broadcast(side) if len(before) <= MOST_BROADCAST else side  # a row for each scan task
+    placed = stored.join(side, "part").withColumn("at", F.col("at") + F.col("before"))
+    # A document's ids are cut inside its row, so each id is copied once.
+    pieces = F.expr(f"""explode(transform(sequence(at div {window}, (at + n - 1) div {window}), s -> named_struct('sequence_id', s,
+      'start', greatest(0L, s * {window} - at), 'stop', least(n, (s + 1) * {window} - at),
+      'ids', substring(ids, cast(4 * greatest(0L, s * {window} - at) + 1 as int), cast(4 * (least(n, (s + 1) * {window} - at) - greatest(0L, s * {window} - at)) as int)))))""")
+    return placed.select("doc_id", "n", "at", pieces.alias("p")).select(
         "doc_id",
-        F.col("start").cast("long").alias("start"),
-        (F.col("stop") - F.col("start")).cast("long").alias("length"),
-        F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * (stop - start) as int))").alias("ids"),
+        F.col("p.start").cast("long").alias("start"),
+        F.expr("p.stop - p.start").cast("long").alias("length"),
+        "p.ids",
         F.col("n").alias("doc_tokens"),
-        F.col("sequence_id").cast("long").alias("sequence_id"),
-        (F.col("at") + F.col("start") - F.col("sequence_id") * window).cast("long").alias("offset"),
-        (F.col("stop") < F.col("n")).alias("boundary"),
+        F.col("p.sequence_id").cast("long").alias("sequence_id"),
+        F.expr(f"at + p.start - p.sequence_id * {window}").cast("long").alias("offset"),
+        F.expr("p.stop < n").alias("boundary"),
     )
