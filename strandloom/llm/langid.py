@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text's UTF-8 bytes are cut into windows; in each a forward and a backward GRU read the bytes, and a softmax over both
-states labels every position. A document's probabilities are the mean over all its positions. Training takes windows from a
-bounded sample of labelled documents (`per_lang` expected for each language, chosen by a hash of the id, with windows spread
-over the whole text); prediction reads every byte of every document.
+A text's UTF-8 bytes are cut into windows that overlap; in each a forward and a backward GRU read the bytes, and a softmax
+over both states labels every position. The MARGIN positions at either end of a window are there for context alone and are
+labelled in its neighbours, so every position has read at least so many bytes on both sides. A document's probabilities are
+the mean over all its positions. Training takes batches from all windows of whole texts of a bounded sample of labelled
+documents (`per_lang` expected for each language, chosen by a hash of the id); prediction reads every byte of every document.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled document all are `und`;
 equal texts get equal results; ties go to the first language in order; other columns are never read; an empty table gives
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import crc_mod
+from strandloom.llm.common import crc_mod, free_name, given_back
 
-HIDDEN, WINDOW, PAD = 8, 64, 256
-PER_LANG, WINDOWS_A_DOC, BATCH, STEPS, RATE = 600, 6, 256, 260, 0.02
+HIDDEN, CORE, MARGIN, PAD = 8, 96, 16, 256
+TRAIN_WINDOW = 64
+#: PER_LANG bounds the sample that training sees: so many documents of each language are expected.
+PER_LANG, BATCH, STEPS, RATE = 600, 256, 260, 0.02
 UND = "und"
 
 
@@ -65,10 +68,11 @@ def _run(p: dict[str, np.ndarray], d: str, x: np.ndarray, keep: list | None = No
     return out
 
 
-def positions(p: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, dict]:
-    """Probabilities (T, B, languages) of every position."""
+def positions(p: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None, margin: int = 0) -> tuple[np.ndarray, dict]:
+    """Probabilities (T, B, languages) of every position but for a margin at both ends."""
     states = {d: _run(p, d, x, None if keep is None else keep.setdefault(d, [])) for d in "fb"}
-    logits = states["f"] @ p["Of"] + states["b"] @ p["Ob"] + p["c"]
+    inner = slice(margin, len(x) - margin)
+    logits = states["f"][inner] @ p["Of"] + states["b"][inner] @ p["Ob"] + p["c"]
     logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=2, keepdims=True)
@@ -109,7 +113,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, label: np.ndarray) -> tup
 
 
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS, seed: int = 1) -> Net:
-    """Adam over batches with as many windows of each language; windows (n, WINDOW) of byte values and PAD."""
+    """Adam over batches with as many windows of each language; windows (n, length) of byte values and PAD."""
     net, rng = Net.new(langs, seed), np.random.default_rng(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     by = [np.flatnonzero(labels == k) for k in range(len(langs))]
@@ -126,27 +130,29 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int
     return net
 
 
-def windows_of(data: np.ndarray) -> np.ndarray:
-    """All bytes as rows of WINDOW, the last one padded."""
-    out = np.full(-(-len(data) // WINDOW) * WINDOW, PAD, np.int16)
-    out[: len(data)] = data
-    return out.reshape(-1, WINDOW)
+def windows_of(data: np.ndarray, core: int = CORE, margin: int = MARGIN) -> np.ndarray:
+    """All bytes as rows of `core`, with a margin of their neighbours on both sides; PAD where there are none."""
+    n = -(-len(data) // core)
+    out = np.full(n * core + 2 * margin, PAD, np.int16)
+    out[margin : margin + len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(out, core + 2 * margin)[::core][:n] if n else np.empty((0, core + 2 * margin), np.int16)
 
 
 def pooled(net: Net, texts: list[str], batch: int = 2048) -> np.ndarray:
     """(texts, languages): mean probabilities over all positions of each text."""
     cut = [windows_of(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-    rows = np.concatenate(cut) if cut else np.empty((0, WINDOW), np.int16)
+    rows = np.concatenate(cut) if cut else np.empty((0, CORE + 2 * MARGIN), np.int16)
     total, length = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
     for at in range(0, len(rows), batch):
         x = np.ascontiguousarray(rows[at : at + batch].T)
-        prob, _ = positions(net.p, x)
-        prob *= (x != PAD)[:, :, None]
+        prob, _ = positions(net.p, x, margin=MARGIN)
+        real = x[MARGIN:-MARGIN] != PAD
+        prob *= real[:, :, None]
         summed = prob.sum(axis=0)
         for k in range(len(net.langs)):
             total[:, k] += np.bincount(owner[at : at + batch], summed[:, k], len(texts))
-        length += np.bincount(owner[at : at + batch], (x != PAD).sum(axis=0), len(texts))
+        length += np.bincount(owner[at : at + batch], real.sum(axis=0), len(texts))
     return total / np.maximum(length, 1)[:, None]
 
 
@@ -160,23 +166,13 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_lang: int = PER_
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, per_lang / counts[k]) * 2**30)))))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < share[F.col("lang")])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, of = [], []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                for k in range(min(WINDOWS_A_DOC, -(-len(data) // WINDOW))):
-                    at = k * max(0, len(data) - WINDOW) // max(1, WINDOWS_A_DOC - 1)
-                    out.append(data[at : at + WINDOW])
-                    of.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
-
-    rows = sorted((r["lang"], bytes(r["window"])) for r in sample.select("lang", "text").mapInArrow(cut, "lang string, window binary").collect())
-    if not rows:
+    texts = sorted((r["lang"], bytes(r["text"])) for r in sample.select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect())
+    cut = [windows_of(np.frombuffer(t, np.uint8), TRAIN_WINDOW, 0) for _, t in texts]
+    x, label = np.concatenate([np.empty((0, TRAIN_WINDOW), np.int16), *cut]), np.repeat([lang for lang, _ in texts], [len(c) for c in cut])
+    if not len(x):
         return None
-    langs = sorted({lang for lang, _ in rows})
-    x = np.stack([windows_of(np.frombuffer(w, np.uint8))[0] for _, w in rows])
-    return train(x, np.array([langs.index(lang) for lang, _ in rows]), langs)
+    langs = sorted(set(label.tolist()))
+    return train(x, np.searchsorted(langs, label), langs)
 
 
 def identify(docs: DataFrame, net: Net | None, keep: list[str], lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
@@ -187,7 +183,7 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str], lang_name: str =
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = part.column("__text").to_pylist()
+                texts = part.column(len(keep)).to_pylist()
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
                 able = [k for k, t in enumerate(texts) if net is not None and t and any(map(str.isalpha, t))]
                 if able:
@@ -195,5 +191,6 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str], lang_name: str =
                     for k, row in zip(able, prob, strict=True):
                         lang[k], score[k] = net.langs[int(row.argmax())], float(min(1.0, row.max()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, lang_name, score_name])
+        given_back()
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(f"`{c}`" for c in keep), F.col("text").alias(free_name(docs, "text"))).mapInArrow(run, schema)
