@@ -10,8 +10,9 @@ and read again as the next one's docs. All but the last return the columns of do
 - secrets replaces secrets in the texts; no document is dropped.
 - packing returns the pieces of the packed sequences.
 
-Rows with a null doc_id pass the joins unchanged; rows that share a doc_id are one document; extra columns pass through; an
-empty table stays empty.
+Rows with a null doc_id pass the joins unchanged. Rows that share a doc_id are one document, which stays or goes with all its
+texts; of its rows with equal texts one stays, the one whose other columns come first as JSON. Extra columns, whatever their
+names, pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,24 +21,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import langid, ngram_join, packing, secrets, substring
-from strandloom.llm.common import table, written
+from strandloom.llm.common import free_name, table, written
 from strandloom.llm.queries import tokenizer
 
 LEAST_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = langid.fit(docs)
-    told = langid.identify(docs, net, docs.columns, "__lang_pred", "__lang_score")
-    kept = told.where((F.col("__lang_pred") != langid.UND) & (F.col("__lang_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    told = langid.identify(docs, langid.fit(docs), docs.columns, lang, score)
+    kept = told.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.join(docs, n=5, percent=80)
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    version, row = free_name(docs, "version"), free_name(docs, "row")
+    kept = ngram_join.classes(docs, n=5, percent=80).where("component_id = doc_id").select("doc_id", F.col("version").alias(version)).distinct()
+    named = docs.where("doc_id is not null").withColumn(version, F.xxhash64("text")).join(kept, ["doc_id", version], "left_semi")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    # A row for each text of a document; the join has dealt the rows by these keys already.
+    one = named.groupBy("doc_id", version).agg(F.min_by(F.struct("text", *rest), F.to_json(F.struct(*rest)) if rest else F.lit("")).alias(row))
+    flat = one.select("doc_id", f"`{row}`.*")
+    return flat.select(*(f"`{c}`" for c in docs.columns)).union(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
