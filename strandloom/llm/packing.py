@@ -24,7 +24,7 @@ from strandloom.llm.bpe import byte_chars
 from strandloom.llm.common import given_back, written
 
 #: Words kept by a Python worker between tasks, in two generations.
-CACHE_WORDS = 240_000
+CACHE_WORDS = 500_000
 #: The tokenizer's own word pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Totals of parts that are broadcast at most: 16 bytes each.
@@ -65,7 +65,7 @@ class WordCoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.normal, self.pattern = self.lib.normalizer.normalize_str, regex.compile(WORD_PATTERN)
         self.stand_in = {b: c for c, b in byte_chars().items()}
-        self.known, self.parts = Recent(self.word, CACHE_WORDS), Recent(self.part, CACHE_WORDS // 4)
+        self.known, self.parts = Recent(self.word, CACHE_WORDS), Recent(self.part, CACHE_WORDS // 2)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
