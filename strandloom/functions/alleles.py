@@ -5,7 +5,7 @@ An allele is a code: "B:" and its bases, "DEL", "INS" or "MIS" (missing), so arr
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pseudo-autosomal ranges, 1-based and inclusive, by build and contig.
@@ -15,9 +15,27 @@ PAR = {
 }
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once for a row, however often later steps refer to it.
+
+    A projection would be merged into every later reference, and a filter on it pushed below with a copy of the expression;
+    a generator of one row is not.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends (trim() takes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def without_chr(c: Column) -> Column:
+    return F.when(c.startswith("chr"), F.substring(c, 4, 1 << 30)).otherwise(c)
 
 
 def complement(c: Column) -> Column:
@@ -42,8 +60,8 @@ def complement_upper(c: Column) -> Column:
 
 def canonical_contig(c: Column) -> Column:
     """Key under which contig names are the same: no chr, upper case, M and numbers by name."""
-    up = F.upper(F.regexp_replace(trimmed(c), "^chr", ""))
-    return F.when(up == "M", "MT").when(up.isin("23", "25"), "X").when(up == "24", "Y").when(up == "26", "MT").otherwise(up)
+    name = lambda up: F.when(up.isin("M", "26"), "MT").when(up.isin("23", "25"), "X").when(up == "24", "Y").otherwise(up)
+    return bound(F.upper(without_chr(trimmed(c))), name)
 
 
 def strand_contig(c: Column) -> Column:
@@ -66,14 +84,18 @@ def natural_order(c: Column) -> Column:
 
 def parse_genotype(raw: Column) -> Column:
     """Allele codes of a raw call."""
-    g = trimmed(raw)
-    piece = lambda s: F.when(trimmed(s) == "D", "DEL").when(trimmed(s) == "I", "INS").when(trimmed(s).isin("-", "0", "?"), "MIS").otherwise(F.concat(F.lit("B:"), trimmed(s)))
-    char = lambda s: F.when(F.upper(s).isin("A", "C", "G", "T", "N"), F.concat(F.lit("B:"), s)).when(F.upper(s) == "D", "DEL").when(F.upper(s) == "I", "INS").otherwise("MIS")
-    return (
-        F.when(g.contains("/"), F.transform(F.split(g, "/", -1), piece))
-        .when((F.length(g) > 2) & F.upper(g).rlike("^[ACGTN]+$"), F.array(F.concat(F.lit("B:"), F.upper(g))))
-        .otherwise(F.transform(F.regexp_extract_all(g, F.lit("(?s)."), F.lit(0)), char))
-    )
+    piece = lambda s: F.when(s == "D", "DEL").when(s == "I", "INS").when(s.isin("-", "0", "?"), "MIS").otherwise(F.concat(F.lit("B:"), s))
+    char = lambda s: F.when(s.isin(*"ACGTNacgtn"), F.concat(F.lit("B:"), s)).when(s.isin("D", "d"), "DEL").when(s.isin("I", "i"), "INS").otherwise("MIS")
+
+    def parsed(g: Column) -> Column:
+        return (
+            F.when(g.contains("/"), F.transform(F.transform(F.split(g, "/", -1), trimmed), piece))
+            .when((F.length(g) > 2) & g.rlike("^[ACGTNacgtn]+$"), F.array(F.concat(F.lit("B:"), F.upper(g))))
+            .when(g == "", F.array().cast("array<string>"))
+            .otherwise(F.transform(F.transform(F.sequence(F.lit(1), F.greatest(F.length(g), F.lit(1))), lambda i: F.substr(g, i, F.lit(1))), char))
+        )
+
+    return bound(trimmed(raw), parsed)
 
 
 def flip_bases(alleles: Column) -> Column:
@@ -121,8 +143,7 @@ def gt_remap(gt: Column, mapping: Column) -> Column:
 
 def haploid_collapse(alleles: Column) -> Column:
     """One allele: the only one that is called, else missing."""
-    seen = F.array_distinct(F.filter(alleles, lambda a: a != "MIS"))
-    return F.when(F.size(seen) == 1, seen).otherwise(F.array(F.lit("MIS")))
+    return bound(F.array_distinct(F.filter(alleles, lambda a: a != "MIS")), lambda seen: F.when(F.size(seen) == 1, seen).otherwise(F.array(F.lit("MIS"))))
 
 
 def is_par(contig: Column, pos: Column, build: str) -> Column:
@@ -136,17 +157,13 @@ def is_par(contig: Column, pos: Column, build: str) -> Column:
 def ploidy(contig: Column, pos: Column, sex: Column | str, build: str | None) -> Column:
     """haploid, diploid or zero, by canonical contig, position, sex (male, female, unknown) and pseudo-autosomal ranges."""
     sex = F.lit(sex) if isinstance(sex, str) else sex
-    name = canonical_contig(contig)
-    par = is_par(name, pos, build) if build else F.lit(False)
-    male = F.when(par, "diploid").otherwise("haploid")
-    return (
-        F.when(name == "MT", "haploid")
-        .when(~name.isin("X", "Y"), "diploid")
-        .when((name == "X") & (sex != "male"), "diploid")
-        .when((name == "Y") & (sex == "female"), "zero")
-        .when((name == "Y") & (sex == "unknown"), "haploid")
-        .otherwise(male)
-    )
+
+    def of(name: Column) -> Column:
+        male = F.when(is_par(name, pos, build) if build else F.lit(False), "diploid").otherwise("haploid")
+        other = F.when((name == "X") & (sex != "male"), "diploid").when((name == "Y") & (sex == "female"), "zero").when((name == "Y") & (sex == "unknown"), "haploid").otherwise(male)
+        return F.when(name == "MT", "haploid").when(~name.isin("X", "Y"), "diploid").otherwise(other)
+
+    return bound(canonical_contig(contig), of)
 
 
 def allele_index(allele: Column, ref: Column, alts: Column) -> Column:
@@ -168,8 +185,7 @@ def is_missing_call(genotype: Column) -> Column:
 
 def het_flag(genotype: Column) -> Column:
     """Exactly two alleles, both called, and different."""
-    a = F.transform(parse_genotype(genotype), F.upper)
-    return (F.size(a) == 2) & ~F.array_contains(a, "MIS") & (F.get(a, F.lit(0)) != F.get(a, F.lit(1)))
+    return bound(F.transform(parse_genotype(genotype), F.upper), lambda a: (F.size(a) == 2) & ~F.array_contains(a, "MIS") & (F.get(a, F.lit(0)) != F.get(a, F.lit(1))))
 
 
 def het_flag_vcf(gt: Column) -> Column:

@@ -9,29 +9,22 @@ from strandloom.functions import alleles as A
 from strandloom.operators.reference import reference_base, resolve_contig
 
 
-def tag(rows: DataFrame, reason: str, when: Column) -> DataFrame:
-    """Set `reason` on rows that have none yet."""
-    return rows.withColumn("reason", F.when(F.col("reason").isNull() & when, reason).otherwise(F.col("reason")))
-
-
 def dtc_to_variant(calls: DataFrame, contigs: DataFrame, blocks: DataFrame, sex: str = "unknown", build: str | None = "GRCh38", reverse: bool = False, variants_only: bool = False) -> DataFrame:
     """Columns of calls (chrom, pos, genotype among them), contig, contig_idx, ref, alts, symbolic, info, gt, reason.
 
     Rules in order: contig, reference base, alleles, strand, ploidy, ALT list, variants only, GT.
     """
-    rows = reference_base(resolve_contig(calls, contigs), blocks, out="ref").withColumn("reason", F.lit(None).cast("string"))
-    rows = tag(rows, "unknown_chromosomes", F.col("contig").isNull())
-    rows = tag(rows, "reference_failures", F.col("ref").isNull())
+    rows = reference_base(resolve_contig(calls, contigs), blocks, out="ref")
     parsed = A.parse_genotype(F.col("genotype"))
-    rows = rows.withColumn("__a", A.flip_bases(parsed) if reverse else parsed).withColumn("__p", A.ploidy(F.col("contig"), F.col("pos"), sex, build))
-    rows = tag(rows, "missing_genotype_records", F.col("__p") == "zero")
-    rows = rows.withColumn("__a", F.when(F.col("__p") == "haploid", A.haploid_collapse(F.col("__a"))).otherwise(F.col("__a")))
-    rows = rows.withColumn("alts", A.alt_alleles(F.col("__a"), F.col("ref")))
+    rows = A.computed(rows, __a=A.flip_bases(parsed) if reverse else parsed, __p=A.ploidy(F.col("contig"), F.col("pos"), sex, build))
+    rows = A.computed(rows, __called=F.when(F.col("__p") == "haploid", A.haploid_collapse(F.col("__a"))).otherwise(F.col("__a")))
+    rows = A.computed(rows, alts=A.alt_alleles(F.col("__called"), F.col("ref")))
+    rows = A.computed(rows, gt=A.gt_format(F.col("__called"), F.col("ref"), F.col("alts")))
+    reason = F.when(F.col("contig").isNull(), "unknown_chromosomes").when(F.col("ref").isNull(), "reference_failures").when(F.col("__p") == "zero", "missing_genotype_records")
     if variants_only:
-        rows = tag(rows, "skipped_reference_sites", F.size("alts") == 0)
-    rows = rows.withColumn("gt", A.gt_format(F.col("__a"), F.col("ref"), F.col("alts")))
-    rows = tag(rows, "invalid_genotypes", F.col("gt").isNull())
-    return rows.select(*calls.columns, "contig", "contig_idx", "ref", "alts", A.symbolic_alts(F.col("alts")).alias("symbolic"), A.symbolic_info(F.col("alts")).alias("info"), "gt", "reason")
+        reason = reason.when(F.size("alts") == 0, "skipped_reference_sites")
+    reason = reason.when(F.col("gt").isNull(), "invalid_genotypes")
+    return rows.select(*calls.columns, "contig", "contig_idx", "ref", "alts", A.symbolic_alts(F.col("alts")).alias("symbolic"), A.symbolic_info(F.col("alts")).alias("info"), "gt", reason.alias("reason"))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -40,6 +33,12 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", kind).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def swap_map(n_alts: Column, k: Column) -> Column:
+    """map<int,int> of allele numbers when the k-th ALT becomes the reference: 0 to 1, k to 0, the other ALTs in order from 2."""
+    number = F.sequence(F.lit(0), n_alts)
+    return F.map_from_arrays(number, F.transform(number, lambda i: F.when(i == 0, 1).when(i == k, 0).when(i < k, i + 1).otherwise(i).cast("int")))
+
+
 def polarize(rows: DataFrame, build: str | None = "GRCh38", sex: str = "unknown") -> DataFrame:
     """Variant rows (chrom, pos, ref, alts, gt, contig, ref_base) held against the reference; adds id and reason.
 
@@ -48,17 +47,14 @@ def polarize(rows: DataFrame, build: str | None = "GRCh38", sex: str = "unknown"
     """
     swap = (F.length("ref") == 1) & (F.col("ref") != F.col("ref_base")) & F.array_contains("alts", F.col("ref_base"))
     others = F.filter("alts", lambda a: a != F.col("ref_base"))
-    k = F.array_position("alts", F.col("ref_base"))
-    # 0 -> 1, the new reference -> 0, the others in order from 2
-    number = F.sequence(F.lit(0), F.size("alts"))
-    target = F.transform(number, lambda i: F.when(i == 0, 1).when(i == k, 0).when(i < k, i + 1).otherwise(i).cast("int"))
-    out = rows.withColumn("__swap", F.coalesce(swap, F.lit(False))).withColumn("__map", F.map_from_arrays(number, target)).withColumn("__others", others)
-    out = out.withColumn("reason", F.when(F.col("contig").isNull(), "unknown_chromosomes").when(F.col("ref_base").isNull(), "reference_failures").when((F.length("ref") > 1) & (F.upper(F.substring("ref", 1, 1)) != F.col("ref_base")), "anchor_mismatch").when(A.ploidy(F.col("contig"), F.col("pos"), sex, build) == "zero", "ploidy_zero"))
+    reason = (F.when(F.col("contig").isNull(), "unknown_chromosomes").when(F.col("ref_base").isNull(), "reference_failures").when((F.length("ref") > 1) & (F.upper(F.substring("ref", 1, 1)) != F.col("ref_base")), "anchor_mismatch").when(A.ploidy(F.col("contig"), F.col("pos"), sex, build) == "zero", "ploidy_zero"))
+    out = A.computed(rows, __swap=F.coalesce(swap, F.lit(False)), __k=F.array_position("alts", F.col("ref_base")), reason=reason)
     new_ref = F.when(F.col("__swap"), F.col("ref_base")).otherwise(F.col("ref"))
-    new_alts = F.when(F.col("__swap"), F.concat(F.array("ref"), "__others")).otherwise(F.col("alts"))
-    new_gt = F.when(F.col("__swap"), A.gt_remap(F.col("gt"), F.col("__map"))).otherwise(F.col("gt"))
+    new_alts = F.when(F.col("__swap"), F.concat(F.array("ref"), others)).otherwise(F.col("alts"))
+    new_gt = F.when(F.col("__swap"), A.gt_remap(F.col("gt"), swap_map(F.size("alts"), F.col("__k")))).otherwise(F.col("gt"))
     keep = [c for c in rows.columns if c not in ("ref", "alts", "gt")]
-    out = out.select(*keep, new_ref.alias("ref"), new_alts.alias("alts"), new_gt.alias("gt"), "reason")
+    out = A.computed(out.select(*keep, "reason", new_ref.alias("ref"), F.struct(new_alts.alias("alts"), new_gt.alias("gt")).alias("__new")), __made=F.col("__new"))
+    out = out.select(*keep, "ref", F.col("__made.alts").alias("alts"), F.col("__made.gt").alias("gt"), "reason")
     return out.withColumn("id", A.synthetic_id(F.col("contig"), F.col("pos"), F.col("ref"), F.col("alts")))
 
 

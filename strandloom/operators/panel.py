@@ -9,7 +9,7 @@ from strandloom.functions import alleles as A
 
 
 def bare(name: str) -> F.Column:
-    return F.regexp_replace(F.col(name), "^chr", "")
+    return A.without_chr(F.col(name))
 
 
 def panel_join(rows: DataFrame, panel: DataFrame) -> DataFrame:

@@ -58,6 +58,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out.withColumn("alts", F.split("alt", ",")) if name in ("sites", "panel", "asked") else out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores where their scan has fewer tasks, as a file of one row group has: for steps that compute much on each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def genome(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(contigs, blocks) of the reference of the queries: 1 to 22, X, Y, MT, each 16,384 bases of ACGT repeated."""
     contigs = spark.range(25).select(F.col("id").cast("int").alias("contig_idx"), F.when(F.col("id") < 22, (F.col("id") + 1).cast("string")).when(F.col("id") == 22, "X").when(F.col("id") == 23, "Y").otherwise("MT").alias("contig"))
@@ -111,7 +117,7 @@ def _variants(sex: str) -> str:
 
 def dtc(spark: SparkSession, sf_dir: str, sex: str = "female", **more) -> DataFrame:
     contigs, blocks = genome(spark)
-    return convert.dtc_to_variant(view(spark, sf_dir, "calls"), contigs, blocks, sex, "GRCh38", **more)
+    return convert.dtc_to_variant(spread(view(spark, sf_dir, "calls")), contigs, blocks, sex, "GRCh38", **more)
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------
@@ -584,7 +590,7 @@ ORACLES["strand_lock"] = f"""with calls as ({VIEWS["calls"]}), i as (select ord,
 
 def _plink_rows(spark, sf_dir):
     ids = F.when(F.col("rid") % 2 == 0, F.array(F.concat(F.lit("rs"), F.col("rid").cast("string")))).otherwise(F.array().cast("array<string>"))
-    return view(spark, sf_dir, "sites").withColumn("ids", ids).withColumn("gts", F.array("gt", F.lit("0/1"), F.lit("1/1"), F.lit("."), F.lit("2/1"), F.lit("0")))
+    return spread(view(spark, sf_dir, "sites")).withColumn("ids", ids).withColumn("gts", F.array("gt", F.lit("0/1"), F.lit("1/1"), F.lit("."), F.lit("2/1"), F.lit("0")))
 
 
 @query()

@@ -1,10 +1,12 @@
-"""PLINK 1.9 rows: variants are split by ALT, genotypes packed two bits each by an aggregate."""
+"""PLINK 1.9 rows: variants are split by ALT, genotypes packed two bits each inside the row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.alleles import computed
+
 #: Fixed value: first bytes of a SNP-major .bed file.
 BED_MAGIC = bytes([0x6C, 0x1B, 0x01])
 
@@ -21,21 +23,31 @@ def bim(rows: DataFrame) -> DataFrame:
     return split_alts(rows).select("ord", "alt_no", "chrom", F.concat(name, suffix).alias("id"), F.lit(0).alias("cm"), "pos", F.col("ref").alias("allele1"), F.col("one_alt").alias("allele2"))
 
 
-def code(gt: Column, alt_no: Column) -> Column:
-    """Two bits of a GT for one ALT: 0 copies 0, 1 copy 2, 2 copies 3, missing 1; one allele counts twice, more than two are missing."""
-    a = F.split(gt, "[/|]", -1)
-    pair = F.when(F.size(a) == 1, F.concat(a, a)).otherwise(a)
-    bad = (F.size(pair) != 2) | F.exists(pair, lambda x: x.try_cast("int").isNull())
-    copies = F.size(F.filter(pair, lambda x: x.try_cast("int") == alt_no))
-    return F.when(F.coalesce(bad, F.lit(True)), 1).when(copies == 2, 3).when(copies == 1, 2).otherwise(0)
+def called(rows: DataFrame) -> DataFrame:
+    """ord, alts, and by sample the two allele numbers of rows (ord, alts, gts): one allele counts twice, more than two or one that is no number are null."""
+    parts = F.transform("gts", lambda g: F.split(F.translate(g, "|", "/"), "/", -1))
+    rows = computed(rows.select("ord", "alts", "gts"), __p=parts)
+    one = F.transform("__p", lambda a: F.when(F.size(a) <= 2, F.get(a, F.lit(0)).try_cast("int")))
+    two = F.transform("__p", lambda a: F.get(a, F.size(a) - 1).try_cast("int"))
+    return computed(rows, __one=one, __two=two).select("ord", "alts", "__one", "__two")
+
+
+def bed_rows(rows: DataFrame) -> DataFrame:
+    """ord, alt_no, b: the bytes of each variant and ALT as array<int>, four samples each, low bits first, from the row's own genotypes.
+
+    A sample's two bits: 0 copies of the ALT 0, 1 copy 2, 2 copies 3, missing 1.
+    """
+    k = F.col("alt_no")
+    code = lambda x, y: F.when(x.isNull() | y.isNull(), 1).when((x == k) & (y == k), 3).when((x == k) | (y == k), 2).otherwise(0)
+    coded = computed(split_alts(called(rows)), __c=F.zip_with("__one", "__two", code))
+    at = lambda i, j: F.coalesce(F.get("__c", 4 * i + j), F.lit(0)) * (1 << 2 * j)
+    packed = F.transform(F.expr("sequence(0, cast((size(__c) - 1) div 4 as int))"), lambda i: at(i, 0) + at(i, 1) + at(i, 2) + at(i, 3))
+    return computed(coded.select("ord", "alt_no", "__c"), b=F.when(F.size("__c") > 0, packed).otherwise(F.array().cast("array<int>"))).select("ord", "alt_no", "b")
 
 
 def bed(rows: DataFrame) -> DataFrame:
-    """ord, alt_no, byte_no, byte of rows (ord, alts, gts): four samples a byte, low bits first."""
-    each = split_alts(rows).select("ord", "alt_no", F.posexplode("gts").alias("i", "gt"))
-    bits = F.expr("shiftleft(c, cast(2 * (i % 4) as int))")
-    packed = each.withColumn("c", code(F.col("gt"), F.col("alt_no"))).groupBy("ord", "alt_no", F.expr("i div 4").alias("byte_no"))
-    return packed.agg(F.sum(bits).cast("int").alias("byte"))
+    """ord, alt_no, byte_no, byte of rows (ord, alts, gts)."""
+    return bed_rows(rows).select("ord", "alt_no", F.posexplode("b").alias("byte_no", "byte"))
 
 
 def fam(spark: SparkSession, sample: str, sex: str) -> DataFrame:
@@ -44,5 +56,4 @@ def fam(spark: SparkSession, sample: str, sex: str) -> DataFrame:
 
 def bed_bytes(rows: DataFrame) -> DataFrame:
     """ord, alt_no, data: the bytes of each .bed row in order."""
-    cells = bed(rows).groupBy("ord", "alt_no").agg(F.array_sort(F.collect_list(F.struct("byte_no", "byte"))).alias("b"))
-    return cells.select("ord", "alt_no", F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x["byte"]), 2, "0")), "")).alias("data"))
+    return bed_rows(rows).select("ord", "alt_no", F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"))
