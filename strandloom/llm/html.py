@@ -2,15 +2,16 @@
 
 A page is a stream of tags and text slots. Folding turns tandem repeats into groups (x)+; aligning two expressions turns what
 only one has into optional groups (x)? and texts that differ into slots, so the wrapper of a host grows page by page.
-Wrappers are merged in three steps, in a task, in a salted part of a host and for the host, each over one small expression
-for each input of the step; a host with a third of all pages is never one task's group. Outside article and main elements, texts
-that stand at the same path on all pages of a host with pages that differ belong to the template; menus, headers, footers, sidebars, notices, adverts, forms and comments are told by
-their elements and class names. What stands under an article or main element is the content, and where a page has none,
-everything else in the body. Class names are a guess that the wrapper can overrule: where nothing is left without marked
-boxes, the slots of the host that vary inside them are the content, those under an article or main element first.
-
-Defined results: null html or html without main text gives an empty text; cut tags at the end are markup; a null url is a
-host of its own; repeated rows are extracted each; other columns are ignored; an empty table gives no rows.
+Wrappers are merged as a tree, in each step at most FAN of them, so a host with a third of all pages is never one task's group.
+What stands under an article or main element is the content, and where a page has none, everything else in the body but the
+template: texts that stand at the same path on all pages of a host with pages that differ. Menus, headers, footers, sidebars,
+notices, adverts, forms and comments are told by their elements and class names. Class names are a guess that is overruled: a
+page whose articles all bear such names is their text or the unmarked rest, whichever is more once the template is gone; and
+where nothing is left without marked boxes, the slots of the host that vary inside them are the content.
+
+Defined results: null html or html without main text gives an empty text; cut tags at the end are markup; an element that is
+not closed ends with the box around it; a null url is a host of its own; repeated rows are extracted each; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,19 +30,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import scan_parts, written
+
 #: HTML elements by role.
-SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "button", "textarea"}
+SKIP = {"object", "select", "button"}
 BOX = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "figure", "dialog"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CHROME = {"nav", "header", "footer", "aside", "form", "dialog"}
-CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "discussion", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
 #: Whole class names that mark a block element such as a paragraph.
 LEAF_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "cookie", "cookies", "newsletter", "promo", "share", "sponsored"}
 CONTENT = {"article", "main"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements without text of the page: the first group ends with the page where it is not closed, of the second an open tag alone counts for nothing.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<pair>noscript|template|svg|iframe)\b[^>]*(?<!/)>.*?</(?P=pair)\s*>"
+    r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    re.S | re.I,
+)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", re.I)
 LONGEST_PERIOD = 12
+#: Wrappers merged at once, and salts of a host where its rules can't be broadcast.
+FAN, SALTS = 32, 16
 
 
 def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
@@ -51,9 +62,9 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
         if m.start() > at:
             yield "text", "", page[at : m.start()]
         at = m.end()
-        if m[3]:
-            names = " ".join("".join(g) for g in NAMES.findall(m[4] or "")) if m[4] and not m[2] else ""
-            yield "close" if m[2] else "open", m[3].lower(), names.lower()
+        if m["tag"]:
+            names = " ".join("".join(g) for g in NAMES.findall(m["more"])) if m["more"] and not m["end"] else ""
+            yield "close" if m["end"] else "open", m["tag"].lower(), names.lower()
     if page and at < len(page):
         yield "text", "", page[at:]
 
@@ -76,12 +87,18 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 out.append((path(), text))
 
     for kind, tag, more in stream(page):
+        if skipping and kind != "text":
+            if kind == "close" and tag == skipping:
+                skipping = ""
+                continue
+            # Not closed: a box or heading cannot stand in it, and it ends with the box around it.
+            if tag in BOX and (kind == "open" or any(t == tag for t, _ in stack)) or tag in HEADINGS:
+                skipping = ""
         if kind == "text":
             if not skipping:
                 held.append(more)
         elif skipping:
-            if kind == "close" and tag == skipping:
-                skipping = ""
+            continue
         elif kind == "open" and tag in SKIP:
             skipping = tag
         elif tag in INLINE:
@@ -222,6 +239,9 @@ def main_text(page: list[tuple[str, str]], rule: dict) -> str:
                 left[key] -= 1
             else:
                 keep.append(t)
+        named = [t for p, t in page if in_content(p)]
+        if sum(map(len, named)) > sum(map(len, keep)) > 0:
+            keep = named
     if not keep:
         varied = set(rule["varied"])
         able = [(p, t) for p, t in page if (p in varied if rule["differ"] else in_content(p))]
@@ -234,7 +254,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
+def wrappers(pages: DataFrame) -> DataFrame:
     """host, rules: the wrapper of each host, as its extraction rules."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,40 +272,50 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
                     known[host][shape] = [1, e]
                 else:
                     seen[0], seen[1] = seen[0] + 1, [_met(a, b) for a, b in zip(seen[1], e, strict=True)]
-        salt = TaskContext.get().partitionId() % salts
+        salt = TaskContext.get().partitionId()
         rows = [(h, salt, *merged([tuple(x) for x in of.values()]), *ends[h]) for h, of in known.items()]
         col = lambda i, kind: pa.array([json.dumps(r[i]) if i == 3 else r[i] for r in rows], kind)
         yield pa.RecordBatch.from_arrays([col(0, pa.string()), col(1, pa.int32()), col(2, pa.int64()), col(3, pa.string()), col(4, pa.string()), col(5, pa.string())], names=["host", "salt", "pages", "wrapper", "lo", "hi"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         pages, wrapper = merged([(int(n), json.loads(w)) for n, w in zip(rows["pages"], rows["wrapper"], strict=True)])
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [0], "pages": [pages], "wrapper": [json.dumps(wrapper)], "lo": [rows["lo"].min()], "hi": [rows["hi"].max()]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [rows["salt"].iloc[0]], "pages": [pages], "wrapper": [json.dumps(wrapper)], "lo": [rows["lo"].min()], "hi": [rows["hi"].max()]})
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         one = merge(rows)
         return pd.DataFrame({"host": one["host"], "rules": [rules(one["lo"][0] != one["hi"][0], json.loads(one["wrapper"][0]))]})
 
     schema = "host string, salt int, pages long, wrapper string, lo string, hi string"
-    parts = pages.select("url", "html").mapInArrow(infer, schema).groupBy("host", "salt").applyInPandas(merge, schema)
+    source = pages.select("url", "html")
+    parts, left = source.mapInArrow(infer, schema), scan_parts(source)
+    while left > FAN:  # a tree: each step merges FAN parts of a host
+        left = -(-left // FAN)
+        parts = parts.withColumn("salt", (F.col("salt") % left).cast("int")).groupBy("host", "salt").applyInPandas(merge, schema)
     return parts.groupBy("host").applyInPandas(finish, "host string, rules string")
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """page_id, url, text, n_chars. The rules are broadcast only if they are small by measure, else both sides are joined by host."""
-    from strandloom.llm.common import written
-
     found = written(wrappers(pages))
     size = found.agg(F.sum(F.length("host") + F.length("rules") + 64)).first()[0] or 0
     kind = pages.schema["page_id"].dataType.simpleString()
-    side = F.broadcast(found) if size <= broadcast_bytes else found
     host = F.coalesce(F.lower(F.regexp_extract("url", "(?i)" + HOST.pattern, 1)), F.lit(""))
-    met = pages.select("page_id", "url", "html", host.alias("__host")).join(side, F.col("__host") == F.col("host"), "left").select("page_id", "url", "html", "rules")
+    asked = pages.select("page_id", "url", "html", host.alias("of"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("of_salt"))
+    if size <= broadcast_bytes:
+        met = asked.join(F.broadcast(found), F.col("of") == F.col("host"), "left")
+    else:  # a host with very many pages is SALTS tasks
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asked.join(salted, (F.col("of") == F.col("host")) & (F.col("of_salt") == F.col("salt")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rule = None, {"fixed": [], "varied": [], "differ": False}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [main_text(blocks(h), json.loads(r) if r else {"fixed": [], "varied": [], "differ": False}) for h, r in zip(part.column("html").to_pylist(), part.column("rules").to_pylist(), strict=True)]
+                part, texts = batch.slice(i, 256), []
+                for page, r in zip(part.column("html").to_pylist(), part.column("rules").to_pylist(), strict=True):
+                    if r and r != last:
+                        last, rule = r, json.loads(r)
+                    texts.append(main_text(blocks(page), rule))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return met.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "rules").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
