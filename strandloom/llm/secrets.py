@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -95,8 +96,16 @@ def all_spans(text: str | None, path: str) -> tuple[list, list]:
     """(base spans, all spans); what a base span covers of a random string is not told twice."""
     if not text:
         return [], []
-    base = base_spans(text)
-    more = [x for r in random_spans(text, path) for x in uncovered(r, [s for s in base if s[0] < r[2] and r[0] < s[2]], text, path)]
+    base, more, lo = base_spans(text), [], 0
+    reach = list(accumulate((s[2] for s in base), max))  # the furthest end so far: what ends before a random string is passed over for good
+    for r in random_spans(text, path):
+        while lo < len(base) and reach[lo] <= r[0]:
+            lo += 1
+        met, k = [], lo
+        while k < len(base) and base[k][0] < r[2]:
+            met += [base[k]] if base[k][2] > r[0] else []
+            k += 1
+        more += uncovered(r, met, text, path)
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
