@@ -3,12 +3,15 @@
 Writing: a payload becomes 8-bit grey frames of 16 x 16 blocks, each block flat at one payload byte. Quantised by 8, its DC
 coefficient is that byte less 128 exactly, so baseline JPEG stores it without loss. The Huffman tables give a difference of
 category s a code of 9 - s bits, so every block takes ten bits with its end-of-block code, and a frame is coded and decoded
-by whole-array operations. Reading: RIFF chunks and the idx1 index give the frames, each is decoded as a JPEG intra frame
-(any baseline grey or colour file; files with even block lengths take the array path), and shots are cut where the
-histogram difference of neighbouring frames stands out of the differences before it.
-
-Defined results: a null text is empty; an empty text is one block of 64 zero bytes; equal texts give equal bytes; a file
-without frames gives no clips; repeated rows and other columns change nothing; an empty table gives no rows.
+by whole-array operations. Reading: RIFF chunks and the idx1 index give the frames, each is decoded as a JPEG intra frame to
+the pixels of its first component (any baseline grey or colour file, with restart intervals too), and shots are cut where the
+difference of neighbouring frames' histograms stands out of the differences before it. Frames with this module's own header
+hold flat blocks of even code length, so their pixels are known from the blocks, which decode together as arrays.
+
+Defined results: a null text is empty; an empty text is one block of 64 zero bytes; equal texts give equal bytes; frames may
+differ in size; a frame that can't be decoded (cut short, not baseline, no JPEG) counts as equal to the one before; a file
+without a frame that can be decoded, and bytes that are no AVI file, give no clips; repeated rows and other columns change
+nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,12 +108,13 @@ def riff(data: bytes) -> dict:
         kind = bytes(view[a : a + 4]) if tag == b"LIST" else b""
         if kind == b"hdrl":
             for t, x, _ in chunks(view, a + 4, b):
-                if t == b"avih" and (us := struct.unpack_from("<I", view, x)[0]):
+                if t == b"avih" and x + 4 <= len(data) and (us := struct.unpack_from("<I", view, x)[0]):
                     out["fps"] = 1e6 / us
         elif kind == b"INFO":
             for t, x, y in chunks(view, a + 4, b):
                 if t == b"ICMT" and bytes(view[x : x + 8]) == b"payload=":
-                    out["payload"] = int(bytes(view[x + 8 : y]).rstrip(b"\0"))
+                    told = bytes(view[x + 8 : y]).rstrip(b"\0")
+                    out["payload"] = int(told) if told.isdigit() else None
         elif kind == b"movi":
             movi = (a, b)
         elif tag == b"idx1":
@@ -124,96 +128,138 @@ def riff(data: bytes) -> dict:
     return out
 
 
-def block_means(jpeg: bytes) -> np.ndarray:
-    """The mean grey level of each 8 x 8 block of a baseline JPEG's first component: the DC image, in raster order of the scan."""
-    at, dqt, tables, comps, restart = 2, {}, {}, [], 0
+#: The order of a block's coefficients: diagonals, up and down in turn.
+ZIGZAG = np.array([8 * i + j for i, j in sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
+_u = np.arange(8)
+#: Cosine basis, one row for each frequency.
+DCT = np.cos((2 * _u[None, :] + 1) * _u[:, None] * np.pi / 16) * np.where(_u[:, None] == 0, np.sqrt(1 / 8), 0.5)
+
+
+class Bits:
+    """The bits of a scan between two restart markers; beyond its end come zeros, up to a limit."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.most = data + bytes(8), 0, 8 * len(data)
+
+    def peek(self, n: int) -> int:
+        k = self.at >> 3
+        return int.from_bytes(self.data[k : k + 5], "big") >> (40 - n - (self.at & 7)) & (1 << n) - 1
+
+    def take(self, n: int) -> int:
+        out = self.peek(n) if n else 0
+        self.at += n
+        if self.at > self.most:
+            raise ValueError("the frame is cut short")
+        return out
+
+    def symbol(self, table: np.ndarray) -> int:
+        entry = int(table[self.peek(16)])
+        if not entry:
+            raise ValueError("no such code")
+        self.take(entry >> 8)
+        return entry & 255
+
+    def number(self, n: int) -> int:
+        v = self.take(n)
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+
+def decode(jpeg: bytes) -> np.ndarray:
+    """Pixels (rows, columns) of a baseline JPEG's first component; ValueError if it can't be decoded."""
+    try:
+        return _decode(jpeg)
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError("not a whole JPEG") from e
+
+
+def _decode(jpeg: bytes) -> np.ndarray:
+    at, quant, tables, comps, restart, high, wide = 2, {}, {}, [], 0, 0, 0
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
     while jpeg[at + 1] != 0xDA:
         marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + n]
+        if jpeg[at] != 0xFF or n < 2:
+            raise ValueError("no marker where one belongs")
         if marker == 0xDB:
             while body:
-                wide = body[0] >> 4
-                dqt[body[0] & 15] = struct.unpack_from(">H", body, 1)[0] if wide else body[1]
-                body = body[1 + 64 * (1 + wide) :]
+                size = 1 + (body[0] >> 4)
+                quant[body[0] & 15] = np.frombuffer(body, f">u{size}", 64, 1).astype(np.int64)
+                body = body[1 + 64 * size :]
         elif marker == 0xC4:
             while body:
-                counts, table, code, k = body[1:17], {}, 0, 17
-                for length, c in enumerate(counts, 1):
+                table, code, k = np.zeros(1 << 16, np.uint16), 0, 17
+                for length, c in enumerate(body[1:17], 1):
                     for _ in range(c):
-                        table[length, code] = body[k]
+                        table[code << 16 - length : code + 1 << 16 - length] = length << 8 | body[k]
                         code, k = code + 1, k + 1
                     code <<= 1
                 tables[body[0]] = table
                 body = body[k:]
-        elif marker == 0xC0:
-            h, w = struct.unpack_from(">HH", body, 1)
+        elif marker in (0xC0, 0xC1) and body[0] == 8:
+            high, wide = struct.unpack_from(">HH", body, 1)
             comps = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
-        elif 0xC1 <= marker <= 0xCF:
+        elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a baseline JPEG")
         at += 2 + n
-    sos = jpeg[at + 4 : at + 2 + struct.unpack_from(">H", jpeg, at + 2)[0]]
+    n = struct.unpack_from(">H", jpeg, at + 2)[0]
+    sos = jpeg[at + 4 : at + 2 + n]
     chosen = {sos[1 + 2 * i]: (tables[sos[2 + 2 * i] >> 4], tables[0x10 | sos[2 + 2 * i] & 15]) for i in range(sos[0])}
-    at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
-    data, end = bytearray(), len(jpeg)
-    while at < end:  # up to the end marker; stuffed zeros and restart markers go
+    if not comps or not high or not wide or len(chosen) != len(comps):
+        raise ValueError("no frame of one scan")
+    runs, data = [], bytearray()
+    at += 2 + n
+    while True:  # up to the end marker; stuffed zeros go, restart markers part the runs
         k = jpeg.find(b"\xff", at)
-        data += jpeg[at : k if k >= 0 else end]
-        if k < 0 or jpeg[k + 1] not in (0, *range(0xD0, 0xD8)):
+        data += jpeg[at : k if k >= 0 else len(jpeg)]
+        if k < 0 or k + 1 >= len(jpeg) or jpeg[k + 1] not in (0, *range(0xD0, 0xD8)):
             break
-        if not jpeg[k + 1]:
+        if jpeg[k + 1]:
+            runs.append(Bits(bytes(data)))
+            data = bytearray()
+        else:
             data.append(255)
-        elif restart:
-            raise ValueError("restart intervals are not supported")
         at = k + 2
-    bits, pos = int.from_bytes(data, "big"), 8 * len(data)
-
-    def take(n: int) -> int:
-        nonlocal pos
-        pos -= n
-        return bits >> pos & (1 << n) - 1
-
-    def symbol(table: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | take(1)
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such code")
-
-    hm, vm = max(c[1] for c in comps), max(c[2] for c in comps)
-    one = len(comps) == 1
-    mcus = -(-w // (8 * (1 if one else hm))) * -(-h // (8 * (1 if one else vm)))
-    last, out = dict.fromkeys((c[0] for c in comps), 0), []
-    for _ in range(mcus):
-        for c, hs, vs, q in comps:
-            for _ in range(1 if one else hs * vs):
-                s = symbol(chosen[c][0])
-                v = take(s) if s else 0
-                last[c] += v if not s or v >> (s - 1) else v - (1 << s) + 1
+    runs.append(Bits(bytes(data)))
+    one = len(comps) == 1  # a scan of one component is not interleaved
+    hm, vm = (1, 1) if one else (max(c[1] for c in comps), max(c[2] for c in comps))
+    across, down = -(-wide // (8 * hm)), -(-high // (8 * vm))
+    ch, cv = (1, 1) if one else comps[0][1:3]
+    grid = np.zeros((down * cv, across * ch, 64), np.int64)
+    bits, last = runs[0], {}
+    for mcu in range(across * down):
+        if mcu == 0 or restart and mcu % restart == 0:
+            bits, last = runs[mcu // restart if restart else 0], dict.fromkeys((c[0] for c in comps), 0)
+        for c, hs, vs, _ in comps:
+            dc, ac = chosen[c]
+            for b in range(1 if one else hs * vs):
+                last[c] += bits.number(bits.symbol(dc) & 15)
+                first = c == comps[0][0]
+                block = grid[mcu // across * cv + b // ch, mcu % across * ch + b % ch] if first else None
+                if first:
+                    block[0] = last[c]
                 k = 1
                 while k < 64:
-                    rs = symbol(chosen[c][1])
-                    if rs & 15:
-                        take(rs & 15)
-                    elif rs != 0xF0:
+                    rs = bits.symbol(ac)
+                    if not rs & 15 and rs != 0xF0:
                         break
-                    k += (rs >> 4) + 1
-                if c == comps[0][0]:
-                    out.append(last[c] * dqt[q] / 8 + 128)
-    return np.array(out).clip(0, 255)
-
-
-def grey_frames(data: bytes, index: dict) -> np.ndarray:
-    """One row of block levels for each frame. Frames with this module's header decode together; others one by one."""
-    raw = [data[a:b] for a, b in index["frames"]]
-    if not raw:
-        return np.zeros((0, FRAME_BYTES))
-    if not all(f.startswith(HEADER) for f in raw):
-        rows = [block_means(f) for f in raw]
-        return np.stack([r[: min(map(len, rows))] for r in rows])
-    out = []
+                    k += rs >> 4
+                    v = bits.number(rs & 15)
+                    if first and rs & 15:
+                        block[k] = v
+                    k += 1
+    flat = np.zeros_like(grid)
+    flat[:, :, ZIGZAG] = grid * quant[comps[0][3]]
+    pixels = DCT.T @ flat.reshape(*grid.shape[:2], 8, 8) @ DCT + 128
+    whole = np.rint(pixels).clip(0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(down * cv * 8, across * ch * 8)
+    return whole[: -(-high * cv // vm), : -(-wide * ch // hm)]
+
+
+def own_blocks(raw: list[bytes]) -> np.ndarray:
+    """Levels of the flat blocks, FRAME_BYTES for each of the frames with this module's header."""
+    out = [np.zeros((0, FRAME_BYTES), np.uint8)]
     for at in range(0, len(raw), 1024):
         scans = b"".join(f[len(HEADER) : -2].replace(b"\xff\x00", b"\xff") for f in raw[at : at + 1024])
         bits = np.unpackbits(np.frombuffer(scans, np.uint8)).reshape(-1, FRAME_BYTES, 10)
@@ -221,14 +267,30 @@ def grey_frames(data: bytes, index: dict) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shots(grey: np.ndarray, sigma: float = 3.0, least: float = 0.25, window: int = 12) -> list[tuple[int, int]]:
-    """[start, end) of the shots. A cut lies where the difference of 16-level histograms (0 to 1) is at least `least` and
+def histograms(grey: np.ndarray) -> np.ndarray:
+    """Shares of 16 grey levels in each row of pixels, or of blocks that are flat and of one size."""
+    level = (np.arange(len(grey))[:, None] * 16 + (grey.astype(np.int64) >> 4)).ravel()
+    return np.bincount(level, minlength=16 * len(grey)).reshape(-1, 16) / max(1, grey.shape[1])
+
+
+def frame_histograms(raw: list[bytes]) -> np.ndarray:
+    """One row for each frame, from the first that can be decoded on; one that can't repeats the row before."""
+    rows: list[np.ndarray] = []
+    for f in raw:
+        try:
+            rows.append(histograms(decode(f).reshape(1, -1))[0])
+        except ValueError:
+            if rows:
+                rows.append(rows[-1])
+    return np.array(rows).reshape(-1, 16)
+
+
+def shots(hist: np.ndarray, sigma: float = 3.0, least: float = 0.25, window: int = 12) -> list[tuple[int, int]]:
+    """[start, end) of the shots of frames' histograms. A cut lies where the difference of two (0 to 1) is at least `least` and
     beyond the mean by sigma standard deviations of the `window` differences before it."""
-    n = len(grey)
+    n = len(hist)
     if n < 2:
         return [(0, n)] if n else []
-    level = (np.arange(n)[:, None] * 16 + (grey.astype(np.int64) >> 4)).ravel()
-    hist = np.bincount(level, minlength=16 * n).reshape(n, 16) / grey.shape[1]
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
     s1, s2 = np.concatenate([[0], np.cumsum(diff)]), np.concatenate([[0], np.cumsum(diff**2)])
     k = np.arange(len(diff))
@@ -247,11 +309,16 @@ def payload_of(text: str | None) -> bytes:
 
 
 def describe(data: bytes) -> tuple[bytes, list[tuple[float, float]]]:
-    """(payload read back, clips in milliseconds) of one file."""
+    """(payload read back, clips in milliseconds) of one file; only files of this module have a payload."""
     index = riff(data)
-    grey = grey_frames(data, index)
-    stored = grey.astype(np.uint8).tobytes()
-    return stored[: index["payload"]] if index["payload"] is not None else stored, [(1000 * a / index["fps"], 1000 * b / index["fps"]) for a, b in shots(grey)]
+    raw = [data[a:b] for a, b in index["frames"]]
+    if raw and index["payload"] is not None and all(f.startswith(HEADER) for f in raw):
+        grey = own_blocks(raw)
+        stored, hist, late = grey.tobytes()[: index["payload"]], histograms(grey), 0
+    else:
+        stored, hist = b"", frame_histograms(raw)
+        late = len(raw) - len(hist)  # frames before the first that can be decoded
+    return stored, [(1000 * (a + late) / index["fps"], 1000 * (b + late) / index["fps"]) for a, b in shots(hist)]
 
 
 def store(docs: DataFrame) -> DataFrame:
