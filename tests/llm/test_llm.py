@@ -250,14 +250,66 @@ def test_media_round_trip(spark, docs, empty):
 def test_general_jpeg_decoder_agrees():
     payload = np.frombuffer(media.payload_of("hello wörld " * 15), np.uint8)
     (frame,) = media.frames_of(payload)
-    assert media.block_means(frame)[: len(payload)].tolist() == payload.tolist()
-
-
-def test_shots_are_cut_where_histograms_change():
-    rng = np.random.default_rng(0)
-    grey = np.concatenate([rng.integers(0, 60, (20, 256)), rng.integers(120, 250, (20, 256)), rng.integers(0, 60, (5, 256))])
-    assert media.shots(grey) == [(0, 20), (20, 40), (40, 45)]
-    assert media.shots(grey[:0]) == [] and media.riff(b"not a file")["frames"] == []
+    pixels = media.decode(frame)
+    assert pixels.shape == (128, 128)
+    blocks = pixels.reshape(16, 8, 16, 8).transpose(0, 2, 1, 3).reshape(256, 64)
+    assert (blocks == blocks[:, :1]).all() and blocks[: len(payload), 0].tolist() == payload.tolist()
+
+
+def coded_jpeg(pixels, restart=0, chroma=False):
+    """A plain encoder with all coefficients, quantised by 1; every symbol's code is the symbol itself in 8 bits."""
+    seg = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    table = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))
+    h, w = pixels.shape
+    parts, step = [(1, 0x22), (2, 0x11), (3, 0x11)] if chroma else [(1, 0x11)], 16 if chroma else 8
+    bits, out, mcu, last = "", b"", 0, 0
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush():
+        whole = bits + "1" * (-len(bits) % 8)
+        return bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8)).replace(b"\xff", b"\xff\x00")
+
+    for y in range(0, h, step):
+        for x in range(0, w, step):
+            if restart and mcu and mcu % restart == 0:
+                out, bits, last = out + flush() + bytes([0xFF, 0xD0 + (mcu // restart - 1) % 8]), "", 0
+            for dy in range(0, step, 8):
+                for dx in range(0, step, 8):
+                    c = np.rint(media.DCT @ (pixels[y + dy : y + dy + 8, x + dx : x + dx + 8].astype(float) - 128) @ media.DCT.T).astype(int).ravel()[media.ZIGZAG].tolist()
+                    n, more = number(c[0] - last)
+                    bits, last, run = bits + format(n, "08b") + more, c[0], 0
+                    for v in c[1:]:
+                        if not v:
+                            run += 1
+                            continue
+                        n, more = number(v)
+                        bits, run = bits + format(0xF0, "08b") * (run // 16) + format(run % 16 << 4 | n, "08b") + more, 0
+                    bits += format(0, "08b") if run else ""
+            bits += format(0, "016b") * (2 * chroma)
+            mcu += 1
+    frame = seg(0xC0, bytes([8, *h.to_bytes(2, "big"), *w.to_bytes(2, "big"), len(parts)]) + b"".join(bytes([i, s, 0]) for i, s in parts))
+    scan = seg(0xDA, bytes([len(parts)]) + b"".join(bytes([i, 0]) for i, _ in parts) + bytes([0, 63, 0]))
+    head = seg(0xDB, b"\0" + bytes([1] * 64)) + frame + seg(0xC4, b"\x00" + table) + seg(0xC4, b"\x10" + table) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    return b"\xff\xd8" + head + scan + out + flush() + b"\xff\xd9"
+
+
+def test_frames_of_other_writers():
+    rng = np.random.default_rng(4)
+    pixels = (rng.integers(0, 200, (32, 48)) + np.arange(48)).clip(0, 255)
+    for restart in (0, 2):
+        for chroma in (False, True):
+            got = media.decode(coded_jpeg(pixels, restart, chroma)).astype(int)
+            assert got.shape == pixels.shape and np.abs(got - pixels).max() <= 2
+    good = coded_jpeg(pixels)
+    for bad in (b"", b"no", good[:40], good[:-300], good.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+    dark, light = coded_jpeg(np.full((16, 16), 9)), coded_jpeg(np.full((8, 24), 220))
+    hist = media.frame_histograms([b"bad", dark, dark, b"", light, good[:40], light])
+    assert hist.shape == (6, 16) and media.shots(hist) == [(0, 3), (3, 6)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
@@ -303,6 +355,31 @@ def test_wrapper_overrules_class_names(spark):
     assert all(got[i] == got[30 + i] == f"T{i}\nown {i}" and got[10 + i] == f"own {i}" for i in range(3)) and got[20] == "only page"
 
 
+def test_unclosed_elements_and_no_head_end(spark):
+    body = "<article><h1>T{0}</h1><p>text {0}</p></article>"
+    pages = [
+        "<head><meta charset=utf-8><body>" + body, "<svg viewBox='0'/><p>x</p>" + body, "<div><button>Press<div></div></div>" + body, "<nav><select><option>a</nav>" + body,
+        body.replace("<p>", "<button>Copy</button><p>"), body + "<svg><text>no</text></svg><iframe>", "<template><p>no</p></template>" + body, "<article class='share'><h1>T{0}</h1><p>text {0}</p></article><p>Site</p>",
+        "<article><h1>T{0}</h1><section id='discussion'><p>text {0}</p></section></article>",
+    ]
+    rows = [(100 * k + i, f"http://h{k}.org/{i}", p.replace("{0}", str(i))) for k, p in enumerate(pages) for i in range(3)]
+    rows += [(9000 + i, "http://same.org/", body) for i in range(10)]  # repeated rows and ties
+    long = "<article>" + "".join(f"<p>line {i} &amp; more</p>" for i in range(20_000)) + "</article>"
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([*rows, (9999, "http://h1.org/long", long)], "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: "T{0}\ntext {0}".replace("{0}", str(i % 100)) if i < 9000 else "T{0}\ntext {0}" for i, _, _ in rows}
+    assert got[9999] == "\n".join(f"line {i} & more" for i in range(20_000))
+
+
+def test_wrapper_changes_the_outcome_and_tree_and_salts_agree(spark):
+    """On hosts without article elements the template goes because the wrapper has it, also over many parts and without a broadcast."""
+    rows = [(i, f"http://w{i % 2}.org/{i}", f"<div><p>Template line</p><div><h2>Title {i}</h2><p>own {i}</p></div><p>End line</p></div>") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40)
+    for limit in (16 << 20, 0):
+        got = {r["page_id"]: r["text"] for r in html.extract(pages, limit).collect()}
+        assert got == {i: f"Title {i}\nown {i}" for i, _, _ in rows}
+    assert html.main_text(html.blocks(rows[0][2]), {"fixed": [], "varied": [], "differ": False}) == "Template line\nTitle 0\nown 0\nEnd line"
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     one = html.expression([("a", "x"), ("p", "1"), ("p", "2"), ("z", "end")])
     two = html.expression([("a", "x"), ("p", "3"), ("q", "only here"), ("z", "end")])
@@ -437,7 +514,8 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
         kept = spark.read.parquet(f"{tmp_path}/{k}")
         assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    assert ids == {None, 0, 5, 7, 9, 11, 12, 14} | ({8} & ids)
+    # 8 has two word n-grams, one of them all that 7 has: a similarity of 0.5, so it stays
+    assert ids == {None, 0, 5, 7, 8, 9, 11, 12, 14}
     out = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r["doc_id"] for r in out} == ids
     none = empty
