@@ -59,6 +59,15 @@ def polarize(rows: DataFrame, build: str | None = "GRCh38", sex: str = "unknown"
 
 
 def order_keys(name: str = "chrom", pos: str = "pos", tie: str = "ord") -> list[Column]:
-    """Sort keys of output rows; the last makes the order total."""
+    """Sort keys of output rows by natural order of contigs; the last makes the order total."""
     n = A.natural_order(F.col(name))
     return [n["rank"], n["tail"], F.col(pos), F.col(tie)]
+
+
+def reference_order(rows: DataFrame, name: str = "chrom") -> list[Column]:
+    """(rank, tail) keys by the order of the reference's contigs where rows have contig_idx, those it lacks after them in natural order."""
+    n = A.natural_order(F.col(name))
+    if "contig_idx" not in rows.columns:
+        return [n["rank"], n["tail"]]
+    known = F.col("contig_idx").isNotNull()
+    return [F.when(known, F.col("contig_idx").cast("long")).otherwise(n["rank"] + (1 << 40)), F.when(known, "").otherwise(n["tail"])]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as A
+from strandloom.functions.alleles import bound, computed
 from strandloom.operators.reference import reference_base, resolve_contig
 
-BUILD_ROWS, STRAND_ROWS, STRAND_LEAST, STRAND_SHARE = 1000, 2000, 50, 0.90
+BUILD_ROWS, FIRST_CALLS, STRAND_ROWS, STRAND_LEAST, STRAND_SHARE = 1000, 5000, 2000, 50, 0.90
 
 
 def first_rows(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -26,17 +27,47 @@ def build_rates(rows: DataFrame, references: dict[str, tuple[DataFrame, DataFram
     return out
 
 
+def build_calls(calls: DataFrame) -> DataFrame:
+    """The calls that tell the build: of the first FIRST_CALLS rows the homozygous single bases outside X, Y and mitochondria, BUILD_ROWS at most; with `base`."""
+    first = first_rows(calls, FIRST_CALLS)
+    base = bound(A.parse_genotype(F.col("genotype")), lambda a: F.when((F.size(a) > 0) & (F.size(F.array_distinct(F.transform(a, F.upper))) == 1) & F.get(a, F.lit(0)).rlike("^B:[ACGTacgt]$"), F.upper(F.substring(F.get(a, F.lit(0)), 3, 1))))
+    return first_rows(computed(first.where(autosomal(F.col("chrom"))), base=base).where("base is not null"), BUILD_ROWS)
+
+
+def build_sites(sites: DataFrame) -> DataFrame:
+    """The same of variant rows: single-base REFs at a real position; with `base`."""
+    good = sites.where(autosomal(F.col("chrom")) & F.upper("ref").isin("A", "C", "G", "T") & (F.col("pos") > 0))
+    return first_rows(good, BUILD_ROWS).withColumn("base", F.upper("ref"))
+
+
+def autosomal(chrom: Column) -> Column:
+    return ~F.upper(chrom).isin("X", "Y", "CHRX", "CHRY", "MT", "CHRM")
+
+
+def builds_match(a: str, b: str) -> bool:
+    """Whether two names mean one build: GRCh37 and hg19, or GRCh38 and hg38."""
+    return any(all(any(k in x.lower() for k in names) for x in (a, b)) for names in (("37", "hg19"), ("38", "hg38")))
+
+
 def classify_build(rates: dict[str, float | None]) -> str:
     """The build of the better rate; GRCh38 where they tie or neither is known."""
     a, b = rates.get("GRCh37"), rates.get("GRCh38")
     return "GRCh37" if a is not None and (b is None or a > b) else "GRCh38"
 
 
+def site_sex_counts(sites: DataFrame, build: str) -> DataFrame:
+    """sex_counts of variant rows (chrom, pos, gt)."""
+    return _sex_counts(sites, build, ~F.col("gt").rlike(r"^[./|]*$"), A.het_flag_vcf(F.col("gt")))
+
+
 def sex_counts(calls: DataFrame, build: str) -> DataFrame:
     """Attempts, calls and heterozygotes on autosomes, X and Y outside the pseudo-autosomal ranges."""
+    return _sex_counts(calls, build, ~A.is_missing_call(F.col("genotype")), A.het_flag(F.col("genotype")))
+
+
+def _sex_counts(calls: DataFrame, build: str, called: Column, het: Column) -> DataFrame:
     kind = A.chrom_class(F.col("chrom"))
     y = (kind == "Y") & ~A.is_par(F.lit("Y"), F.col("pos"), build)
-    called, het = ~A.is_missing_call(F.col("genotype")), A.het_flag(F.col("genotype"))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return calls.agg(n(kind == "autosome").alias("autosome"), n((kind == "autosome") & called).alias("autosome_called"), n((kind == "autosome") & het).alias("autosome_het"), n(kind == "X").alias("x"), n((kind == "X") & het).alias("x_het"), n(y).alias("y"), n(y & called).alias("y_called"))
 

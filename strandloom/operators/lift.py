@@ -19,7 +19,7 @@ def lift_point(points: DataFrame, blocks: DataFrame, key: str = "rid", bits: int
     Contig names match with or without chr.
     """
     bare = A.without_chr
-    binned = blocks.withColumn("__bin", F.explode(F.sequence(F.shiftright("t_start", bits), F.shiftright(F.col("t_end") - 1, bits)))).withColumn("__t", bare(F.col("t_chrom")))
+    binned = blocks.where(F.col("q_strand").isin("+", "-")).withColumn("__bin", F.explode(F.sequence(F.shiftright("t_start", bits), F.shiftright(F.col("t_end") - 1, bits)))).withColumn("__t", bare(F.col("t_chrom")))
     asked = points.select(F.col(key).alias("__key"), bare(F.col("chrom")).alias("__chrom"), F.col("pos").alias("__pos"))
     hits = asked.join(binned, (F.col("__chrom") == F.col("__t")) & (F.shiftright("__pos", bits) == F.col("__bin")) & (F.col("__pos") >= F.col("t_start")) & (F.col("__pos") < F.col("t_end")))
     off = F.col("__pos") - F.col("t_start")

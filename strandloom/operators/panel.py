@@ -49,9 +49,9 @@ def panel_alt_index(rows: DataFrame, order: list) -> DataFrame:
 
 
 def inject(rows: DataFrame) -> DataFrame:
-    """Rows of panel_alt_index whose ALTs become the merged ones and whose GT follows, where the panel has the site, REFs are equal and all alleles are as long as theirs."""
+    """Rows of panel_alt_index whose ALTs become the merged ones and whose GT follows, where the panel has the site, REFs are of one length and all alleles are as long as theirs."""
     n = F.length("ref")
-    same = F.col("panel_ref").isNotNull() & (F.upper("panel_ref") == F.upper("ref")) & ~F.exists("alts", lambda a: F.length(a) != n) & ~F.exists("panel_alts", lambda a: F.length(a) != F.length("panel_ref"))
+    same = F.col("panel_ref").isNotNull() & (F.length("panel_ref") == n) & ~F.exists("alts", lambda a: F.length(a) != n) & ~F.exists("panel_alts", lambda a: F.length(a) != F.length("panel_ref"))
     mapping = F.map_from_arrays(F.sequence(F.lit(0), F.size("alts")), "indices")
     out = rows.withColumn("injected", F.coalesce(same, F.lit(False))).withColumn("__map", mapping)
     return out.withColumn("gt", F.when(F.col("injected"), A.gt_remap(F.col("gt"), F.col("__map"))).otherwise(F.col("gt"))).withColumn("alts", F.when(F.col("injected"), F.col("merged_alts")).otherwise(F.col("alts"))).drop("__map")

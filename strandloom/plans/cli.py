@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from pathlib import PurePosixPath
 
+from strandloom.operators.infer import builds_match
 from strandloom.plans.engine import Config, convert_file
 
 
@@ -30,14 +31,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--infer-strand", action="store_true")
     p.add_argument("--variants-only", action="store_true")
     p.add_argument("--limit", type=int)
+    p.add_argument("--standardize", action="store_true", help="polarise variant rows against the reference")
+    p.add_argument("--other-reference", help="FASTA of the other build, to detect the input's")
+    p.add_argument("--output-dir", help="folder of OUTPUT and what is written beside it")
+    p.add_argument("--reference-fai", help="accepted for convenience: contigs are read from the FASTA")
+    p.add_argument("--log-level", default="WARN")
     return p
 
 
 def config(argv: list[str] | None = None) -> Config:
     a = parser().parse_args(argv)
-    if a.input_build and a.input_build != a.output_build and not (a.chain and a.lift_reference):
+    if a.input_build and not builds_match(a.input_build, a.output_build) and not (a.chain and a.lift_reference):
         raise SystemExit("the builds differ: --chain and --lift-reference are needed")
-    return Config(a.input, a.reference, a.output, a.input_format, a.format, a.sample or sample_name(a.input), a.output_build, a.sex, None if a.infer_strand else "forward", a.variants_only, a.chain, a.lift_reference, a.panel, a.limit)
+    output = f"{a.output_dir.rstrip('/')}/{a.output}" if a.output_dir else a.output
+    return Config(a.input, a.reference, output, a.input_format, a.format, a.sample or sample_name(a.input), a.output_build, a.sex, None if a.infer_strand else "forward", a.variants_only, a.chain, a.lift_reference, a.panel, a.limit, a.standardize, a.input_build, a.other_reference)
 
 
 def summary_lines(counters: dict[str, int]) -> list[str]:
@@ -47,7 +54,9 @@ def summary_lines(counters: dict[str, int]) -> list[str]:
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    print("\n".join(summary_lines(convert_file(SparkSession.builder.appName("strandloom").getOrCreate(), config(argv)))))
+    spark = SparkSession.builder.appName("strandloom").getOrCreate()
+    spark.sparkContext.setLogLevel(parser().parse_args(argv).log_level)
+    print("\n".join(summary_lines(convert_file(spark, config(argv)))))
 
 
 if __name__ == "__main__":

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import alleles as A
 from strandloom.operators import convert, infer, lift, panel
+from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.sinks import panel as panel_sink
-from strandloom.sinks import plink, report, vcf
+from strandloom.sinks import files, plink, report, vcf
 from strandloom.sources import bcf, text
 
 
 @dataclass(frozen=True)
 class Config:
-    """A run. Paths are read by Spark; `chain` and `lift_reference` turn lifting on, `panel` harmonisation."""
+    """A run. Paths are read by Spark; `chain` and `lift_reference` turn lifting on, `panel` harmonisation, `other_reference` (the
+    FASTA of the other of GRCh37 and GRCh38) the detection of the input's build, which must be that of `reference`.
+
+    `standardize` polarises variant rows against the reference; without it they keep QUAL, FILTER, INFO and the FORMAT values GQ, DP and MIN_DP.
+    """
 
     input: str
     reference: str
@@ -31,6 +38,33 @@ class Config:
     lift_reference: str | None = None
     panel: str | None = None
     limit: int | None = None
+    standardize: bool = True
+    input_build: str | None = None
+    other_reference: str | None = None
+
+
+def input_definitions(lines: DataFrame) -> list[str]:
+    """INFO, FORMAT and FILTER lines of an input header; a header is small."""
+    return [r["line"] for r in lines.where(F.col("line").rlike("^##(INFO|FORMAT|FILTER)=<")).orderBy("ord").collect()]
+
+
+def per_allele(definitions: list[str]) -> list[str]:
+    """INFO keys with a value for each allele: Number A or R."""
+    return [m[1] for x in definitions if (m := re.match(r"##INFO=<ID=([^,>]+),.*?Number=[AR]\b", x))]
+
+
+def info_text(info: Column) -> Column:
+    one = F.transform(F.map_entries(info), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
+    return F.when(F.size(info) > 0, F.array_join(one, ";")).otherwise(".")
+
+
+def detected_build(spark: SparkSession, cfg: Config, rows: DataFrame, contigs: DataFrame, blocks: DataFrame) -> dict:
+    """The input's build by the bases of both references."""
+    other = text.fasta_blocks(text.read_lines(spark, cfg.other_reference))
+    here = cfg.input_build or cfg.assembly
+    names = ("GRCh37", "GRCh38") if infer.builds_match(here, "GRCh37") else ("GRCh38", "GRCh37")
+    rates = {r["build"]: r["rate"] for r in infer.build_rates(rows, {names[0]: (contigs, blocks), names[1]: (contig_table(other), other)}).collect()}
+    return {"detected_build": infer.classify_build(rates), **{f"match_rate_{k}": v for k, v in rates.items()}}
 
 
 def contig_table(blocks: DataFrame) -> DataFrame:
@@ -47,38 +81,56 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
     lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
     facts: dict = {"input_format": kind}
+    lifts = bool(cfg.chain and cfg.lift_reference)
     if kind == "dtc":
         parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos")
-        parsed = parsed.orderBy("ord").limit(cfg.limit) if cfg.limit else parsed
         good = parsed.where("error is null")
+        if cfg.limit:  # counts good rows
+            good = infer.first_rows(good, cfg.limit)
+        good = good.cache()  # read by inference, conversion and report
+        if cfg.other_reference:
+            facts |= detected_build(spark, cfg, infer.build_calls(good), contigs, blocks)
         facts["sex"] = cfg.sex or infer.classify_sex(infer.sex_counts(good, cfg.assembly).first().asDict())
         strand = cfg.strand
         if strand is None:
             votes = infer.strand_votes(good, contigs, blocks).first()
             strand = infer.strand_lock(votes["plus"], votes["minus"])
         facts["strand"] = strand
-        rows = convert.dtc_to_variant(good, contigs, blocks, facts["sex"], cfg.assembly, strand == "reverse", cfg.variants_only)
+        # Pseudo-autosomal ranges are those of the output's build, so they tell nothing of positions that are still to be lifted.
+        rows = convert.dtc_to_variant(good, contigs, blocks, facts["sex"], None if lifts else cfg.assembly, strand == "reverse", cfg.variants_only)
         bad = parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason"))
         rows = rows.unionByName(bad, allowMissingColumns=True)
     elif kind in ("vcf", "bcf"):
         parsed = text.vcf_scan(lines) if kind == "vcf" else bcf.read(spark, cfg.input).withColumn("error", F.lit(None).cast("string"))
-        facts["sex"] = cfg.sex or "unknown"
         if parsed.where("size(samples) > 1").limit(1).count():
             raise ValueError(f"{cfg.input} has more than one sample")
-        from strandloom.operators.reference import reference_base, resolve_contig
-
-        rows = parsed.where("error is null").withColumn("gt", F.coalesce(F.try_element_at(F.get("samples", F.lit(0)), F.lit("GT")), F.lit(".")))
-        rows = convert.polarize(reference_base(resolve_contig(rows, contigs), blocks), cfg.assembly, facts["sex"])
-        rows = rows.withColumn("symbolic", F.col("alts")).withColumn("info", F.lit("."))
+        definitions = input_definitions(lines) if kind == "vcf" else []
+        facts["definitions"] = definitions
+        rows = parsed.where("error is null")
+        rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
+        rows = A.computed(rows, __cell=F.coalesce(F.get("samples", F.lit(0)), F.create_map().cast("map<string,string>")))
+        rows = rows.withColumn("gt", F.coalesce(F.try_element_at("__cell", F.lit("GT")), F.lit("."))).withColumn("fields", A.prune_format(A.normalise_format(F.col("__cell")))).drop("__cell")
+        if cfg.other_reference:
+            facts |= detected_build(spark, cfg, infer.build_sites(rows), contigs, blocks)
+        facts["sex"] = cfg.sex or infer.classify_sex(infer.site_sex_counts(rows, cfg.assembly).first().asDict())
+        rows = resolve_contig(rows, contigs)
+        if cfg.standardize:
+            rows = convert.polarize(reference_base(rows, blocks), None if lifts else cfg.assembly, facts["sex"])
+            rows = rows.withColumn("info", F.lit(".")).drop("filters", "qual", "fields")
+        else:
+            rows = rows.withColumn("id", F.when(F.size("ids") > 0, F.array_join("ids", ";"))).withColumn("reason", F.lit(None).cast("string"))
+            rows = rows.withColumn("info_map", A.normalise_info(F.col("info"))).withColumn("info", info_text(F.col("info_map")))
+        rows = rows.withColumn("symbolic", F.col("alts"))
         rows = rows.unionByName(parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason")), allowMissingColumns=True)
     else:
         raise ValueError(f"no reader for {kind}")
-    if cfg.chain and cfg.lift_reference:
+    if lifts:
         target = text.fasta_blocks(text.read_lines(spark, cfg.lift_reference)).cache()
         chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
         contigs = contig_table(target).cache()
         moved = lift.liftover(rows.where("reason is null").select("ord", "chrom", "pos", "ref", "alts", "gt"), chain, contigs, target, "ord")
         kept = rows.where("reason is null").select("ord", "id").join(moved.withColumn("contig", F.col("chrom")).withColumn("symbolic", F.col("alts")).withColumn("info", F.lit(".")), "ord")
+        kept = resolve_contig(kept.drop("contig"), contigs)
         rows = kept.unionByName(rows.where("reason is not null").select("ord", "reason"), allowMissingColumns=True)
     return rows, contigs, facts
 
@@ -91,21 +143,23 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
         sites = text.panel_sites(text.vcf_scan(text.read_lines(spark, cfg.panel)).where("error is null"))
         indexed = panel.panel_alt_index(panel.harmonize(panel.panel_join(out, sites)), [F.col("ord")])
         out = panel.inject(indexed).withColumn("symbolic", F.col("alts"))
+        if "info_map" in out.columns:  # values for each allele are void where ALTs changed
+            out = out.withColumn("info", info_text(panel.prune_info(F.col("info_map"), per_allele(facts["definitions"]), F.col("injected"))))
         grown = panel.padded(sites, indexed)
         order = [r["contig"] for r in contigs.orderBy("contig_idx").collect()]
         panel_sink.write(grown, ["##fileformat=VCFv4.5", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"], order, cfg.output + "_panel")
     names = [(r["contig"], r["length"]) for r in contigs.orderBy("contig_idx").collect()]
-    head = vcf.header(names, cfg.sample, cfg.assembly, cfg.reference)
+    head = vcf.header(names, cfg.sample, cfg.assembly, cfg.reference, facts.pop("definitions", []))
+    order = [*convert.reference_order(out), "pos", "ord"]
     if cfg.output_format == "vcf":
         vcf.write(out, head, cfg.output)
     elif cfg.output_format == "bcf":
-        records = out.orderBy(*convert.order_keys()).select("chrom", "pos", "id", "ref", F.col("symbolic").alias("alts"), F.array("gt").alias("gts"))
-        bcf.blocks(records, head).write.mode("overwrite").parquet(cfg.output)
+        info = F.expr("map_from_entries(transform(filter(split(info, ';'), x -> x not in ('.', '')), x -> struct(substring_index(x, '=', 1) as k, case when contains(x, '=') then substring(x, instr(x, '=') + 1) else '' end as v)))")
+        records = out.orderBy(*order).select("chrom", "pos", "id", "ref", F.col("symbolic").alias("alts"), F.array("gt").alias("gts"), info.alias("info"))
+        files.write_parts(bcf.blocks(records, head), "data", cfg.output, bcf.bgzf(bcf.header_bytes(head)), bcf.END_BLOCK)
     else:
         site = out.withColumn("ids", F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id"))).withColumn("gts", F.array("gt"))
-        plink.bim(site).write.mode("overwrite").parquet(cfg.output + "_bim")
-        plink.bed_bytes(site).write.mode("overwrite").parquet(cfg.output + "_bed")
-        plink.fam(spark, cfg.sample, facts["sex"]).write.mode("overwrite").parquet(cfg.output + "_fam")
+        plink.write(site, order, plink.fam(spark, cfg.sample, facts["sex"]), cfg.output)
     counters = {r["reason"]: r["n"] for r in convert.summary(rows).collect()}
     spark.createDataFrame([(report.report(asdict(cfg), counters, facts),)], "value string").coalesce(1).write.mode("overwrite").text(cfg.output + "_report")
     return counters

@@ -520,7 +520,7 @@ def panel_inject(spark, sf_dir):
 
 
 ORACLES["panel_inject"] = f"""with asked as ({VIEWS["asked"]}), panel as ({VIEWS["panel"]}), {_NOVEL} select fr.rid, fr.pa||coalesce((select string_agg(','||k.a, '' order by k.place) from rk k where k.sc=fr.sc and k.pos=fr.pos and k.place<=fr.ord*2+1),'') as alt,
-  '0/'||cast({_INDEX.format("fr.a2", "k1")} as string) as gt from fr left join rk k1 on k1.sc=fr.sc and k1.pos=fr.pos and k1.a=fr.a2 where fr.pr=fr.ref and not regexp_matches(fr.pa,'[ACGT][ACGT]')"""
+  cast({_INDEX.format("fr.ref", "k0")} as string)||'/'||cast({_INDEX.format("fr.a2", "k1")} as string) as gt from fr left join rk k0 on k0.sc=fr.sc and k0.pos=fr.pos and k0.a=fr.ref left join rk k1 on k1.sc=fr.sc and k1.pos=fr.pos and k1.a=fr.a2 where length(fr.pr)=length(fr.ref) and not regexp_matches(fr.pa,'[ACGT][ACGT]')"""
 
 
 def _padded(spark, sf_dir):

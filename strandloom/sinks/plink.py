@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import computed
+from strandloom.sinks import files
 
 #: Fixed value: first bytes of a SNP-major .bed file.
 BED_MAGIC = bytes([0x6C, 0x1B, 0x01])
@@ -57,3 +58,19 @@ def fam(spark: SparkSession, sample: str, sex: str) -> DataFrame:
 def bed_bytes(rows: DataFrame) -> DataFrame:
     """ord, alt_no, data: the bytes of each .bed row in order."""
     return bed_rows(rows).select("ord", "alt_no", F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"))
+
+
+def write(rows: DataFrame, order: list, family: DataFrame, path: str) -> None:
+    """<path>.bed, .bim and .fam as folders of part files in one order: `cat` of the parts of each is the file.
+
+    Both come from one table of sorted rows in one pass each, so a variant has the same place in .bed and .bim.
+    """
+    site = bim(rows).select(F.col("ord").alias("__ord"), F.col("alt_no").alias("__no"), F.concat_ws("\t", "chrom", "id", F.col("cm").cast("string"), F.col("pos").cast("string"), "allele1", "allele2").alias("line"))
+    keyed = rows.select(*(k.alias(f"__k{i}") if not isinstance(k, str) else F.col(k).alias(f"__k{i}") for i, k in enumerate(order)), "ord")
+    keys = [f"__k{i}" for i in range(len(order))]
+    both = bed_bytes(rows).join(site, (F.col("ord") == F.col("__ord")) & (F.col("alt_no") == F.col("__no"))).select("ord", "alt_no", "data", "line").join(keyed, "ord")
+    ready = both.orderBy(*keys, "alt_no").persist()
+    files.write_parts(ready, "data", path + ".bed", BED_MAGIC)
+    ready.select("line").write.mode("overwrite").text(path + ".bim")
+    ready.unpersist()
+    family.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in family.columns)).alias("line")).write.mode("overwrite").text(path + ".fam")

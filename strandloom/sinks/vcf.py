@@ -7,11 +7,13 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.convert import order_keys
+from strandloom.operators.convert import reference_order
 
 #: Header definitions of every output.
 FORMATS = [("GT", "1", "String", "Genotype"), ("GQ", "1", "Integer", "Genotype quality"), ("DP", "1", "Integer", "Read depth"), ("MIN_DP", "1", "Integer", "Minimum depth"), ("MQ", "1", "Integer", "Mapping quality")]
 INFOS = [("IMPRECISE", "0", "Flag", "Imprecise structural variation"), ("SVTYPE", "1", "String", "Type of structural variant"), ("MQ", "1", "Float", "Mapping quality")]
+#: FORMAT keys that are written besides GT.
+KEPT_FIELDS = ("GQ", "DP", "MIN_DP")
 ALTS = [("DEL", "Deletion"), ("INS", "Insertion")]
 
 
@@ -30,9 +32,17 @@ def header(contigs: list[tuple[str, int]], sample: str, assembly: str | None = N
 
 
 def body(rows: DataFrame) -> DataFrame:
-    """rows (chrom, pos, id, ref, symbolic, info, gt) with `line`."""
+    """rows (chrom, pos, id, ref, symbolic, info, gt; qual, filters and the map `fields` of more FORMAT values where they are there) with `line`."""
     alt = F.when(F.size("symbolic") > 0, F.array_join("symbolic", ",")).otherwise(".")
-    return rows.withColumn("line", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", alt, F.lit("."), F.lit("."), "info", F.lit("GT"), "gt"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(".")) if c in rows.columns else F.lit(".")
+    filters = F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise(".") if "filters" in rows.columns else F.lit(".")
+    names, values = F.lit("GT"), F.col("gt")
+    if "fields" in rows.columns:
+        more = F.filter(F.array(*map(F.lit, KEPT_FIELDS)), lambda k: F.coalesce(F.map_contains_key("fields", k), F.lit(False)))
+        names = F.array_join(F.concat(F.array(F.lit("GT")), more), ":")
+        values = F.array_join(F.concat(F.array("gt"), F.transform(more, lambda k: F.coalesce(F.try_element_at("fields", k), F.lit(".")))), ":")
+    qual = F.regexp_replace(text("qual"), r"\.0$", "")
+    return rows.withColumn("line", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", alt, qual, filters, "info", names, values))
 
 
 def write(rows: DataFrame, head: list[str], path: str) -> None:
@@ -42,6 +52,6 @@ def write(rows: DataFrame, head: list[str], path: str) -> None:
     """
     spark = rows.sparkSession
     top = spark.createDataFrame([(-1, "", -1, i, x) for i, x in enumerate(head)], "rank long, tail string, pos long, ord long, line string")
-    keys = order_keys()
-    lines = body(rows).select(keys[0].alias("rank"), keys[1].alias("tail"), F.col("pos").cast("long"), F.col("ord").cast("long"), "line")
+    rank, tail = reference_order(rows)
+    lines = body(rows).select(rank.alias("rank"), tail.alias("tail"), F.col("pos").cast("long"), F.col("ord").cast("long"), "line")
     top.unionByName(lines).orderBy("rank", "tail", "pos", "ord").select("line").write.mode("overwrite").text(path)

@@ -175,7 +175,8 @@ def record(row: dict, contigs: dict[str, int], strings: dict[str, int]) -> bytes
     shared += _typed_text(row.get("id") or ".") + b"".join(map(_typed_text, alleles)) + b"\x00"
     for k, v in info.items():
         shared += _typed_ints([strings[k]]) + (b"\x00" if v == "" else _typed_text(v))
-    each = _typed_ints([strings["GT"]]) + _length(width, 1) + b"".join(struct.pack(f"<{width}b", *g, *[-127] * (width - len(g))) for g in gts) if gts else b""
+    kind = 1 if all(v < 128 for g in gts for v in g) else 2 if all(v < 32768 for g in gts for v in g) else 3
+    each = _typed_ints([strings["GT"]]) + _length(width, kind) + b"".join(struct.pack(f"<{width}{KINDS[kind][0]}", *g, *[KINDS[kind][2]] * (width - len(g))) for g in gts) if gts else b""
     return struct.pack("<II", len(shared), len(each)) + shared + each
 
 
@@ -200,8 +201,9 @@ def blocks(rows: DataFrame, header: list[str]) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            data = b"".join(record({**r, "alts": list(r["alts"]), "gts": list(r["gts"])}, contig_at, string_at) for r in frame.to_dict("records"))
+            data = b"".join(record({**r, "alts": list(r["alts"]), "gts": list(r["gts"]), "info": {e["key"]: e["value"] for e in r["info"] if e["key"] in string_at}}, contig_at, string_at) for r in frame.to_dict("records"))
             yield pd.DataFrame({"data": [bgzf(data)]})
 
-    packed = rows.select("chrom", "pos", "id", "ref", "alts", "gts").mapInPandas(pack, "data binary")
+    rows = rows if "info" in rows.columns else rows.withColumn("info", F.create_map().cast("map<string,string>"))
+    packed = rows.select("chrom", "pos", "id", "ref", "alts", "gts", F.map_entries("info").alias("info")).mapInPandas(pack, "data binary")
     return packed.select(F.monotonically_increasing_id().alias("place"), "data")

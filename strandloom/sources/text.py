@@ -8,10 +8,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.alleles import complement, trimmed
+from strandloom.functions.alleles import bound, complement, computed, trimmed
 
 MOST_LAYERS = 10
 
@@ -43,10 +43,32 @@ def detect_format(head: bytes, path: str) -> str:
     return "bcf" if path.endswith((".bcf", ".bcf.gz")) else "dtc"
 
 
+#: Names under which Spark's text reader unpacks a file by itself.
+PACKED_NAMES = (".gz", ".bz2", ".zst", ".zstd", ".lz4", ".snappy", ".deflate")
+
+
+def heads(spark: SparkSession, path: str, n: int) -> list[tuple[str, bytes]]:
+    """(path, first n bytes) of each file under a path, by name; read through Hadoop's file system, so wherever Spark can read."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in store.globStatus(top) or []:
+        found += list(store.listStatus(status.getPath())) if status.isDirectory() else [status]
+    out = []
+    for status in sorted((s for s in found if s.isFile() and s.getPath().getName()[:1] not in "._"), key=lambda s: s.getPath().toString()):
+        stream = store.open(status.getPath())
+        out.append((status.getPath().toString(), bytes(stream.readNBytes(n))))
+        stream.close()
+    if not found:
+        raise FileNotFoundError(path)
+    return out
+
+
 def peek(spark: SparkSession, path: str) -> bytes:
     """The first bytes of the first file without its layers; of a packed file its first 64 KB are enough for that."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("c")).first()
-    data = bytes(first["c"]) if first else b""
+    first = heads(spark, path, 1 << 16)
+    data = first[0][1] if first else b""
     for _ in range(MOST_LAYERS):
         if data[:2] == b"\x1f\x8b":
             data = zlib.decompressobj(31).decompress(data, 1 << 16)
@@ -60,14 +82,12 @@ def peek(spark: SparkSession, path: str) -> bytes:
 
 
 def read_lines(spark: SparkSession, path: str, layered: bool | None = None) -> DataFrame:
-    """(ord, line). Plain text is read and split by Spark; files with layers are unpacked one file to a task.
+    """(ord, line). Plain text is read and split by Spark; where one file has layers, or a name that belies it, files are unpacked one to a task.
 
     ord is the byte order of the lines: partition and place in it, so it needs no shuffle.
     """
     if layered is None:
-        first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("c")).first()
-        head = bytes(first["c"]) if first else b""
-        layered = head[:2] == b"\x1f\x8b" or head == b"PK\x03\x04"
+        layered = any(h[:2] == b"\x1f\x8b" or h == b"PK\x03\x04" or name.lower().endswith(PACKED_NAMES) for name, h in heads(spark, path, 4))
     if not layered:
         return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
 
@@ -102,19 +122,31 @@ def dtc_parse(lines: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, good(F.when(~at(0).isin("", "0", "."), at(0))).alias("id"), good(chrom).alias("chromosome"), good(number).alias("position"), good(genotype).alias("genotype"), error.alias("error")).drop("__f", "__n")
 
 
+def first_by_key(pairs: Column) -> Column:
+    """Map of array<struct<k, v>>; of equal keys the first counts."""
+    return F.map_from_entries(bound(pairs, lambda p: F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["k"]), x["k"]) == i + 1)))
+
+
 def vcf_scan(lines: DataFrame) -> DataFrame:
-    """Body rows of a VCF: chrom, pos, ids, ref, alts, qual, filters, info, format, samples; bad rows have an error."""
+    """Body rows of a VCF: chrom, pos, ids, ref, alts, qual, filters, info, format, samples; bad rows have an error.
+
+    Of a repeated INFO or FORMAT key the first value counts; a sample with more fields than FORMAT is an error of its row.
+    """
     f = F.split("line", "\t", -1)
-    rows = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("f", f)
+    rows = computed(lines.where((F.col("line") != "") & ~F.col("line").startswith("#")), f=f)
     at = lambda i: F.get("f", F.lit(i))
     several = lambda c, sep: F.when((c == ".") | c.isNull(), F.array().cast("array<string>")).otherwise(F.split(c, sep, -1))
     pairs = F.transform(several(at(7), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))
     pos = at(1).try_cast("bigint")
     error = F.when(F.size("f") < 8, "field_count").when(pos.isNull(), "position").when(~at(3).rlike("^[A-Za-z]+$"), "ref")
+    cells = F.transform(F.slice("f", 10, 1_000_000), lambda s: F.split(s, ":", -1))
+    keys = F.split(at(8), ":", -1)
+    error = error.when(F.exists(cells, lambda c: F.size(c) > F.size(keys)), "sample")
+    sample = lambda c: F.filter(F.zip_with(keys, c, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
     return rows.select(
         "ord", at(0).alias("chrom"), pos.alias("pos"), several(at(2), ";").alias("ids"), at(3).alias("ref"), several(at(4), ",").alias("alts"),
-        at(5).try_cast("float").alias("qual"), several(at(6), ";").alias("filters"), F.map_from_entries(F.array_distinct(pairs)).alias("info"),
-        several(at(8), ":").alias("format"), F.transform(F.slice("f", 10, 1_000_000), lambda s: F.map_from_arrays(F.slice(F.split(at(8), ":", -1), 1, F.size(F.split(s, ":", -1))), F.split(s, ":", -1))).alias("samples"), error.alias("error"),
+        at(5).try_cast("float").alias("qual"), several(at(6), ";").alias("filters"), first_by_key(pairs).alias("info"),
+        several(at(8), ":").alias("format"), F.transform(cells, lambda c: first_by_key(sample(c))).alias("samples"), error.alias("error"),
     )
 
 

@@ -125,11 +125,7 @@ def test_bcf_round_trip(spark, tmp_path):
     fasta = put(tmp_path, "r.fa", ">1\n" + "ACGT" * 30 + "\n")
     vcf_in = put(tmp_path, "a.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n1\t1\t.\tA\tC,G\t.\t.\t.\tGT\t1|2\n1\t6\t.\tC\tT\t.\t.\t.\tGT\t./.\n1\t9\t.\tA\t<DEL>\t.\t.\t.\tGT\t0\n")
     convert_file(spark, Config(vcf_in, fasta, str(tmp_path / "out"), sex="female", output_format="bcf"))
-    from strandloom.sinks import vcf
-
-    head = vcf.header([("1", 120)], "sample", "GRCh38", fasta)
-    data = bcf.bgzf(bcf.header_bytes(head)) + b"".join(bytes(r["data"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("place").collect()) + bcf.END_BLOCK
-    path = put(tmp_path, "b.bin", data)
+    path = put(tmp_path, "b.bin", b"".join(x.read_bytes() for x in sorted((tmp_path / "out").glob("part-*"))))
     got = [(r["pos"], r["ref"], r["alts"], r["samples"][0]["GT"]) for r in bcf.read(spark, path).orderBy("pos").collect()]
     assert got == [(1, "A", ["C", "G"], "1|2"), (6, "C", ["T"], "./."), (9, "A", ["<DEL>"], "0")]
     assert convert_file(spark, Config(path, fasta, str(tmp_path / "again"), sex="female")) == {"variant_records": 3}
@@ -155,3 +151,55 @@ def test_command_line():
     assert summary_lines({"b": 2, "a": 1}) == ["total_records: 3", "a: 1", "b: 2"]
     with pytest.raises(SystemExit):
         config(["a", "o", "--reference", "r", "--input-build", "GRCh37"])
+
+
+def test_vcf_keeps_its_fields_without_standardizing(spark, tmp_path):
+    fasta = put(tmp_path, "r.fa", ">2\nACGT\n>chr1\n" + "ACGT" * 10 + "\n")
+    head = '##fileformat=VCFv4.2\n##INFO=<ID=AC,Number=A,Type=Integer,Description="x">\n##FILTER=<ID=q10,Description="y">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n'
+    rows = "1\t3\trs1;rs2\tC\tA,T\t30\tq10\tAC=1,2;DB;AC=9;MQ=3\tGT:DP:XX:GQ\t1|2:7:z:8\n1\t5\t.\tA\tC\t.\tPASS\t.\tGT\t0/1:9\nUn\t1\t.\tA\tG\t1.5\t.\t.\tGT:DP\t0/1\n2\t1\t.\tA\tG\t.\t.\tX\tGT:GT\t0/1:1/1\n"
+    got = convert_file(spark, Config(put(tmp_path, "a.vcf", head + rows), fasta, str(tmp_path / "out"), standardize=False))
+    assert got == {"variant_records": 3, "parse_errors": 1}
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert '##INFO=<ID=AC,Number=A,Type=Integer,Description="x">' in text and "##FILTER=<ID=q10" in text
+    assert body(str(tmp_path / "out"))[1:] == ["2\t1\t.\tA\tG\t.\t.\tX\tGT\t0/1", "chr1\t3\trs1;rs2\tC\tA,T\t30\tq10\tAC=1,2;DB;MQ=3.0\tGT:GQ:DP\t1|2:8:7", "Un\t1\t.\tA\tG\t1.5\t.\t.\tGT\t0/1"]
+
+
+def test_plink_files(spark, tmp_path):
+    fasta = put(tmp_path, "r.fa", ">1\nACGTACGT\n")
+    calls = put(tmp_path, "c.txt", "rs1 1 2 CC\nrs2 1 3 AG\nrs3 1 4 AA\nrs4 1 5 CG\n")
+    convert_file(spark, Config(calls, fasta, str(tmp_path / "out"), output_format="plink", sample="me", sex="male"))
+    cat = lambda kind: b"".join(p.read_bytes() for p in sorted((tmp_path / f"out.{kind}").glob("part-*")))
+    assert cat("bed").hex().upper() == "6C1B01" + "02" + "03" + "02" + "02"
+    assert cat("bim").decode().splitlines() == ["1\trs2\t0\t3\tG\tA", "1\trs3\t0\t4\tT\tA", "1\trs4_ALT1\t0\t5\tA\tC", "1\trs4_ALT2\t0\t5\tA\tG"]
+    assert cat("fam") == b"me\tme\t0\t0\t1\t-9\n"
+
+
+def test_names_that_belie_and_mixed_folders(spark, tmp_path):
+    line = "rs1 1 42 AG\n"
+    (tmp_path / "mixed").mkdir()
+    for name, data in (("a.txt", line.encode()), ("b.txt", gzip.compress(line.encode())), ("c.gz", line.encode()), ("d.gz", gzip.compress(line.encode()))):
+        put(tmp_path / "mixed", name, data)
+    assert [r["line"] for r in text.read_lines(spark, str(tmp_path / "mixed")).collect()] == ["rs1 1 42 AG"] * 4
+    assert [r["line"] for r in text.read_lines(spark, str(tmp_path / "mixed" / "c.gz")).collect()] == ["rs1 1 42 AG"]
+    assert text.peek(spark, str(tmp_path / "mixed" / "b.txt")) == line.encode()
+
+
+def test_build_sex_and_names(spark, tmp_path):
+    from strandloom.operators import infer
+
+    assert infer.builds_match("hg19", "GRCh37") and infer.builds_match("GRCh38", "hg38") and not infer.builds_match("hg19", "hg38") and not infer.builds_match("x", "y")
+    mine, other = put(tmp_path, "a.fa", ">1\n" + "ACGT" * 20 + "\n"), put(tmp_path, "b.fa", ">1\n" + "CATG" * 20 + "\n")
+    calls = put(tmp_path, "c.txt", "".join(f"rs{i} 1 {i} {'ACGT'[(i - 1) % 4] * 2}\n" for i in range(1, 70)) + "bad\n")
+    got = convert_file(spark, Config(calls, mine, str(tmp_path / "out"), sex="female", other_reference=other, limit=60))
+    assert got == {"reference_records": 60, "parse_errors": 1}
+    import json
+
+    facts = json.loads("".join(p.read_text() for p in (tmp_path / "out_report").glob("part-*")))
+    assert facts["detected_build"] == "GRCh38" and facts["match_rate_GRCh38"] == 100.0
+    rows = spark.createDataFrame([("1", i, "0/1" if i % 3 else "1/1") for i in range(90)] + [("X", 5_000_000 + i, "1/1") for i in range(30)] + [("Y", 5_000_000 + i, "1") for i in range(30)], "chrom string, pos long, gt string")
+    assert infer.classify_sex(infer.site_sex_counts(rows, "GRCh38").first().asDict()) == "male"
+
+
+def test_unknown_strand_of_a_chain_lifts_nothing(spark):
+    df = spark.createDataFrame([("1", 100, 200, 1, 100, "1", 200, 1000, "?")], "t_chrom string, t_start long, t_end long, chain_id int, score long, q_chrom string, q_start long, q_size long, q_strand string")
+    assert lift.lift_point(spark.createDataFrame([(1, "chr1", 150)], "rid long, chrom string, pos long"), df).first()["status"] == "unmapped"
