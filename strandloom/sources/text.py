@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.alleles import bound, complement, computed, trimmed
 
 MOST_LAYERS = 10
+#: ord counts lines from the part's number in its higher bits, as monotonically_increasing_id() does.
+PART_BITS = 33
 
 
 def peel(data: bytes) -> bytes:
@@ -150,20 +152,35 @@ def vcf_scan(lines: DataFrame) -> DataFrame:
     )
 
 
+def with_head(lines: DataFrame, is_head: Column) -> DataFrame:
+    """lines with `part` and `head`: the ord of the last head line up to each line, null before the first.
+
+    Heads are carried forward inside the parts in which the file was read, and from part to part over a table of one row for each
+    part, so no task sees more than its part.
+    """
+    rows = lines.withColumn("part", F.shiftright("ord", PART_BITS)).withColumn("__own", F.when(is_head, F.col("ord")))
+    inside = rows.withColumn("head", F.max("__own").over(Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("part").agg(F.max("__own").alias("last"))
+    before = ends.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    return inside.join(before, "part").withColumn("head", F.coalesce("head", "__before")).drop("__own", "__before")
+
+
 def fasta_blocks(lines: DataFrame, width: int = 1024) -> DataFrame:
     """(contig_idx, contig, block, seq): sequence in blocks of `width` bases, whatever the line lengths of the file.
 
-    Line offsets come from a running sum over each contig's lines; pieces of a line go to the blocks they overlap. A
-    contig's header is the last one before its lines.
+    A line's offset is a running sum inside its part of the file and the contig's bases in the parts before; pieces of a line go
+    to the blocks they overlap. A contig's header is the last one before its lines.
     """
-    marked = lines.where("line <> ''").withColumn("is_head", F.col("line").startswith(">"))
-    order = Window.orderBy("head")  # header lines only: one row for each contig
-    heads = marked.where("is_head").select(F.col("ord").alias("head"), F.regexp_extract("line", r"^>(\S+)", 1).alias("contig"))
-    heads = heads.select("head", "contig", (F.row_number().over(order) - 1).alias("contig_idx"), F.lead("head").over(order).alias("next"))
-    inside = F.expr("ord > head and (next is null or ord < next)")
-    body = marked.where("not is_head").select("ord", trimmed(F.col("line")).alias("bases")).join(F.broadcast(heads), inside)
-    placed = body.withColumn("at", F.coalesce(F.sum(F.length("bases")).over(Window.partitionBy("contig_idx").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.where("length(bases) > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {width}"), F.expr(f"(at + length(bases) - 1) div {width}"))))
+    marked = with_head(lines.where("line <> ''"), F.col("line").startswith(">"))
+    heads = marked.where("ord = head").select("head", F.regexp_extract("line", r"^>(\S+)", 1).alias("contig"))
+    heads = heads.select("head", "contig", (F.row_number().over(Window.orderBy("head")) - 1).alias("contig_idx"))  # header lines only: one row for each contig
+    body = marked.where("ord <> head").select("part", "head", "ord", trimmed(F.col("line")).alias("bases")).where("length(bases) > 0")
+    upto = Window.unboundedPreceding
+    whole = body.groupBy("head", "part").agg(F.sum(F.length("bases")).alias("n"))
+    whole = whole.select("head", "part", F.coalesce(F.sum("n").over(Window.partitionBy("head").orderBy("part").rowsBetween(upto, -1)), F.lit(0)).alias("before"))
+    inside = body.withColumn("inside", F.coalesce(F.sum(F.length("bases")).over(Window.partitionBy("head", "part").orderBy("ord").rowsBetween(upto, -1)), F.lit(0)))
+    placed = inside.join(whole, ["head", "part"]).join(heads, "head").withColumn("at", F.col("inside") + F.col("before"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.expr(f"at div {width}"), F.expr(f"(at + length(bases) - 1) div {width}"))))
     start = F.greatest(F.col("at"), F.col("block") * width)
     stop = F.least(F.col("at") + F.length("bases"), (F.col("block") + 1) * width)
     piece = F.struct(start.alias("start"), F.substring("bases", (start - F.col("at") + 1).cast("int"), (stop - start).cast("int")).alias("s"))
@@ -175,8 +192,8 @@ def chain_blocks(lines: DataFrame) -> DataFrame:
 
     Offsets are running sums over the lines of one chain.
     """
-    rows = lines.where("line <> ''").withColumn("f", F.split(trimmed(F.col("line")), r"\s+", -1))
-    rows = rows.withColumn("chain", F.max(F.when(F.get("f", F.lit(0)) == "chain", F.col("ord"))).over(Window.orderBy("ord")))
+    rows = with_head(lines.where("line <> ''"), trimmed(F.col("line")).rlike(r"^chain\s")).withColumnRenamed("head", "chain")
+    rows = rows.withColumn("f", F.split(trimmed(F.col("line")), r"\s+", -1))
     at = lambda i: F.get("f", F.lit(i))
     heads = rows.where((at(0) == "chain") & (F.size("f") >= 13)).select("chain", at(1).try_cast("bigint").alias("score"), at(2).alias("t_chrom"), at(5).try_cast("bigint").alias("t0"), at(7).alias("q_chrom"), at(8).try_cast("bigint").alias("q_size"), at(9).alias("q_strand"), at(10).try_cast("bigint").alias("q0"), at(12).try_cast("int").alias("chain_id"))
     data = rows.where(at(0) != "chain").select("chain", "ord", at(0).try_cast("bigint").alias("size"), F.coalesce(at(1).try_cast("bigint"), F.lit(0)).alias("dt"), F.coalesce(at(2).try_cast("bigint"), F.lit(0)).alias("dq"))

@@ -203,3 +203,17 @@ def test_build_sex_and_names(spark, tmp_path):
 def test_unknown_strand_of_a_chain_lifts_nothing(spark):
     df = spark.createDataFrame([("1", 100, 200, 1, 100, "1", 200, 1000, "?")], "t_chrom string, t_start long, t_end long, chain_id int, score long, q_chrom string, q_start long, q_size long, q_strand string")
     assert lift.lift_point(spark.createDataFrame([(1, "chr1", 150)], "rid long, chrom string, pos long"), df).first()["status"] == "unmapped"
+
+
+def test_fasta_and_chains_over_many_parts(spark):
+    """Lines dealt over parts, with contigs and chains that go on from one to the next."""
+    fasta = [">a x", "ACGTA", "", "CG", ">b", "TTTTT", "GGGGG", "C", "AAAAA", ">c", "N"]
+    chain = ["chain 9 a 99 + 10 90 q 99 + 0 80 1", "5 1 2", "7 3 4", "6", "chain 8 b 99 + 0 9 q 99 - 0 9 2", "9"]
+    where = [(p << 33) + i for p, n in ((0, 2), (1, 3), (3, 1), (4, 9)) for i in range(n)]
+
+    def made(lines, spread):
+        return spark.createDataFrame([(where[i] if spread else i, x) for i, x in enumerate(lines)], "ord long, line string")
+
+    assert sorted(map(tuple, text.fasta_blocks(made(fasta, True), 4).collect())) == sorted(map(tuple, text.fasta_blocks(made(fasta, False), 4).collect()))
+    got = [sorted(map(tuple, text.chain_blocks(made(chain, s)).collect())) for s in (True, False)]
+    assert got[0] == got[1] and [r[1:3] for r in got[0]] == [(10, 15), (16, 23), (26, 32), (0, 9)]
