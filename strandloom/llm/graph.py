@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import written
 
 
-#: A node of more links than this, and of more than a 1,000th of all, is heavy: at most 2,000 nodes are.
-HEAVY = 10_000
+#: A node of more links than this (16 MB of them), and of more than a 1,000th of all, is heavy: at most 2,000 nodes are.
+HEAVY = 1_000_000
 
 
 def _with_least(e: DataFrame, least: DataFrame, links: int) -> DataFrame:
-    """e (u, v) with m of least (u, m, n). Heavy nodes, of which there are few by their definition, are broadcast, so that no task gets all links of one."""
+    """e (u, v) with m of least (u, m, n). Heavy nodes, of which there are few by their definition, are broadcast, so that no task gets all links of one. Where there are no more links in all than make a node heavy, none is."""
+    if 2 * links <= HEAVY:  # each link counts at both ends
+        return e.join(least.select("u", "m"), "u").select("u", "v", "m")
     heavy = F.broadcast(least.where(F.col("n") > max(HEAVY, links // 1000)).select("u", F.col("m").alias("heavy_m")))
     met = e.join(heavy, "u", "left")
     light = met.where("heavy_m is null").select("u", "v").join(least.select("u", "m"), "u")
