@@ -233,6 +233,15 @@ def test_templates_take_time_in_proportion(spark):
     assert took[4000] < 3 * took[500] + 20, took
 
 
+def test_components_with_heavy_nodes(spark, monkeypatch):
+    from strandloom.llm import graph
+
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)] + [(399, 1000), (5000, 5001)]
+    monkeypatch.setattr(graph, "HEAVY", 20)
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(400), *range(1000, 1031)]} | {5000: 5000, 5001: 5000}
+
+
 def test_sparse_ids_of_fingerprints(spark):
     rng = random.Random(1)
     ids = sorted({rng.randint(-(2**62), 2**62) for _ in range(300)})
