@@ -210,10 +210,14 @@ def odd_texts():
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
 
 
-def test_word_coder_is_the_library():
+def test_word_coder_is_the_library(monkeypatch):
     code = packing.coder(public_tokenizers.path("word_bpe_49k.json"))
     texts = odd_texts()
-    assert [code.encode(t) for t in texts] == [code.whole(t) for t in texts]
+    want = [code.whole(t) for t in texts]
+    assert [code.encode(t) for t in texts] == want
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    small = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [small.encode(t) for t in texts] == want
 
 
 def test_transducer_is_the_library():
