@@ -9,12 +9,16 @@ from strandloom.functions import alleles as A
 from strandloom.operators.reference import reference_base, resolve_contig
 
 
-def dtc_to_variant(calls: DataFrame, contigs: DataFrame, blocks: DataFrame, sex: str = "unknown", build: str | None = "GRCh38", reverse: bool = False, variants_only: bool = False) -> DataFrame:
+def dtc_to_variant(calls: DataFrame, contigs: DataFrame | None, blocks: DataFrame | None, sex: str = "unknown", build: str | None = "GRCh38", reverse: bool = False, variants_only: bool = False) -> DataFrame:
     """Columns of calls (chrom, pos, genotype among them), contig, contig_idx, ref, alts, symbolic, info, gt, reason.
 
-    Rules in order: contig, reference base, alleles, strand, ploidy, ALT list, variants only, GT.
+    Rules in order: contig, reference base, alleles, strand, ploidy, ALT list, variants only, GT. Without a reference, as for
+    calls that are still to be lifted, contigs are those of the calls and REF is N.
     """
-    rows = reference_base(resolve_contig(calls, contigs), blocks, out="ref")
+    if contigs is None:
+        rows = calls.withColumn("contig", F.col("chrom")).withColumn("contig_idx", F.lit(None).cast("long")).withColumn("ref", F.lit("N"))
+    else:
+        rows = reference_base(resolve_contig(calls, contigs), blocks, out="ref")
     parsed = A.parse_genotype(F.col("genotype"))
     rows = A.computed(rows, __a=A.flip_bases(parsed) if reverse else parsed, __p=A.ploidy(F.col("contig"), F.col("pos"), sex, build))
     rows = A.computed(rows, __called=F.when(F.col("__p") == "haploid", A.haploid_collapse(F.col("__a"))).otherwise(F.col("__a")))

@@ -46,7 +46,15 @@ def autosomal(chrom: Column) -> Column:
 
 def builds_match(a: str, b: str) -> bool:
     """Whether two names mean one build: GRCh37 and hg19, or GRCh38 and hg38."""
-    return any(all(any(k in x.lower() for k in names) for x in (a, b)) for names in (("37", "hg19"), ("38", "hg38")))
+    return build_name(a) is not None and build_name(a) == build_name(b)
+
+
+def build_name(name: str) -> str | None:
+    """GRCh37 or GRCh38 for any name that contains 37 or hg19, 38 or hg38."""
+    for build, parts in (("GRCh37", ("37", "hg19")), ("GRCh38", ("38", "hg38"))):
+        if any(p in name.lower() for p in parts):
+            return build
+    return None
 
 
 def classify_build(rates: dict[str, float | None]) -> str:

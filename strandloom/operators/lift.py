@@ -49,9 +49,10 @@ def liftover(rows: DataFrame, blocks: DataFrame, contigs: DataFrame, sequence: D
     """Variant rows (key, chrom, 1-based pos, ref, alts, gt) in the coordinates and against the bases of another build, with reason.
 
     On the other strand REF and ALTs are reverse-complemented. A REF of N takes the target base; a one-base REF that differs
-    from it is swapped with the ALT that equals it, or the row is incompatible; a longer REF must start with it.
+    from it is swapped with the ALT that equals it, or the row is incompatible; a longer REF must start with it. Case does not
+    matter; with a REF of N ALTs are upper case and distinct.
     """
-    typed = rows.withColumn("__class", F.when(F.col("ref") == "N", "snp").otherwise(A.lift_class(F.col("ref"), F.col("alts"))))
+    typed = rows.withColumn("__class", A.lift_class(F.col("ref"), F.col("alts")))
     points = typed.where("__class = 'snp' and pos > 0").select(key, "chrom", (F.col("pos") - 1).alias("pos"), F.lit(1).alias("length"))
     spans = typed.where("__class = 'indel' and pos > 0").select(key, "chrom", (F.col("pos") - 1).alias("pos"), F.length("ref").alias("length"))
     moved = lift_point(points, blocks, key).unionByName(lift_span(spans, blocks, key))
@@ -64,14 +65,15 @@ def liftover(rows: DataFrame, blocks: DataFrame, contigs: DataFrame, sequence: D
     met = met.withColumn("ref", turn(F.col("ref"))).withColumn("alts", F.transform("alts", turn))
     met = reference_base(met, sequence, "new_pos", "base")
     met = met.withColumn("reason", F.when(F.col("reason").isNull() & F.col("base").isNull(), "reference_failures").otherwise(F.col("reason")))
-    plain, n_ref, one = F.col("ref") == F.col("base"), F.col("ref") == "N", F.length("ref") == 1
-    k = F.array_position("alts", F.col("base"))
+    up = F.transform("alts", F.upper)
+    plain, n_ref, one = F.upper("ref") == F.col("base"), F.upper("ref") == "N", F.length("ref") == 1
+    k = F.array_position(up, F.col("base"))
     number = F.sequence(F.lit(0), F.size("alts"))
-    rest = F.filter("alts", lambda a: a != F.col("base"))
+    rest = F.when(n_ref, F.filter(F.array_distinct(up), lambda a: a != F.col("base"))).otherwise(F.filter("alts", lambda a, i: i + 1 != k))
     swapped = F.transform(number, lambda i: F.when(i == 0, 1).when(i == k, 0).when(i < k, i + 1).otherwise(i).cast("int"))
-    # REF N: the ALT that equals the target base becomes 0, the ones after it move down
-    filled = F.transform(number, lambda i: F.when(i == 0, 0).when(k == 0, i).when(i == k, 0).when(i < k, i).otherwise(i - 1).cast("int"))
-    how = F.when(n_ref, "fill").when(plain | (~one & (F.substring("ref", 1, 1) == F.col("base"))), "keep").when(one & (k > 0), "swap").otherwise("bad")
+    # REF N: an ALT that equals the target base becomes 0, the others their place in the rest
+    filled = F.transform(number, lambda i: F.when(i == 0, 0).otherwise(F.array_position(rest, F.get(up, i - 1))).cast("int"))
+    how = F.when(n_ref, "fill").when(plain | (~one & (F.upper(F.substring("ref", 1, 1)) == F.col("base"))), "keep").when(one & (k > 0), "swap").otherwise("bad")
     met = met.withColumn("__how", how).withColumn("__swapped", F.map_from_arrays(number, swapped)).withColumn("__filled", F.map_from_arrays(number, filled)).withColumn("__rest", rest)
     met = met.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("__how") == "bad"), "liftover_incompatible").otherwise(F.col("reason")))
     good = lambda c: F.when(F.col("reason").isNull(), c)

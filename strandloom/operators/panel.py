@@ -63,12 +63,12 @@ def prune_info(info: F.Column, per_allele: list[str], changed: F.Column) -> F.Co
 
 
 def padded(panel: DataFrame, indexed: DataFrame) -> DataFrame:
-    """chrom, pos, ref, alts, kind: the panel with added ALTs (modified), unchanged sites (original) and new ones (novel)."""
+    """chrom, pos, ref, alts, kind, added: the panel with added ALTs (modified), unchanged sites (original) and new ones (novel)."""
     last = indexed.groupBy("site_chrom", "pos").agg(F.max_by("merged_alts", F.size("merged_alts")).alias("merged"), F.first("site_ref").alias("site_ref"))
     met = panel.join(last, (panel["chrom"] == last["site_chrom"]) & (panel["pos"] == last["pos"]), "full").select(panel["chrom"], "site_chrom", F.coalesce(panel["pos"], last["pos"]).alias("pos"), "ref", "alts", "merged", "site_ref")
     added = F.array_except(F.coalesce("merged", F.array().cast("array<string>")), F.transform(F.coalesce("alts", F.array().cast("array<string>")), F.upper))
     kind = F.when(F.col("chrom").isNull(), "novel").when(F.size(added) > 0, "modified").otherwise("original")
-    return met.select(F.coalesce("chrom", "site_chrom").alias("chrom"), "pos", F.coalesce("ref", "site_ref").alias("ref"), F.concat(F.coalesce("alts", F.array().cast("array<string>")), added).alias("alts"), kind.alias("kind"))
+    return met.select(F.coalesce("chrom", "site_chrom").alias("chrom"), "pos", F.coalesce("ref", "site_ref").alias("ref"), F.concat(F.coalesce("alts", F.array().cast("array<string>")), added).alias("alts"), kind.alias("kind"), added.alias("added"))
 
 
 def panel_counts(panel: DataFrame) -> DataFrame:

@@ -43,9 +43,13 @@ class Config:
     other_reference: str | None = None
 
 
+#: Lines of an input header that go on to the output.
+DEFINITION = re.compile("^##(INFO|FORMAT|FILTER)=<")
+
+
 def input_definitions(lines: DataFrame) -> list[str]:
     """INFO, FORMAT and FILTER lines of an input header; a header is small."""
-    return [r["line"] for r in lines.where(F.col("line").rlike("^##(INFO|FORMAT|FILTER)=<")).orderBy("ord").collect()]
+    return [r["line"] for r in lines.where(F.col("line").rlike(DEFINITION.pattern)).orderBy("ord").collect()]
 
 
 def per_allele(definitions: list[str]) -> list[str]:
@@ -72,8 +76,18 @@ def contig_table(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("contig_idx", "contig").agg(F.sum(F.length("seq")).alias("length"))
 
 
+def lifted(rows: DataFrame, chain: DataFrame, contigs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows at their places in the output's build, with `lost`: why a row has none. Columns but place, alleles and GT stay."""
+    moved = lift.liftover(rows.select("ord", "chrom", "pos", "ref", "alts", "gt"), chain, contigs, blocks, "ord").withColumnRenamed("reason", "lost")
+    return rows.drop("chrom", "pos", "ref", "alts", "gt", "contig", "contig_idx", "reason").join(moved, "ord")
+
+
 def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, dict]:
-    """(tagged variant rows, contig table, inferred facts)."""
+    """(tagged variant rows, contig table, inferred facts).
+
+    With a chain, `reference` is that of the input: it tells strand and build. Rows are lifted before anything is looked up in
+    the output's reference, calls with a REF of N, so contigs, bases and polarising are those of the output.
+    """
     blocks = text.fasta_blocks(text.read_lines(spark, cfg.reference)).cache()
     contigs = contig_table(blocks).cache()
     kind = cfg.input_format
@@ -82,6 +96,10 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
     lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
     facts: dict = {"input_format": kind}
     lifts = bool(cfg.chain and cfg.lift_reference)
+    if lifts:
+        new_blocks = text.fasta_blocks(text.read_lines(spark, cfg.lift_reference)).cache()
+        new_contigs = contig_table(new_blocks).cache()
+        chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
     if kind == "dtc":
         parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos")
         good = parsed.where("error is null")
@@ -97,15 +115,19 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
             strand = infer.strand_lock(votes["plus"], votes["minus"])
         facts["strand"] = strand
         # Pseudo-autosomal ranges are those of the output's build, so they tell nothing of positions that are still to be lifted.
-        rows = convert.dtc_to_variant(good, contigs, blocks, facts["sex"], None if lifts else cfg.assembly, strand == "reverse", cfg.variants_only)
+        rows = convert.dtc_to_variant(good, None if lifts else contigs, blocks, facts["sex"], None if lifts else cfg.assembly, strand == "reverse", cfg.variants_only)
+        if lifts:
+            dropped = rows.where("reason is not null")
+            rows = lifted(rows.where("reason is null").withColumn("alts", F.col("symbolic")), chain, new_contigs, new_blocks)
+            rows = resolve_contig(rows.withColumnRenamed("lost", "reason"), new_contigs).withColumn("symbolic", F.col("alts"))
+            rows = rows.unionByName(dropped.select("ord", "reason"), allowMissingColumns=True)
         bad = parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason"))
         rows = rows.unionByName(bad, allowMissingColumns=True)
     elif kind in ("vcf", "bcf"):
         parsed = text.vcf_scan(lines) if kind == "vcf" else bcf.read(spark, cfg.input).withColumn("error", F.lit(None).cast("string"))
         if parsed.where("size(samples) > 1").limit(1).count():
             raise ValueError(f"{cfg.input} has more than one sample")
-        definitions = input_definitions(lines) if kind == "vcf" else []
-        facts["definitions"] = definitions
+        facts["definitions"] = input_definitions(lines) if kind == "vcf" else [x for x in bcf.header_lines(spark, cfg.input) if DEFINITION.match(x)]
         rows = parsed.where("error is null")
         rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
         rows = A.computed(rows, __cell=F.coalesce(F.get("samples", F.lit(0)), F.create_map().cast("map<string,string>")))
@@ -113,26 +135,30 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         if cfg.other_reference:
             facts |= detected_build(spark, cfg, infer.build_sites(rows), contigs, blocks)
         facts["sex"] = cfg.sex or infer.classify_sex(infer.site_sex_counts(rows, cfg.assembly).first().asDict())
+        if lifts:
+            rows, contigs, blocks = lifted(rows, chain, new_contigs, new_blocks), new_contigs, new_blocks
+        else:
+            rows = rows.withColumn("lost", F.lit(None).cast("string"))
         rows = resolve_contig(rows, contigs)
         if cfg.standardize:
-            rows = convert.polarize(reference_base(rows, blocks), None if lifts else cfg.assembly, facts["sex"])
+            rows = convert.polarize(reference_base(rows, blocks), cfg.assembly, facts["sex"]).withColumn("reason", F.coalesce("lost", "reason"))
             rows = rows.withColumn("info", F.lit(".")).drop("filters", "qual", "fields")
         else:
-            rows = rows.withColumn("id", F.when(F.size("ids") > 0, F.array_join("ids", ";"))).withColumn("reason", F.lit(None).cast("string"))
+            rows = rows.withColumn("id", F.when(F.size("ids") > 0, F.array_join("ids", ";"))).withColumn("reason", F.col("lost"))
             rows = rows.withColumn("info_map", A.normalise_info(F.col("info"))).withColumn("info", info_text(F.col("info_map")))
         rows = rows.withColumn("symbolic", F.col("alts"))
         rows = rows.unionByName(parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason")), allowMissingColumns=True)
     else:
         raise ValueError(f"no reader for {kind}")
-    if lifts:
-        target = text.fasta_blocks(text.read_lines(spark, cfg.lift_reference)).cache()
-        chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
-        contigs = contig_table(target).cache()
-        moved = lift.liftover(rows.where("reason is null").select("ord", "chrom", "pos", "ref", "alts", "gt"), chain, contigs, target, "ord")
-        kept = rows.where("reason is null").select("ord", "id").join(moved.withColumn("contig", F.col("chrom")).withColumn("symbolic", F.col("alts")).withColumn("info", F.lit(".")), "ord")
-        kept = resolve_contig(kept.drop("contig"), contigs)
-        rows = kept.unionByName(rows.where("reason is not null").select("ord", "reason"), allowMissingColumns=True)
-    return rows, contigs, facts
+    return rows, new_contigs if lifts else contigs, facts
+
+
+def panel_text(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(header lines, (ord, line)) of a panel, VCF or BCF."""
+    if text.detect_format(text.peek(spark, path), path) == "bcf":
+        return bcf.header_lines(spark, path), bcf.text_lines(bcf.read(spark, path))
+    lines = text.read_lines(spark, path)
+    return [r["line"] for r in lines.where(F.col("line").startswith("#")).orderBy("ord").collect()], lines
 
 
 def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
@@ -140,16 +166,19 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
     rows, contigs, facts = variants(spark, cfg)
     out = rows.where("reason is null").withColumn("chrom", F.coalesce("contig", "chrom"))
     if cfg.panel:
-        sites = text.panel_sites(text.vcf_scan(text.read_lines(spark, cfg.panel)).where("error is null"))
+        panel_head, panel_lines = panel_text(spark, cfg.panel)
+        sites = text.panel_sites(text.vcf_scan(panel_lines).where("error is null"))
         indexed = panel.panel_alt_index(panel.harmonize(panel.panel_join(out, sites)), [F.col("ord")])
         out = panel.inject(indexed).withColumn("symbolic", F.col("alts"))
         if "info_map" in out.columns:  # values for each allele are void where ALTs changed
             out = out.withColumn("info", info_text(panel.prune_info(F.col("info_map"), per_allele(facts["definitions"]), F.col("injected"))))
-        grown = panel.padded(sites, indexed)
-        order = [r["contig"] for r in contigs.orderBy("contig_idx").collect()]
-        panel_sink.write(grown, ["##fileformat=VCFv4.5", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"], order, cfg.output + "_panel")
+        grown = panel.padded(sites, indexed).cache()  # written and counted
+        facts["panel"] = panel.panel_counts(grown).first().asDict()
+        known, samples, formats = panel_sink.header_facts(panel_head)
+        panel_sink.write(panel_sink.grown_lines(panel_lines, grown, known, samples, formats), panel_head, cfg.output + "_panel")
     names = [(r["contig"], r["length"]) for r in contigs.orderBy("contig_idx").collect()]
-    head = vcf.header(names, cfg.sample, cfg.assembly, cfg.reference, facts.pop("definitions", []))
+    head = vcf.header(names, cfg.sample, cfg.assembly, cfg.lift_reference or cfg.reference, [re.sub(r",IDX=\d+", "", x) for x in facts.pop("definitions", [])])
+    facts |= {"sex_source": "given" if cfg.sex else "inferred", "build": infer.build_name(cfg.assembly) or cfg.assembly}
     order = [*convert.reference_order(out), "pos", "ord"]
     if cfg.output_format == "vcf":
         vcf.write(out, head, cfg.output)

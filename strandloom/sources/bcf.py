@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.text import peel
+from strandloom.sources.text import heads, peel, unpacked_start
 
 SCHEMA = "chrom string, pos bigint, ids array<string>, ref string, alts array<string>, qual float, filters array<string>, info map<string,string>, format array<string>, samples array<map<string,string>>"
 #: Fixed values of the format: type codes, their struct letters, and the values for missing and end of vector.
@@ -142,6 +142,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return out.select(F.monotonically_increasing_id().alias("ord"), "*")
 
 
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """Header of the first file under a path, without the indices of its definitions. Only the file's start is read, more of it until the header is whole."""
+    n = 1 << 20
+    while True:
+        raw = heads(spark, path, n)[0][1]
+        data = unpacked_start(raw)
+        size = struct.unpack_from("<I", data, 5)[0] if data[:3] == b"BCF" and len(data) >= 9 else None
+        if size is not None and len(data) >= 9 + size:
+            lines = data[9 : 9 + size].split(b"\0")[0].decode("utf-8", "replace").splitlines()
+            return [re.sub(r",IDX=\d+", "", x) if x.startswith("##") else x for x in lines]
+        if len(raw) < n:
+            raise ValueError(f"{path} has no BCF header")
+        n *= 4
+
+
+def text_lines(records: DataFrame) -> DataFrame:
+    """(ord, line): rows of `read` as VCF text."""
+    listed = lambda c, sep: F.when(F.size(c) > 0, F.array_join(c, sep)).otherwise(".")
+    info = F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
+    cells = F.transform("samples", lambda cell: F.array_join(F.transform("format", lambda k: F.coalesce(F.try_element_at(cell, k), F.lit("."))), ":"))
+    qual = F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit("."))
+    site = F.array("chrom", F.col("pos").cast("string"), listed(F.col("ids"), ";"), "ref", listed(F.col("alts"), ","), qual, listed(F.col("filters"), ";"), listed(info, ";"))
+    return records.select("ord", F.array_join(F.concat(site, F.when(F.size("samples") > 0, F.concat(F.array(listed(F.col("format"), ":")), cells)).otherwise(F.array().cast("array<string>"))), "\t").alias("line"))
+
+
 def _typed_ints(values: list[int]) -> bytes:
     kind = 1 if all(-120 <= v <= 127 for v in values) else 2 if all(-32760 <= v <= 32767 for v in values) else 3
     return _length(len(values), kind) + struct.pack(f"<{len(values)}{KINDS[kind][0]}", *values)

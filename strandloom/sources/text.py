@@ -36,6 +36,20 @@ def peel(data: bytes) -> bytes:
     return data
 
 
+def unpacked_start(data: bytes) -> bytes:
+    """What the first bytes of a gzip file say, as far as they go, through any number of layers."""
+    for _ in range(MOST_LAYERS):
+        if data[:2] != b"\x1f\x8b":
+            break
+        out = []
+        while data[:2] == b"\x1f\x8b":
+            z = zlib.decompressobj(31)
+            out.append(z.decompress(data))
+            data = z.unused_data if z.eof else b""
+        data = b"".join(out)
+    return data
+
+
 def detect_format(head: bytes, path: str) -> str:
     """bcf, vcf or dtc, by content first and by name then."""
     if head[:3] == b"BCF":

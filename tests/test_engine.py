@@ -72,13 +72,55 @@ def test_panel_run(spark, tmp_path):
         assert [(x[1], x[4]) for x in panel if x[1] == "1500"] == [("1500", ",".join(dict.fromkeys([alt, "A", "G"])))] and [int(x[1]) for x in panel] == sorted(int(x[1]) for x in panel)
 
 
+def test_panel_keeps_its_records_and_samples(spark, tmp_path):
+    """The grown panel is the panel's own lines with added ALTs, and new sites with missing samples; the same from a BCF panel."""
+    fasta = put(tmp_path, "r.fa", ">1\n" + "T" * 40 + "\n")
+    calls = put(tmp_path, "c.txt", "rs1 1 5 AG\nrs2 1 9 TT\nrs3 1 20 TC\n")
+    head = '##fileformat=VCFv4.2\n##INFO=<ID=AF,Number=A,Type=Float,Description="x">\n##FILTER=<ID=q10,Description="y">\n##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="g">\n##contig=<ID=1,length=40>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n'
+    site = put(tmp_path, "p.vcf", head + "1\t5\trsA\tT\tA\t30\tPASS\tAF=0.5\tGT:DP\t0|1:3\t1|1:4\n1\t20\trsB\tT\tC\t.\tq10\t.\tGT\t0|0\t0|1\n1\t30\trsC\tT\tG\t.\t.\t.\n")
+    convert_file(spark, Config(calls, fasta, str(tmp_path / "out"), sex="female", panel=site))
+    text_of = lambda p: "".join(x.read_text() for x in sorted(Path(p).glob("part-*")))
+    assert text_of(tmp_path / "out_panel").startswith(head)
+    missing = "GT:DP\t./.:.\t./.:."
+    assert body(str(tmp_path / "out_panel"))[1:] == ["1\t5\trsA\tT\tA,G\t30\tPASS\tAF=0.5\tGT:DP\t0|1:3\t1|1:4", f"1\t9\t1:9:T:.\tT\t.\t.\t.\t.\t{missing}", "1\t20\trsB\tT\tC\t.\tq10\t.\tGT\t0|0\t0|1", f"1\t30\trsC\tT\tG\t.\t.\t.\t{missing}"]
+    import json
+
+    facts = json.loads("".join(p.read_text() for p in (tmp_path / "out_report").glob("part-*")))
+    assert facts["panel"] == {"modified": 1, "novel": 1, "total": 4}
+    lines = [(x, c) for x, c in ((5, "0|1"), (20, "0|0"))]
+    records = spark.createDataFrame([("1", p, f"rs{p}", "T", ["A" if p == 5 else "C"], [gt, "1|1"], {"SVTYPE": "X"}) for p, gt in lines], "chrom string, pos long, id string, ref string, alts array<string>, gts array<string>, info map<string,string>").coalesce(1)
+    from strandloom.sinks import files, vcf
+
+    top = [x.replace("\tme", "\ts1\ts2") for x in vcf.header([("1", 40)], "me")]
+    files.write_parts(bcf.blocks(records, top), "data", str(tmp_path / "bcf"), bcf.bgzf(bcf.header_bytes(top)), bcf.END_BLOCK)
+    path = put(tmp_path, "p.bcf", b"".join(x.read_bytes() for x in sorted((tmp_path / "bcf").glob("part-*"))))
+    assert bcf.header_lines(spark, path) == top
+    convert_file(spark, Config(calls, fasta, str(tmp_path / "from_bcf"), sex="female", panel=path))
+    got = body(str(tmp_path / "from_bcf_panel"))[1:]
+    assert got[0] == "1\t5\trs5\tT\tA,G\t.\t.\tSVTYPE=X\tGT\t0|1\t1|1" and [x.split("\t")[1:5] for x in got[1:]] == [["9", "1:9:T:.", "T", "."], ["20", "rs20", "T", "C"]]
+
+
 def test_vcf_with_lift(spark, tmp_path):
     vcf = put(tmp_path, "a.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\nchr1\t3\t.\tG\tA\t.\t.\t.\tGT\t0/1\nchr1\t900\t.\tG\tA\t.\t.\t.\tGT\t0/1\n")
     src, dst = put(tmp_path, "s.fa", ">chr1\n" + "ACGT" * 300 + "\n"), put(tmp_path, "d.fa", ">chr1\n" + "T" * 100 + "ACAT" * 300 + "\n")
     chain = put(tmp_path, "x.chain", "chain 100 chr1 1200 + 0 100 chr1 1300 + 100 200 1\n100\n\n")
     got = convert_file(spark, Config(vcf, src, str(tmp_path / "out"), sex="female", chain=chain, lift_reference=dst))
     assert got == {"variant_records": 1, "liftover_unmapped": 1}
-    assert [x.split("\t")[1:5] + [x.split("\t")[-1]] for x in body(str(tmp_path / "out"))[1:]] == [["103", "chr1:3:G:A", "A", "G", "1/0"]]
+    assert [x.split("\t")[1:5] + [x.split("\t")[-1]] for x in body(str(tmp_path / "out"))[1:]] == [["103", "chr1:103:A:G", "A", "G", "1/0"]]  # polarised, and named, on the output's reference
+    got = convert_file(spark, Config(vcf, src, str(tmp_path / "kept"), sex="female", chain=chain, lift_reference=dst, standardize=False))
+    assert got == {"variant_records": 1, "liftover_unmapped": 1}
+    assert [x.split("\t")[:5] + [x.split("\t")[-1]] for x in body(str(tmp_path / "kept"))[1:]] == [["chr1", "103", ".", "A", "G", "1/0"]]
+
+
+def test_calls_are_lifted_before_the_reference_is_asked(spark, tmp_path):
+    """REF is the base of the output's reference; a call at a place the input's reference lacks is lifted all the same."""
+    calls = put(tmp_path, "c.txt", "rs1 1 1 AG\nrs2 1 2 CC\nrs3 1 3 GT\nrs4 1 4 DI\nrs5 1 50 AA\nrs6 1 900 AA\nrs7 1 5 --\nbad\n")
+    src, dst = put(tmp_path, "s.fa", ">1\n" + "TTTT" * 5 + "\n"), put(tmp_path, "d.fa", ">chr1\n" + "T" * 10 + "GCAT" * 30 + "\n")
+    chain = put(tmp_path, "x.chain", "chain 100 chr1 1200 + 0 100 chr1 1300 + 10 110 1\n100\n\n")
+    got = convert_file(spark, Config(calls, src, str(tmp_path / "out"), sex="female", chain=chain, lift_reference=dst))
+    assert got == {"variant_records": 3, "reference_records": 2, "liftover_straddled": 1, "liftover_unmapped": 1, "parse_errors": 1}
+    lines = [x.split("\t") for x in body(str(tmp_path / "out"))[1:]]
+    assert [[x[0], *x[1:5], x[-1]] for x in lines] == [["chr1", "11", "rs1", "G", "A", "1/0"], ["chr1", "12", "rs2", "C", ".", "0/0"], ["chr1", "13", "rs3", "A", "G,T", "1/2"], ["chr1", "15", "rs7", "G", ".", "./."], ["chr1", "60", "rs5", "C", "A", "1/1"]]
 
 
 def test_lift_vectors(spark):
