@@ -16,6 +16,7 @@ from strandloom.functions import alleles as A
 from strandloom.operators import convert, infer, lift, panel
 from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.plans.engine import contig_table
+from strandloom.sinks import panel as panel_sink
 from strandloom.sinks import plink, vcf
 from strandloom.sources import text
 
@@ -463,6 +464,24 @@ ORACLES["liftover"] = f"""with sites as ({VIEWS["sites"]}), chain as ({VIEWS["ch
   case when reason is null then case when r='N' and a=b then replace(gt,'1','0') when r='N' or r=b then gt else translate(gt,'01','10') end end as gt, reason from u"""
 
 
+@query()
+def liftover_alts(spark, sf_dir):
+    """Sites of two one-base ALTs: any of them can be the base of the other build."""
+    contigs, blocks = genome(spark)
+    rows = view(spark, sf_dir, "sites").where("length(ref) = 1 and alt rlike '^[ACGT],[ACGT]$'").select("rid", "chrom", "pos", F.when(F.col("rid") % 5 == 0, "N").otherwise(F.col("ref")).alias("ref"), "alts", "gt")
+    return lift.liftover(rows, view(spark, sf_dir, "chain"), contigs, blocks).select("rid", "chrom", "pos", "ref", joined("alts").alias("alt"), "gt", "reason")
+
+
+ORACLES["liftover_alts"] = f"""with sites as ({VIEWS["sites"]}), chain as ({VIEWS["chain"]}), s as (select rid, chrom, pos, case when rid%5=0 then 'N' else ref end as ref, split_part(alt,',',1) as x, split_part(alt,',',2) as y, gt from sites where length(ref)=1 and regexp_full_match(alt,'[ACGT],[ACGT]')),
+  asks as (select rid, replace(chrom,'chr','') as c, pos-1 as p from s), l as {_LIFT.format(q="asks")},
+  t as (select s.rid, l.status, l.q_chrom as c, l.q_pos+1 as p, s.gt, {_REF.format("(l.q_pos+1)")} as b, {", ".join(f"case when l.q_strand='-' then {_COMP.format('s.' + k)} else s.{k} end as {k}" for k in ("ref", "x", "y"))} from s join l on s.rid=l.rid),
+  u as (select *, case when status<>'lifted' then 'liftover_'||status when b is null then 'reference_failures' when ref<>'N' and ref<>b and x<>b and y<>b then 'liftover_incompatible' end as reason,
+    case when ref='N' then case when x=b then '001' when y=b then '010' else '012' end when ref=b then '012' when x=b then '102' else '120' end as places,
+    case when ref='N' then case when x=b then y when y=b then x else x||','||y end when ref=b then x||','||y when x=b then ref||','||y else ref||','||x end as made from t)
+  select rid, case when reason is null then c end as chrom, case when reason is null then p end as pos, case when reason is null then b end as ref, case when reason is null then made end as alt,
+  case when reason is null then translate(gt,'012',places) end as gt, reason from u"""
+
+
 # --- panel -------------------------------------------------------------------------------------------------------------
 
 
@@ -549,6 +568,18 @@ def panel_counts(spark, sf_dir):
 ORACLES["panel_counts"] = f"with asked as ({VIEWS['asked']}), panel as ({VIEWS['panel']}), {_PADDED} select count(*) filter (kind='modified') as modified, count(*) filter (kind='novel') as novel, count(*) as total from pp"
 
 
+@query()
+def panel_records(spark, sf_dir):
+    """The grown panel as lines: its own records with added ALTs, and new sites."""
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.concat(F.lit("rs"), F.col("ord").cast("string")), "ref", "alt", F.lit("30"), F.lit("PASS"), F.lit("AF=0.5"))
+    return panel_sink.grown_lines(view(spark, sf_dir, "panel").select("ord", line.alias("line")), _padded(spark, sf_dir), []).select("ord", "line")
+
+
+ORACLES["panel_records"] = f"""with asked as ({VIEWS["asked"]}), panel as ({VIEWS["panel"]}), {_PADDED}
+  select ord, concat_ws(chr(9), panel.chrom, panel.pos, 'rs'||ord, panel.ref, panel.alt||coalesce(','||add.more,''), '30', 'PASS', 'AF=0.5') as line from panel left join add on add.sc=panel.chrom and add.pos=panel.pos
+  union all select -1, concat_ws(chr(9), chrom, pos, chrom||':'||pos||':'||ref||':'||case when alt='' then '.' else alt end, ref, case when alt='' then '.' else alt end, '.', '.', '.') from pp where kind='novel'"""
+
+
 # --- inference ---------------------------------------------------------------------------------------------------------
 
 
@@ -566,6 +597,23 @@ ORACLES["build_detect"] = f"""with calls as ({VIEWS["calls"]}), {_FIRST}, x as (
   select build, count(*) filter (g=b) as matches, count(b) as looked_up, round(100.0*count(*) filter (g=b)/nullif(count(b),0),6) as rate from x group by build"""
 
 
+@query()
+def build_calls(spark, sf_dir):
+    return infer.build_calls(view(spark, sf_dir, "calls")).select("rid", "base")
+
+
+ORACLES["build_calls"] = f"""with calls as ({VIEWS["calls"]}), f as (select * from calls order by ord limit 5000)
+  select rid, upper(substr(genotype,1,1)) as base from f where regexp_full_match(upper(genotype),'AA?|CC?|GG?|TT?') and upper(chrom) not in ('X','Y','CHRX','CHRY','MT','CHRM') order by ord limit 1000"""
+
+
+@query()
+def build_sites(spark, sf_dir):
+    return infer.build_sites(view(spark, sf_dir, "sites")).select("rid", "base")
+
+
+ORACLES["build_sites"] = f"with sites as ({VIEWS['sites']}) select rid, ref as base from sites where ref in ('A','C','G','T') and pos>0 and upper(chrom) not in ('X','Y','CHRX','CHRY','MT','CHRM') order by ord limit 1000"
+
+
 @query()
 def sex_counts(spark, sf_dir):
     return infer.sex_counts(view(spark, sf_dir, "calls"), "GRCh38")
