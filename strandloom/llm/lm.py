@@ -7,7 +7,7 @@ with that fold's counts deleted from the estimates; the scores use the counts of
 Blocks of documents send their distinct unigrams and bigrams (64-bit hashes, with counts) to buckets; the buckets add up
 over all blocks and answer in the same order, so each key travels once for each block that holds it, not for each token.
 EM sees a histogram of held-out tokens over (context bucket, rounded log ratios): at most some 10^5 cells, whatever the
-corpus; all counts and all scores are exact.
+corpus; counts and scores are exact but for n-grams whose 64-bit hashes collide.
 
 Defined results: a null text is empty and has the end token alone; a null doc_id is a training document; rows that share a
 doc_id each count and are scored each; without training documents every count is 0; without held-out tokens the weights
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import RUN, bucket_cuts, crc_mod, expanded, mix, pack_counts, pack_ints, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_u64, word_hashes, written
 
 END = np.uint64(0x656E64)
-#: Unigram keys have 64 bits, bigram keys 56, which travel in a byte less.
-BIGRAM_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 BLOCKS_A_PART = 6
 DEFAULT = (0.1, 0.5, 0.4)
 LEAST_WEIGHT = 1e-5
@@ -39,7 +37,7 @@ def keys_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h, n = word_hashes(data, bounds)
     flat = np.insert(h, np.cumsum(n), END)
     before = np.concatenate([[END], flat])[: len(flat)]  # a text's first token follows another text's end
-    return mix(flat), mix(before * RUN + flat + np.uint64(1)) & BIGRAM_BITS, n + 1
+    return mix(flat), mix(before * RUN + flat + np.uint64(1)), n + 1
 
 
 def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
