@@ -226,6 +226,21 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
+def pack_narrow(x: np.ndarray) -> bytes:
+    """Counts as the byte planes that the greatest one needs."""
+    width = max(1, int(x.max(initial=0)).bit_length() + 7 >> 3)
+    return np.ascontiguousarray(x, dtype=np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if len(x) else b""
+
+
+def unpack_narrow(b: bytes, n: int) -> np.ndarray:
+    """The n counts of pack_narrow."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(b, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view(np.int64).ravel()
+
+
 def pack_counts(x: np.ndarray) -> bytes:
     """int64 counts, mostly small: byte planes, entropy-coded."""
     return zstandard.ZstdCompressor(level=1).compress(pack_ints(x))

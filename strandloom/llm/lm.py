@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import RUN, bucket_cuts, crc_mod, expanded, mix, pack_counts, pack_ints, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_u64, word_hashes, written
+from strandloom.llm.common import RUN, bucket_cuts, crc_mod, expanded, given_back, mix, pack_counts, pack_ints, pack_narrow, pack_u64, scan_parts, squeezed, unpack_counts, unpack_ints, unpack_narrow, unpack_u64, word_hashes, written
 
 END = np.uint64(0x656E64)
 BLOCKS_A_PART = 6
@@ -40,12 +40,25 @@ def keys_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(flat), mix(before * RUN + flat + np.uint64(1)), n + 1
 
 
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place of each key among them): np.unique in half its memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    places = np.empty(len(keys), np.int32)
+    places[order] = np.cumsum(first, dtype=np.int32) - 1
+    return keys[first], places
+
+
 def _distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: sorted distinct keys, training counts, counts in the deleted fold, and where each token's unigram and bigram stand; tokens of each text."""
     uni, bi, n = keys_of(*expanded(t.column("text").to_pylist()))
     fold = np.repeat(t.column("fold").to_numpy(), n)
-    keys, where = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-    uni, bi = where[: len(uni)], where[len(uni) :]
+    keys_1, uni = _places(uni)
+    keys_2, bi = _places(bi)
+    keys, place = _places(np.concatenate([keys_1, keys_2]))
+    uni, bi = place[: len(keys_1)][uni], place[len(keys_1) :][bi]
     count = lambda mask: np.bincount(uni[mask], minlength=len(keys)) + np.bincount(bi[mask], minlength=len(keys))
     return keys, count(fold >= 0), count(fold == 1), uni, bi, n
 
@@ -62,6 +75,7 @@ def counted(docs: DataFrame) -> DataFrame:
     blocked = squeezed(docs.select("doc_id", "text", "fold")).select("doc_id", "text", "fold", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"))  # by text too: null and repeated ids are many blocks
 
     def send(t: pa.Table) -> pa.Table:
+        given_back()  # of the group before, here and below
         keys, train, deleted, uni, _, _ = _distinct(t)
         single = np.zeros(len(keys), np.int64)
         single[uni] = 1
@@ -71,8 +85,9 @@ def counted(docs: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "keys": col(pack_u64, keys), "train": col(pack_counts, train * 2 + single), "deleted": col(pack_counts, deleted)})
 
     def add(t: pa.Table) -> pa.Table:
+        given_back()
         got = [unpack_u64(b) for b in t.column("keys").to_pylist()]
-        keys, where = np.unique(np.concatenate(got), return_inverse=True)
+        keys, where = _places(np.concatenate(got))
         train = np.concatenate([unpack_counts(b) for b in t.column("train").to_pylist()])
         total = np.bincount(where, train >> 1, len(keys)).astype(np.int64)
         deleted = np.concatenate([unpack_counts(b) for b in t.column("deleted").to_pylist()])
@@ -86,6 +101,7 @@ def counted(docs: DataFrame) -> DataFrame:
         return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "total": col(np.split(total[where] * 2 + told, split)), "fold_total": col(fold[w] for w in asked)})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        given_back()
         right = right.sort_by("bucket")
         total = np.concatenate([unpack_counts(b) for b in right.column("total").to_pylist()])
         _, _, deleted, uni, bi, n = _distinct(left)
@@ -96,7 +112,7 @@ def counted(docs: DataFrame) -> DataFrame:
         told = np.repeat(left.column("fold").to_numpy(), n) == 1
         cells = cells_of(rest[uni][told], rest[bi][told])
         spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
-        col = lambda at: [pack_ints(count[at[a:b]]) for a, b in spans]
+        col = lambda at: [pack_narrow(count[at[a:b]]) for a, b in spans]
         out = {"doc_id": left.column("doc_id").to_pylist(), "fold": folds, "n": n.tolist(), "c1": col(uni), "c2": col(bi)}
         types = {"doc_id": left.schema.field("doc_id").type, "fold": pa.int32(), "n": pa.int64()}
         last = {"n": int((total & 1).sum()), "c1": pack_ints(cells.T.ravel())}
@@ -175,8 +191,8 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, deleted: int = 3)
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known, base, own = [], [], []
-            for a, b in zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), strict=True):
-                c1, c2 = unpack_ints(a), unpack_ints(b)
+            for a, b, tokens in zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                c1, c2 = unpack_narrow(a, tokens), unpack_narrow(b, tokens)
                 ch = contexts(c1)
                 w = weights[buckets_of(ch)]
                 known.append(int((c1 > 0).sum()))
