@@ -11,8 +11,9 @@ empty table gives no piece; other columns are ignored. Only the last sequence is
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bpe import byte_chars
-from strandloom.llm.common import given_back, written
+from strandloom.llm.common import given_back, slices, written
 
-#: Words kept by a Python worker between tasks, in two generations.
-CACHE_WORDS = 700_000
-#: The tokenizer's own word pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of text that are cut together.
+SLICE_BYTES = 8 << 20
+#: The tokenizer's contractions; beside them its pieces are letters in a row, one digit, or other characters in a row.
+CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Totals of parts that are broadcast at most: 16 bytes each.
 MOST_BROADCAST = 1_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
-class Recent(dict):
-    """A bounded cache of a function: when half of it is full, what was not asked for since the last time goes."""
-
-    def __init__(self, fn: Callable[[str], bytes], most: int) -> None:
-        super().__init__()
-        self.fn, self.half, self.old = fn, most // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(key)
-        self[key] = got = self.fn(key) if got is None else got
-        return got
-
-
 class WordCoder:
-    """The tokenizers library behind bounded caches: it drops white space, so each word codes alone.
+    """The tokenizers library over the distinct pieces of a slice of texts.
 
-    Python's str.split() cuts at the library's white space and at \\x1c-\\x1f; texts that hold one of these, or a special
-    token, go to the library whole.
+    A slice's code points are classed, lower-cased and cut into the tokenizer's pieces in array steps; each distinct piece is coded
+    once by the library's model and ids are dealt back by piece number. Texts that hold a special token go to the library whole,
+    those that are not in normal form through its normalizer first. Nothing
+    is kept from slice to slice, so memory is bounded by SLICE_BYTES or one longer text.
     """
 
+    SPACE, LETTER, DIGIT, OTHER = 1, 2, 3, 4
+
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
@@ -63,27 +52,80 @@ class WordCoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.normal, self.pattern = self.lib.normalizer.normalize_str, regex.compile(WORD_PATTERN)
-        self.stand_in = {b: c for c, b in byte_chars().items()}
-        self.known, self.parts = Recent(self.word, CACHE_WORDS), Recent(self.part, CACHE_WORDS // 2)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def part(self, part: str) -> bytes:
-        """Ids of one match of the pattern in normal form."""
-        chars = part if part.isascii() and part.isprintable() else "".join(map(self.stand_in.__getitem__, part.encode()))
-        return array("I", [t.id for t in self.lib.model.tokenize(chars)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        norm = word.lower() if word.isascii() else self.normal(word)
-        return self.parts[norm] if norm.isalpha() else b"".join(map(self.parts.__getitem__, self.pattern.findall(norm)))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
-        return b"".join(map(self.known.__getitem__, text.split()))
+        self.kinds = [(self.SPACE, regex.compile(r"\p{White_Space}")), (self.LETTER, regex.compile(r"\p{L}")), (self.DIGIT, regex.compile(r"\p{N}"))]
+        self.stand_in = {b: c for c, b in byte_chars().items() if b != ord("\n")}
+        self.kind, self.lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+
+    def learn(self, points: np.ndarray) -> None:
+        """Class and lower case of code points that were not met before; a lower case of several characters is left to the normalizer."""
+        for p in points.tolist():
+            c, low = chr(p), self.lib.normalizer.normalize_str(chr(p))
+            self.kind[p] = next((k for k, r in self.kinds if r.match(c)), self.OTHER)
+            self.lower[p] = ord(low) if len(low) == 1 and self.kind[p] != self.SPACE else p
+
+    def plain(self, text: str) -> bool:
+        """Whether the normal form of a text is that of its characters one by one."""
+        return text.isascii() or unicodedata.is_normalized("NFC", text) and "\u0130" not in text
+
+    def coded(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each of some pieces in normal form, little-endian unsigned 32-bit in binary."""
+        tokenize, flat, size = self.lib.model.tokenize, [], []
+        for piece in "\n".join(pieces.to_pylist()).encode().decode("latin-1").translate(self.stand_in).split("\n"):
+            ids = [t.id for t in tokenize(piece)] if piece else []
+            flat += ids
+            size.append(len(ids))
+        offsets = np.concatenate([[0], np.cumsum(size[: len(pieces)], dtype=np.int64) * 4])
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.array(flat, "<u4"))])
+
+    def pieces(self, text: str) -> tuple[pa.Array, np.ndarray]:
+        """(the pieces of a text in normal form, the code point at which each ends)."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        if not kind.all():
+            self.learn(np.unique(points[kind == 0]))
+            kind = self.kind[points]
+        points = self.lower[points]
+        first = np.ones(len(points), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        quote = np.flatnonzero((points == ord("'")) & first)
+        follow = lambda i: points[np.minimum(quote + i, len(points) - 1)] * (quote + i < len(points))
+        one, two = follow(1), follow(2)
+        for tail in CONTRACTIONS:
+            at = quote[(one == ord(tail[0])) & (two == ord(tail[1]) if len(tail) > 1 else True)]
+            first[at + 1] = False
+            end = at + 1 + len(tail)
+            first[end[end < len(points)]] = True
+        word = kind != self.SPACE
+        starts = np.flatnonzero(first[word])
+        place = np.flatnonzero(word)
+        points = points[word]
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        offsets = np.concatenate([[0], np.cumsum(width)])[np.append(starts, len(points))].astype(np.int64)
+        data = points.tobytes().decode("utf-32-le").encode()
+        ends = place[np.append(starts[1:], len(points)) - 1] + 1 if len(starts) else place
+        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); null is empty."""
+        rows = [t or "" for t in texts.to_pylist()]
+        whole = [i for i, t in enumerate(rows) if any(s in t for s in self.special)]
+        if whole:  # at these rows the library's ids stand between those of the rest
+            cuts, out = [0, *(x for i in whole for x in (i, i + 1)), len(rows)], []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if k % 2:
+                    ids = np.array(self.lib.encode(rows[a], add_special_tokens=False).ids, np.uint32)
+                    out.append((ids, np.array([len(ids)], np.int64)))
+                elif a < b:
+                    out.append(self.encode(pa.array(rows[a:b], pa.large_string())))
+            return tuple(np.concatenate(x) for x in zip(*out))
+        rows = [t if self.plain(t) else self.lib.normalizer.normalize_str(t) for t in rows]
+        pieces, ends = self.pieces(" ".join(rows))
+        met = pieces.dictionary_encode()
+        out = self.coded(met.dictionary).take(met.indices)
+        upto = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1] >> 2 if len(out) else np.zeros(1, np.int64)
+        ids = np.frombuffer(out.buffers()[2], np.uint32)[: upto[-1]] if upto[-1] else np.empty(0, np.uint32)
+        last = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1) - 1
+        return ids, np.diff(upto[np.searchsorted(ends, last, "right")], prepend=0)
 
 
 def coder(path: str) -> WordCoder:
@@ -95,7 +137,6 @@ def coder(path: str) -> WordCoder:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """(part, at, doc_id, n, ids): at counts the tokens before the document in its part; ids is binary, little-endian unsigned 32 bit, end_id last."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -103,13 +144,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         code, part, at = coder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                small = batch.slice(i, 128)
-                ids = [code.encode(t or "") + end for t in small.column("text").to_pylist()]
-                n = np.array([len(b) // 4 for b in ids], np.int64)
+            for small in slices(batch, "text", SLICE_BYTES):
+                ids, n = code.encode(small.column("text"))
+                ids = np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype("<u4", copy=False)
+                n = n + 1
                 upto = at + np.cumsum(n)
+                bounds = np.concatenate([[0], np.cumsum(n) * 4]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(upto - n), small.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(upto - n), small.column("doc_id"), pa.array(n), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])],
                     names=["part", "at", "doc_id", "n", "ids"],
                 )
                 at = int(upto[-1])

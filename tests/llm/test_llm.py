@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from strandloom.llm import bpe, graph, html, langid, lm, media, merkle, ngram_join, packing, secrets, substring
@@ -185,7 +186,7 @@ def test_packing_is_gapless_and_whole(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs, path, window=64).collect()
     code = packing.coder(path)
-    want = [code.whole(t or "") + (1).to_bytes(4, "little") for _, t, *_ in ROWS]
+    want = [np.array([*code.lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t, *_ in ROWS]
     by = collections.defaultdict(list)
     for r in got:
         assert len(r["ids"]) == 4 * r["length"] and r["offset"] + r["length"] <= 64
@@ -212,12 +213,20 @@ def odd_texts():
 
 def test_word_coder_is_the_library(monkeypatch):
     code = packing.coder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = odd_texts()
-    want = [code.whole(t) for t in texts]
-    assert [code.encode(t) for t in texts] == want
-    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
-    small = packing.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert [small.encode(t) for t in texts] == want
+    texts = [*odd_texts(), None, "", "o\u0308 don't I'LL '' ''s 's's 'tis we'RE ve've \u2019s Σας ΟΔΟΣ", " ", "\n", "12\u0664½", "'"]
+    ids, n = code.encode(pa.array(texts, pa.string()))
+    want = [code.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    for some in ([], [""], [None], ["<|endoftext|>"]):
+        ids, n = code.encode(pa.array(some, pa.string()))
+        assert len(n) == len(some) and len(ids) == sum(n)
+
+
+def test_one_very_long_word():
+    """10 MB without a blank, of one letter run and of single characters, beside short rows."""
+    code = packing.coder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, n = code.encode(pa.array(["a b", "漢1" * 1_700_000, "c"]))
+    assert n[0] == 2 and n[2] == 1 and n[1] == len(ids) - 3 and n[1] >= 3_400_000
 
 
 def test_transducer_is_the_library():
