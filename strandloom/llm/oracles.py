@@ -22,4 +22,14 @@ MERKLE = f"""with a as (select doc_id, coalesce(text,'') as t, length(coalesce(t
   f as (select doc_id, n, sha256(e) as edited_sha256, {_PRINT.format("tt")} as fingerprint, {_PRINT.format("et")} as edited_fingerprint, {_PRINT.format("ntt")} as nf, {_LEAVES.format("tt")} as lt, {_LEAVES.format("et")} as le, {_LEAVES.format("ntt")} as ln from d)
   select doc_id, n as n_chars, edited_sha256, fingerprint, edited_fingerprint, {_NEAR.format("fingerprint", "edited_fingerprint", "lt", "le")} as near_edited, {_NEAR.format("fingerprint", "nf", "lt", "ln")} as near_next from f"""
 
-ORACLES = {"op4_ngram_join": JACCARD, "op10_fingerprints": MERKLE}
+_FLOORED = "list_transform(embedding, lambda e: floor(64*e::double)::bigint)"
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e)))=0"
+_NEAREST = "(select vec_id, x, min(struct_pack(d:=d, c:=c)) as m from (select v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1]-p[2])*(p[1]-p[2])))::bigint as d from v, {0} c) group by vec_id, x)"
+_MOVED = "(select c.c, coalesce(n.x, c.x) as x from {0} c left join (select c, list(f order by i) as x from (select c, i, (s-((s%n)+n)%n)//n as f from (select m.c as c, i, sum(x[i])::bigint as s, count(*) as n from (select x, m, unnest(range(1,65)) as i from {1}) group by 1,2)) group by c) n on n.c=c.c)"
+
+CLUSTERS = f"""with v as (select vec_id, {_FLOORED} as x from embeddings where len(embedding)=64 and {_WHOLE}),
+  c0 as (select row_number() over (order by sha256('1:'||vec_id), x)-1 as c, x from (select * from v order by sha256('1:'||vec_id), x limit 16)),
+  a0 as {_NEAREST.format("c0")}, c1 as {_MOVED.format("c0", "a0")}, a1 as {_NEAREST.format("c1")}, c2 as {_MOVED.format("c1", "a1")}, a2 as {_NEAREST.format("c2")}, c3 as {_MOVED.format("c2", "a2")}, a3 as {_NEAREST.format("c3")}
+  select a.vec_id, a.m.c::int as cluster, a.m.d as distance, (sum(a.m.d) over (partition by a.m.c))::bigint as cluster_inertia, (sum(a.m.d) over ())::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256 from a3 a join c3 c on c.c=a.m.c"""
+
+ORACLES = {"op4_ngram_join": JACCARD, "op10_fingerprints": MERKLE, "op11_clusters": CLUSTERS}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, html, langid, lm, media, merkle, ngram_join, packing, secrets, substring
-from strandloom.llm.common import crc_mod, table
+from strandloom.llm import bitplane, bpe, elkan, html, langid, lm, media, merkle, ngram_join, packing, secrets, substring, whitening
+from strandloom.llm.common import crc_mod, scan_parts, shared_dir, table
 from strandloom.llm.oracles import ORACLES
 
 
@@ -63,8 +63,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.report(table(spark, sf_dir, "embeddings"), "vec_id", column="embedding", width=64, k=16, rounds=3)
+
+
+def op12_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), shared_dir(spark)
+    parts = max(scan_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bitplane.write(packing.tokenized(bitplane.ordered(docs, parts), tokenizer("word_bpe_49k.json"), end_id=2), path)
+    back = bitplane.read(spark, path, docs.schema["doc_id"].dataType.simpleString())
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64, shift=1_000_000, most=16)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm, op2_langid, op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op8_html, op9_secrets, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_lm, op2_langid, op3_packing, op4_ngram_join, op5_substring, op6_bpe, op7_media, op8_html, op9_secrets, op10_fingerprints, op11_clusters, op12_bitplanes, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
