@@ -47,9 +47,12 @@ class Config:
 DEFINITION = re.compile("^##(INFO|FORMAT|FILTER)=<")
 
 
-def input_definitions(lines: DataFrame) -> list[str]:
-    """INFO, FORMAT and FILTER lines of an input header; a header is small."""
-    return [r["line"] for r in lines.where(F.col("line").rlike(DEFINITION.pattern)).orderBy("ord").collect()]
+def input_header(spark: SparkSession, cfg: Config, kind: str) -> list[str]:
+    """Header lines of the input, from the start of its file alone; more than one sample is an error."""
+    head = text.header_lines(spark, cfg.input) if kind == "vcf" else bcf.header_lines(spark, cfg.input)
+    if any(x.startswith("#CHROM") and len(x.split("\t")) > 10 for x in head):
+        raise ValueError(f"{cfg.input} has more than one sample")
+    return head
 
 
 def per_allele(definitions: list[str]) -> list[str]:
@@ -82,8 +85,10 @@ def lifted(rows: DataFrame, chain: DataFrame, contigs: DataFrame, blocks: DataFr
     return rows.drop("chrom", "pos", "ref", "alts", "gt", "contig", "contig_idx", "reason").join(moved, "ord")
 
 
-def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, dict]:
-    """(tagged variant rows, contig table, inferred facts).
+def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, dict, list[DataFrame]]:
+    """(tagged variant rows, contig table, inferred facts, tables that are kept meanwhile).
+
+    The input is read once: its parsed rows are kept, in memory and on disk, for inference and conversion.
 
     With a chain, `reference` is that of the input: it tells strand and build. Rows are lifted before anything is looked up in
     the output's reference, calls with a REF of N, so contigs, bases and polarising are those of the output.
@@ -95,17 +100,19 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
     lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
     facts: dict = {"input_format": kind}
+    kept = [blocks, contigs]
     lifts = bool(cfg.chain and cfg.lift_reference)
     if lifts:
         new_blocks = text.fasta_blocks(text.read_lines(spark, cfg.lift_reference)).cache()
         new_contigs = contig_table(new_blocks).cache()
         chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
+        kept += [new_blocks, new_contigs]
     if kind == "dtc":
-        parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos")
+        parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos").persist()
+        kept.append(parsed)
         good = parsed.where("error is null")
         if cfg.limit:  # counts good rows
             good = infer.first_rows(good, cfg.limit)
-        good = good.cache()  # read by inference, conversion and report
         if cfg.other_reference:
             facts |= detected_build(spark, cfg, infer.build_calls(good), contigs, blocks)
         facts["sex"] = cfg.sex or infer.classify_sex(infer.sex_counts(good, cfg.assembly).first().asDict())
@@ -124,10 +131,15 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         bad = parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason"))
         rows = rows.unionByName(bad, allowMissingColumns=True)
     elif kind in ("vcf", "bcf"):
-        parsed = text.vcf_scan(lines) if kind == "vcf" else bcf.read(spark, cfg.input).withColumn("error", F.lit(None).cast("string"))
-        if parsed.where("size(samples) > 1").limit(1).count():
-            raise ValueError(f"{cfg.input} has more than one sample")
-        facts["definitions"] = input_definitions(lines) if kind == "vcf" else [x for x in bcf.header_lines(spark, cfg.input) if DEFINITION.match(x)]
+        head = input_header(spark, cfg, kind)
+        facts["definitions"] = [x for x in head if DEFINITION.match(x)]
+        if kind == "vcf":
+            parsed = text.vcf_scan(lines, head)
+        else:
+            bad = F.when(F.exists("samples", lambda c: F.coalesce(text.bad_genotype(F.try_element_at(c, F.lit("GT")), F.size("alts")), F.lit(False))), "genotype").when(F.col("pos") < 1, "position")
+            parsed = bcf.read(spark, cfg.input).withColumn("error", bad)
+        parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.size("samples") > 1, "sample"))).persist()
+        kept.append(parsed)
         rows = parsed.where("error is null")
         rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
         rows = A.computed(rows, __cell=F.coalesce(F.get("samples", F.lit(0)), F.create_map().cast("map<string,string>")))
@@ -150,7 +162,20 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         rows = rows.unionByName(parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason")), allowMissingColumns=True)
     else:
         raise ValueError(f"no reader for {kind}")
-    return rows, new_contigs if lifts else contigs, facts
+    return rows, new_contigs if lifts else contigs, facts, kept
+
+
+def bcf_rows(out: DataFrame) -> DataFrame:
+    """Output rows as bcf.blocks takes them: what their VCF line says, field by field, with sort keys."""
+    info = F.expr("map_from_entries(transform(filter(split(info, ';'), x -> x not in ('.', '')), x -> struct(substring_index(x, '=', 1) as k, case when contains(x, '=') then substring(x, instr(x, '=') + 1) else '' end as v)))")
+    more = F.array().cast("array<string>")
+    cell = F.create_map(F.lit("GT"), F.col("gt"))
+    if "fields" in out.columns:
+        more = F.filter(F.array(*map(F.lit, vcf.KEPT_FIELDS)), lambda k: F.coalesce(F.map_contains_key("fields", k), F.lit(False)))
+        cell = F.map_concat(cell, F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*vcf.KEPT_FIELDS)))
+    rank, tail = convert.reference_order(out)
+    extra = [c for c in ("qual", "filters") if c in out.columns]
+    return out.select(rank.alias("__rank"), tail.alias("__tail"), "ord", "chrom", "pos", "id", "ref", F.col("symbolic").alias("alts"), *extra, info.alias("info"), F.concat(F.array(F.lit("GT")), more).alias("format"), F.array(cell).alias("samples"))
 
 
 def panel_text(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
@@ -163,7 +188,11 @@ def panel_text(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
     """Run a conversion; returns the counters, which are also in <output>_report as JSON."""
-    rows, contigs, facts = variants(spark, cfg)
+    rows, contigs, facts, kept = variants(spark, cfg)
+    if cfg.output_format == "bcf":  # its records name contigs by their number in the header; the other formats write an unknown one as it is, last
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("contig").isNull(), "unknown_chromosomes")))
+    rows = rows.persist()  # counted, sorted and written; made once
+    counters = {r["reason"]: r["n"] for r in convert.summary(rows).collect()}
     out = rows.where("reason is null").withColumn("chrom", F.coalesce("contig", "chrom"))
     if cfg.panel:
         panel_head, panel_lines = panel_text(spark, cfg.panel)
@@ -183,12 +212,15 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
     if cfg.output_format == "vcf":
         vcf.write(out, head, cfg.output)
     elif cfg.output_format == "bcf":
-        info = F.expr("map_from_entries(transform(filter(split(info, ';'), x -> x not in ('.', '')), x -> struct(substring_index(x, '=', 1) as k, case when contains(x, '=') then substring(x, instr(x, '=') + 1) else '' end as v)))")
-        records = out.orderBy(*order).select("chrom", "pos", "id", "ref", F.col("symbolic").alias("alts"), F.array("gt").alias("gts"), info.alias("info"))
-        files.write_parts(bcf.blocks(records, head), "data", cfg.output, bcf.bgzf(bcf.header_bytes(head)), bcf.END_BLOCK)
+        records = bcf_rows(out).persist()
+        head = [*head[:-1], *bcf.missing_definitions(records, head), head[-1]]
+        ordered = records.orderBy("__rank", "__tail", "pos", "ord")
+        files.write_parts(bcf.blocks(ordered, head), [("data", cfg.output, bcf.bgzf(bcf.header_bytes(head)), bcf.END_BLOCK)])
+        kept.append(records)
     else:
         site = out.withColumn("ids", F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id"))).withColumn("gts", F.array("gt"))
         plink.write(site, order, plink.fam(spark, cfg.sample, facts["sex"]), cfg.output)
-    counters = {r["reason"]: r["n"] for r in convert.summary(rows).collect()}
     spark.createDataFrame([(report.report(asdict(cfg), counters, facts),)], "value string").coalesce(1).write.mode("overwrite").text(cfg.output + "_report")
+    for table in [rows, *kept]:
+        table.unpersist()
     return counters

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import computed
@@ -17,24 +17,28 @@ def split_alts(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode("alts").alias("__k", "one_alt")).withColumn("alt_no", F.col("__k") + 1).drop("__k")
 
 
-def bim(rows: DataFrame) -> DataFrame:
-    """chrom, id, cm, pos, allele1, allele2 of rows (chrom, pos, ids, ref, alts), with ord and alt_no."""
+def bim_id() -> Column:
+    """Name of a split row (chrom, pos, ids, alts, alt_no)."""
     suffix = F.when(F.size("alts") > 1, F.concat(F.lit("_ALT"), F.col("alt_no").cast("string"))).otherwise("")
     name = F.when(F.size("ids") == 0, F.when(F.size("alts") > 1, F.concat_ws(":", "chrom", F.col("pos").cast("string"))).otherwise(".")).otherwise(F.array_join("ids", ";"))
-    return split_alts(rows).select("ord", "alt_no", "chrom", F.concat(name, suffix).alias("id"), F.lit(0).alias("cm"), "pos", F.col("ref").alias("allele1"), F.col("one_alt").alias("allele2"))
+    return F.concat(name, suffix)
+
+
+def bim(rows: DataFrame) -> DataFrame:
+    """chrom, id, cm, pos, allele1, allele2 of rows (chrom, pos, ids, ref, alts), with ord and alt_no."""
+    return split_alts(rows).select("ord", "alt_no", "chrom", bim_id().alias("id"), F.lit(0).alias("cm"), "pos", F.col("ref").alias("allele1"), F.col("one_alt").alias("allele2"))
 
 
 def called(rows: DataFrame) -> DataFrame:
-    """ord, alts, and by sample the two allele numbers of rows (ord, alts, gts): one allele counts twice, more than two or one that is no number are null."""
+    """rows (alts, gts among them) with the two allele numbers of each sample, __one and __two: one allele counts twice, more than two or one that is no number are null."""
     parts = F.transform("gts", lambda g: F.split(F.translate(g, "|", "/"), "/", -1))
-    rows = computed(rows.select("ord", "alts", "gts"), __p=parts)
     one = F.transform("__p", lambda a: F.when(F.size(a) <= 2, F.get(a, F.lit(0)).try_cast("int")))
     two = F.transform("__p", lambda a: F.get(a, F.size(a) - 1).try_cast("int"))
-    return computed(rows, __one=one, __two=two).select("ord", "alts", "__one", "__two")
+    return computed(computed(rows, __p=parts), __one=one, __two=two).drop("__p")
 
 
-def bed_rows(rows: DataFrame) -> DataFrame:
-    """ord, alt_no, b: the bytes of each variant and ALT as array<int>, four samples each, low bits first, from the row's own genotypes.
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (alts, gts among them), one for each ALT with alt_no and one_alt, and b: the bytes of that variant and ALT as array<int>, four samples each, low bits first, from the row's own genotypes.
 
     A sample's two bits: 0 copies of the ALT 0, 1 copy 2, 2 copies 3, missing 1.
     """
@@ -42,8 +46,13 @@ def bed_rows(rows: DataFrame) -> DataFrame:
     code = lambda x, y: F.when(x.isNull() | y.isNull(), 1).when((x == k) & (y == k), 3).when((x == k) | (y == k), 2).otherwise(0)
     coded = computed(split_alts(called(rows)), __c=F.zip_with("__one", "__two", code))
     at = lambda i, j: F.coalesce(F.get("__c", 4 * i + j), F.lit(0)) * (1 << 2 * j)
-    packed = F.transform(F.expr("sequence(0, cast((size(__c) - 1) div 4 as int))"), lambda i: at(i, 0) + at(i, 1) + at(i, 2) + at(i, 3))
-    return computed(coded.select("ord", "alt_no", "__c"), b=F.when(F.size("__c") > 0, packed).otherwise(F.array().cast("array<int>"))).select("ord", "alt_no", "b")
+    made = F.transform(F.expr("sequence(0, cast((size(__c) - 1) div 4 as int))"), lambda i: at(i, 0) + at(i, 1) + at(i, 2) + at(i, 3))
+    return computed(coded, b=F.when(F.size("__c") > 0, made).otherwise(F.array().cast("array<int>"))).drop("__c", "__one", "__two")
+
+
+def bed_rows(rows: DataFrame) -> DataFrame:
+    """ord, alt_no, b of rows (ord, alts, gts)."""
+    return packed(rows.select("ord", "alts", "gts")).select("ord", "alt_no", "b")
 
 
 def bed(rows: DataFrame) -> DataFrame:
@@ -55,22 +64,19 @@ def fam(spark: SparkSession, sample: str, sex: str) -> DataFrame:
     return spark.createDataFrame([(sample, sample, "0", "0", {"male": 1, "female": 2}.get(sex, 0), -9)], "fid string, iid string, father string, mother string, sex int, phenotype int")
 
 
-def bed_bytes(rows: DataFrame) -> DataFrame:
-    """ord, alt_no, data: the bytes of each .bed row in order."""
-    return bed_rows(rows).select("ord", "alt_no", F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("data"))
+def as_binary(b: Column) -> Column:
+    """array<int> of bytes as binary."""
+    return F.unhex(F.array_join(F.transform(b, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
 
 
 def write(rows: DataFrame, order: list, family: DataFrame, path: str) -> None:
-    """<path>.bed, .bim and .fam as folders of part files in one order: `cat` of the parts of each is the file.
+    """<path>.bed, .bim and .fam as folders of part files: `cat` of the parts of each is the file.
 
-    Both come from one table of sorted rows in one pass each, so a variant has the same place in .bed and .bim.
+    The bytes and the line of a variant and ALT stand in one row, which is sorted once; each task writes its rows to both files, so
+    a variant has the same place in .bed and .bim.
     """
-    site = bim(rows).select(F.col("ord").alias("__ord"), F.col("alt_no").alias("__no"), F.concat_ws("\t", "chrom", "id", F.col("cm").cast("string"), F.col("pos").cast("string"), "allele1", "allele2").alias("line"))
-    keyed = rows.select(*(k.alias(f"__k{i}") if not isinstance(k, str) else F.col(k).alias(f"__k{i}") for i, k in enumerate(order)), "ord")
-    keys = [f"__k{i}" for i in range(len(order))]
-    both = bed_bytes(rows).join(site, (F.col("ord") == F.col("__ord")) & (F.col("alt_no") == F.col("__no"))).select("ord", "alt_no", "data", "line").join(keyed, "ord")
-    ready = both.orderBy(*keys, "alt_no").persist()
-    files.write_parts(ready, "data", path + ".bed", BED_MAGIC)
-    ready.select("line").write.mode("overwrite").text(path + ".bim")
-    ready.unpersist()
+    sites = rows.select("ord", "chrom", "pos", "ids", "ref", "alts", "gts", *(F.col(k).alias(f"__k{i}") if isinstance(k, str) else k.alias(f"__k{i}") for i, k in enumerate(order)))
+    line = F.concat_ws("\t", "chrom", bim_id(), F.lit("0"), F.col("pos").cast("string"), "ref", "one_alt")
+    ready = packed(sites).select(*(f"__k{i}" for i in range(len(order))), "alt_no", as_binary(F.col("b")).alias("data"), F.concat(line, F.lit("\n")).cast("binary").alias("line"))
+    files.write_parts(ready.orderBy(*(f"__k{i}" for i in range(len(order))), "alt_no"), [("data", path + ".bed", BED_MAGIC, b""), ("line", path + ".bim", b"", b"")])
     family.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in family.columns)).alias("line")).write.mode("overwrite").text(path + ".fam")

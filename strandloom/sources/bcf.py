@@ -1,4 +1,9 @@
-"""BCF 2.2: records to and from rows. Files are unpacked one to a task; written records are BGZF blocks in row order."""
+"""BCF 2.2: records to and from rows. A file is split at its BGZF members; written records are BGZF blocks in row order.
+
+A partition owns the records that start in the members of its range. Where a range doesn't begin with the file, its first record
+is the first place whose bytes are a whole record of this file: every field is parsed, all numbers are of this header's dictionaries
+and samples, and both parts end exactly where their lengths say.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,21 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandloom.sources.text import heads, peel, unpacked_start
+from strandloom.sources import layered
+from strandloom.sources.text import heads, start_of
 
 SCHEMA = "chrom string, pos bigint, ids array<string>, ref string, alts array<string>, qual float, filters array<string>, info map<string,string>, format array<string>, samples array<map<string,string>>"
+_TEXT, _MAP = pa.string(), pa.map_(pa.string(), pa.string())
+#: The same columns in Arrow.
+ARROW = pa.schema([("chrom", _TEXT), ("pos", pa.int64()), ("ids", pa.list_(_TEXT)), ("ref", _TEXT), ("alts", pa.list_(_TEXT)), ("qual", pa.float32()), ("filters", pa.list_(_TEXT)), ("info", _MAP), ("format", pa.list_(_TEXT)), ("samples", pa.list_(_MAP))])
 #: Fixed values of the format: type codes, their struct letters, and the values for missing and end of vector.
 KINDS = {1: ("b", -128, -127), 2: ("h", -32768, -32767), 3: ("i", -(2**31), -(2**31) + 1)}
 FLOAT_MISSING, FLOAT_END = b"\x01\x00\x80\x7f", b"\x02\x00\x80\x7f"
@@ -88,57 +100,195 @@ def _genotype(values: list) -> str:
     return out or "."
 
 
-def decode(data: bytes) -> Iterator[dict]:
-    """Rows of an unpacked BCF file."""
+@dataclass(frozen=True)
+class Head:
+    """What a file's records refer to, and the bytes up to its first record."""
+
+    contigs: list[str]
+    strings: list[str]
+    samples: int
+    size: int
+
+
+def head_of(data: bytes) -> Head | None:
+    """The header at the start of unpacked bytes, None where it is cut."""
     if data[:3] != b"BCF":
         raise ValueError("not a BCF file")
-    n = struct.unpack_from("<I", data, 5)[0]
-    contigs, strings = dictionaries(data[9 : 9 + n].split(b"\0")[0].decode("utf-8", "replace"))
-    at = 9 + n
-    while at + 8 <= len(data):
-        shared, each = struct.unpack_from("<II", data, at)
-        r = _Reader(data, at + 8)
-        chrom, pos, _ = r.take("iii")
-        raw_qual = data[r.at : r.at + 4]
-        qual = r.take("f")
-        n_info, n_allele, sample_word = r.take("H"), r.take("H"), r.take("I")
-        ids = r.typed()
-        alleles = [(r.typed() or ["."])[0] for _ in range(n_allele)]
-        filters = [strings[i] for i in r.typed() if i is not None]
-        info = {}
-        for _ in range(n_info):
-            key = strings[r.typed()[0]]
-            kind, size = r.shape()
-            info[key] = "" if size == 0 else _show(r.values(kind, size))
-        names, cells = [], [{} for _ in range(sample_word & 0xFFFFFF)]
-        r.at = at + 8 + shared
-        for _ in range(sample_word >> 24):
-            key = strings[r.typed()[0]]
-            kind, size = r.shape()
-            names.append(key)
-            for cell in cells:
-                values = r.values(kind, size)
-                cell[key] = _genotype(values) if key == "GT" and kind in KINDS else _show(values)
-        yield {"chrom": contigs[chrom], "pos": pos + 1, "ids": ids[0].split(";") if ids else [], "ref": alleles[0] if alleles else "N", "alts": alleles[1:], "qual": None if raw_qual == FLOAT_MISSING else qual, "filters": filters, "info": info, "format": names, "samples": cells}
-        at += 8 + shared + each
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """ord and the columns of SCHEMA."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                found = []
-                for row in decode(peel(bytes(content))):
-                    found.append(row)
-                    if len(found) == 10_000:
-                        yield pd.DataFrame(found)
-                        found = []
-                if found:
-                    yield pd.DataFrame(found)
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, SCHEMA)
+    n = struct.unpack_from("<I", data, 5)[0] if len(data) >= 9 else 0
+    if len(data) < 9 + n or len(data) < 9:
+        return None
+    text = data[9 : 9 + n].split(b"\0")[0].decode("utf-8", "replace")
+    names = next((x for x in text.splitlines() if x.startswith("#CHROM")), "").split("\t")
+    return Head(*dictionaries(text), max(0, len(names) - 9), 9 + n)
+
+
+def record_row(data: bytes, at: int, head: Head) -> dict:
+    """The row of the record at a place of unpacked bytes."""
+    shared, each = struct.unpack_from("<II", data, at)
+    r = _Reader(data, at + 8)
+    chrom, pos, _ = r.take("iii")
+    raw_qual = data[r.at : r.at + 4]
+    qual = r.take("f")
+    n_info, n_allele, sample_word = r.take("H"), r.take("H"), r.take("I")
+    ids = r.typed()
+    alleles = [(r.typed() or ["."])[0] for _ in range(n_allele)]
+    filters = [head.strings[i] for i in r.typed() if i is not None]
+    info = {}
+    for _ in range(n_info):
+        key = head.strings[r.typed()[0]]
+        kind, size = r.shape()
+        info[key] = "" if size == 0 else _show(r.values(kind, size))
+    names, cells = [], [{} for _ in range(sample_word & 0xFFFFFF)]
+    if r.at != at + 8 + shared:
+        raise ValueError("a record's fields and length differ")
+    for _ in range(sample_word >> 24):
+        key = head.strings[r.typed()[0]]
+        kind, size = r.shape()
+        names.append(key)
+        for cell in cells:
+            values = r.values(kind, size)
+            cell[key] = _genotype(values) if key == "GT" and kind in KINDS else _show(values)
+    if r.at != at + 8 + shared + each:
+        raise ValueError("a record's samples and length differ")
+    return {"chrom": head.contigs[chrom], "pos": pos + 1, "ids": ids[0].split(";") if ids else [], "ref": alleles[0] if alleles else "N", "alts": alleles[1:], "qual": None if raw_qual == FLOAT_MISSING else qual, "filters": filters, "info": list(info.items()), "format": names, "samples": [list(c.items()) for c in cells]}
+
+
+def may_start(data: bytes, at: int, head: Head) -> bool:
+    """Whether the fixed fields at a place are those of a record of this file."""
+    shared, each, chrom, pos, length, _, word, samples = struct.unpack_from("<IIiiiIII", data, at)
+    return 0 <= chrom < len(head.contigs) and pos >= -1 and length >= 0 and samples & 0xFFFFFF == head.samples and word >> 16 >= 1 and (word & 0xFFFF) * 2 + (word >> 16) + 24 <= shared < 1 << 30 and each < 1 << 30
+
+
+def record_places(stream: Iterator[tuple[bool, bytes]], head: Head, from_start: bool) -> Iterator[tuple[bytes, list[int]]]:
+    """(bytes, places of whole records in them) of the records that start in the members of a range."""
+    data, at, end, more, closed = b"", 0, 0, True, False  # end: how many of the bytes are of the range; closed: all of them are here
+
+    def grow() -> None:
+        nonlocal data, end, more, closed
+        got = [data]
+        while sum(map(len, got[1:])) < layered.PIECE:
+            mine, piece = next(stream, (False, None))
+            if piece is None:
+                more, closed = False, True
+                break
+            got.append(piece)
+            if not mine:
+                closed = True
+                break
+            end += len(piece)
+        data = b"".join(got)
+
+    if from_start:
+        while len(data) < head.size and more:
+            grow()
+        at = head.size
+    else:
+        while True:  # the first record of the range
+            if at >= end and closed:
+                return
+            if len(data) < at + 32 or at >= end:
+                if not more:
+                    return
+                grow()
+                continue
+            if may_start(data, at, head):
+                n = 8 + sum(struct.unpack_from("<II", data, at))
+                if len(data) < at + n and more:
+                    grow()
+                    continue
+                try:
+                    record_row(data[at : at + n], 0, head)
+                    break
+                except (ValueError, IndexError, KeyError, struct.error):
+                    pass
+            at += 1
+    while True:
+        places = []
+        while at < end and len(data) >= at + 8 and len(data) >= at + 8 + sum(struct.unpack_from("<II", data, at)):
+            places.append(at)
+            at += 8 + sum(struct.unpack_from("<II", data, at))
+        if places:
+            yield data, places
+        if at >= end and closed:
+            return
+        if not more:
+            raise ValueError("a record is cut at the file's end")
+        data, at, end = data[at:], 0, end - at
+        grow()
+
+
+def rows_of(stream: Iterator[tuple[bool, bytes]], head: Head, from_start: bool) -> Iterator[pa.RecordBatch]:
+    for data, places in record_places(stream, head, from_start):
+        for i in range(0, len(places), 2000):
+            yield pa.RecordBatch.from_pylist([record_row(data, at, head) for at in places[i : i + 2000]], ARROW)
+
+
+def head_from(stream: Iterator[bytes]) -> Head:
+    data = b""
+    for piece in stream:
+        data += piece
+        if len(data) >= 9 and (head := head_of(data)):
+            return head
+    raise ValueError("a file has no BCF header")
+
+
+@dataclass
+class BcfRange(layered.Range):
+    head: Head | None = None
+
+
+class BcfScan(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.files, self.most = options["files"].split("\n"), int(options.get("bytes", 32 << 20))
+
+    def partitions(self) -> list[InputPartition]:
+        """The driver reads each file's header once and its partitions carry what it says."""
+        heads_of = {}
+        for file in self.files:
+            store, at = layered.opened(file)
+            with store.open_input_stream(at, compression=None) as source:
+                heads_of[file] = head_from(layered.peeled(layered.read_on(source)))
+        return [BcfRange(**r.__dict__, head=heads_of[r.file]) for r in layered.ranges(self.files, self.most)]
+
+    def read(self, partition: BcfRange) -> Iterator[pa.RecordBatch]:
+        store, at = layered.opened(partition.file)
+        if partition.split:
+            with store.open_input_file(at) as source:
+                yield from rows_of(layered.owned(source, partition.start, partition.stop, partition.size), partition.head, partition.start == 0)
+        else:
+            with store.open_input_stream(at, compression=None) as source:
+                yield from rows_of(((True, piece) for piece in layered.peeled(layered.read_on(source))), partition.head, True)
+
+
+class BcfSource(DataSource):
+    """Options: files (one path a line), bytes (of a file for each partition)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bcf_records"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> BcfScan:
+        return BcfScan(self.options)
+
+
+def read(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """ord and the columns of SCHEMA, in ranges of split_bytes; in stores that only Spark opens, a file is held whole by its task."""
+    files = [name for name, _ in heads(spark, path, 1)]
+    if files and layered.reachable(files[0]):
+        spark.dataSource.register(BcfSource)
+        out = spark.read.format("bcf_records").option("files", "\n".join(files)).option("bytes", split_bytes).load()
+    else:
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    data = content.as_py()
+                    yield from rows_of(((True, piece) for piece in layered.streamed(data)), head_from(layered.streamed(data)), True)
+
+        out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, SCHEMA)
     return out.select(F.monotonically_increasing_id().alias("ord"), "*")
 
 
@@ -147,7 +297,7 @@ def header_lines(spark: SparkSession, path: str) -> list[str]:
     n = 1 << 20
     while True:
         raw = heads(spark, path, n)[0][1]
-        data = unpacked_start(raw)
+        data = start_of(raw, 1 << 40)
         size = struct.unpack_from("<I", data, 5)[0] if data[:3] == b"BCF" and len(data) >= 9 else None
         if size is not None and len(data) >= 9 + size:
             lines = data[9 : 9 + size].split(b"\0")[0].decode("utf-8", "replace").splitlines()
@@ -167,15 +317,30 @@ def text_lines(records: DataFrame) -> DataFrame:
     return records.select("ord", F.array_join(F.concat(site, F.when(F.size("samples") > 0, F.concat(F.array(listed(F.col("format"), ":")), cells)).otherwise(F.array().cast("array<string>"))), "\t").alias("line"))
 
 
-def _typed_ints(values: list[int]) -> bytes:
-    kind = 1 if all(-120 <= v <= 127 for v in values) else 2 if all(-32760 <= v <= 32767 for v in values) else 3
-    return _length(len(values), kind) + struct.pack(f"<{len(values)}{KINDS[kind][0]}", *values)
+def _int_kind(values: list[int]) -> int:
+    """The narrowest type that holds values beside its reserved ones."""
+    return 1 if all(-120 <= v <= 127 for v in values) else 2 if all(-32760 <= v <= 32767 for v in values) else 3
 
 
 def _length(n: int, kind: int) -> bytes:
     return bytes([n << 4 | kind]) if n < 15 else bytes([0xF0 | kind]) + _typed_ints([n])
 
 
+def _int_vector(values: list[int | None], kind: int, width: int) -> bytes:
+    """values, None for missing, filled up to width with the end of vector."""
+    letter, missing, end = KINDS[kind]
+    return struct.pack(f"<{width}{letter}", *(missing if v is None else v for v in values), *[end] * (width - len(values)))
+
+
+def _float_vector(values: list[float | None], width: int) -> bytes:
+    return b"".join(FLOAT_MISSING if v is None else struct.pack("<f", v) for v in values) + FLOAT_END * (width - len(values))
+
+
+def _typed_ints(values: list[int | None]) -> bytes:
+    kind = _int_kind([v for v in values if v is not None])
+    return _length(len(values), kind) + _int_vector(values, kind, len(values))
+
+
 def _typed_text(s: str) -> bytes:
     raw = s.encode()
     return _length(len(raw), 7) + raw
@@ -186,22 +351,73 @@ def header_bytes(lines: list[str]) -> bytes:
     return b"BCF\x02\x02" + struct.pack("<I", len(text)) + text
 
 
-def record(row: dict, contigs: dict[str, int], strings: dict[str, int]) -> bytes:
-    """One record: site fields, INFO as text or flag, and GT of each sample."""
-    alleles = [row["ref"], *row["alts"]]
-    info = row.get("info") or {}
-    gts = []
-    for gt in row["gts"]:
-        marks = re.findall(r"[/|]", gt)
-        gts.append([(0 if a in (".", "") else (int(a) + 1) << 1) | int(k > 0 and marks[k - 1] == "|") for k, a in enumerate(re.split(r"[/|]", gt))])
-    width = max(map(len, gts), default=0)
-    shared = struct.pack("<iii", contigs[row["chrom"]], row["pos"] - 1, len(row["ref"])) + FLOAT_MISSING
-    shared += struct.pack("<HHI", len(info), len(alleles), len(gts) | (1 << 24 if gts else 0))
-    shared += _typed_text(row.get("id") or ".") + b"".join(map(_typed_text, alleles)) + b"\x00"
+def types(lines: list[str]) -> dict[tuple[str, str], str]:
+    """Type by (INFO or FORMAT, key) of header lines."""
+    found = (re.match(r"##(INFO|FORMAT)=<ID=([^,>]+),.*?Type=(\w+)", x) for x in lines)
+    return {(m[1], m[2]): m[3] for m in found if m}
+
+
+def _parsed(value: str, kind: str) -> list:
+    """Entries of a value as its type says, None for missing."""
+    read = int if kind == "Integer" else float
+    return [None if x in (".", "") else read(x) for x in value.split(",")]
+
+
+def _one(value: str, kind: str) -> bytes:
+    """A typed INFO value: a vector of numbers, text, or nothing for a flag."""
+    if kind == "Flag" or value == "":
+        return b"\x00"
+    if kind == "Integer":
+        return _typed_ints(_parsed(value, kind))
+    if kind == "Float":
+        numbers = _parsed(value, kind)
+        return _length(len(numbers), 5) + _float_vector(numbers, len(numbers))
+    return _typed_text(value)
+
+
+def genotype_codes(gt: str) -> list[int]:
+    """Allele numbers of a GT as the format codes them: (number + 1) * 2, and 1 more for an allele that is phased with the one before."""
+    marks = re.findall(r"[/|]", gt)
+    return [(0 if a in (".", "") else (int(a) + 1) << 1) | int(k > 0 and marks[k - 1] == "|") for k, a in enumerate(re.split(r"[/|]", gt))]
+
+
+def _each(key: str, values: list[str], kind: str) -> bytes:
+    """Type, length and one vector for each sample, all as long as the longest."""
+    if key == "GT":
+        rows = [genotype_codes(v) for v in values]
+    elif kind in ("Integer", "Float"):
+        rows = [_parsed(v, kind) for v in values]
+    else:
+        raw = [b"" if v == "." else v.encode() for v in values]
+        width = max(map(len, raw))
+        return _length(width, 7) + b"".join(x.ljust(width, b"\0") for x in raw)
+    width = max(map(len, rows))
+    if kind == "Float" and key != "GT":
+        return _length(width, 5) + b"".join(_float_vector(r, width) for r in rows)
+    number = _int_kind([v for r in rows for v in r if v is not None])
+    return _length(width, number) + b"".join(_int_vector(r, number, width) for r in rows)
+
+
+def record(row: dict, contigs: dict[str, int], strings: dict[str, int], kinds: dict[tuple[str, str], str] | None = None) -> bytes:
+    """One record of a row: chrom, pos, id, ref, alts; qual, filters, info (map), format and samples (maps) where they are there, or gts alone.
+
+    Values are encoded by the types that the header gives; keys without one are text.
+    """
+    kinds = kinds or {}
+    alleles, info = [row["ref"], *row["alts"]], dict(row.get("info") or {})
+    names, cells = row.get("format"), row.get("samples")
+    if names is None:
+        names, cells = (["GT"], [{"GT": g} for g in row["gts"]]) if row.get("gts") else ([], [])
+    cells = [dict(c) for c in cells or []]
+    names = [k for k in names if cells]
+    qual = FLOAT_MISSING if row.get("qual") is None else struct.pack("<f", row["qual"])
+    shared = struct.pack("<iii", contigs[row["chrom"]], row["pos"] - 1, len(row["ref"])) + qual
+    shared += struct.pack("<HHI", len(info), len(alleles), len(cells) | len(names) << 24)
+    filters = row.get("filters") or []
+    shared += _typed_text(row.get("id") or ".") + b"".join(map(_typed_text, alleles)) + (_typed_ints([strings[f] for f in filters]) if filters else b"\x00")
     for k, v in info.items():
-        shared += _typed_ints([strings[k]]) + (b"\x00" if v == "" else _typed_text(v))
-    kind = 1 if all(v < 128 for g in gts for v in g) else 2 if all(v < 32768 for g in gts for v in g) else 3
-    each = _typed_ints([strings["GT"]]) + _length(width, kind) + b"".join(struct.pack(f"<{width}{KINDS[kind][0]}", *g, *[KINDS[kind][2]] * (width - len(g))) for g in gts) if gts else b""
+        shared += _typed_ints([strings[k]]) + _one(v, kinds.get(("INFO", k), "String"))
+    each = b"".join(_typed_ints([strings[k]]) + _each(k, [c.get(k) or "." for c in cells], kinds.get(("FORMAT", k), "String")) for k in names)
     return struct.pack("<II", len(shared), len(each)) + shared + each
 
 
@@ -216,19 +432,43 @@ def bgzf(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Columns that blocks() takes where rows have them.
+FIELDS = {"id": "string", "qual": "float", "filters": "array<string>", "info": "map<string,string>", "format": "array<string>", "samples": "array<map<string,string>>", "gts": "array<string>"}
+
+
 def blocks(rows: DataFrame, header: list[str]) -> DataFrame:
-    """place, data: BGZF blocks of sorted rows (chrom, pos, id, ref, alts, gts); with the header's before and END_BLOCK after they are a BCF file.
+    """place, data: BGZF blocks of sorted rows (chrom, pos, ref, alts and those of FIELDS that are there); with the header's before and END_BLOCK after they are a BCF file.
 
-    place is (task, block in it), so the order of sorted partitions is the order of the file and nothing is collected.
+    place is (task, block in it), so the order of sorted partitions is the order of the file and nothing is collected. Contigs
+    and keys must be in the header: see missing_definitions() and encodable().
     """
     names, strings = dictionaries("\n".join(header))
-    contig_at, string_at = {c: i for i, c in enumerate(names)}, {s: i for i, s in enumerate(strings)}
+    contig_at, string_at, kinds = {c: i for i, c in enumerate(names)}, {s: i for i, s in enumerate(strings)}, types(header)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            data = b"".join(record({**r, "alts": list(r["alts"]), "gts": list(r["gts"]), "info": {e["key"]: e["value"] for e in r["info"] if e["key"] in string_at}}, contig_at, string_at) for r in frame.to_dict("records"))
-            yield pd.DataFrame({"data": [bgzf(data)]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                data = b"".join(record(r, contig_at, string_at, kinds) for r in batch.slice(i, 2000).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([bgzf(data)], pa.binary())], names=["data"])
 
-    rows = rows if "info" in rows.columns else rows.withColumn("info", F.create_map().cast("map<string,string>"))
-    packed = rows.select("chrom", "pos", "id", "ref", "alts", "gts", F.map_entries("info").alias("info")).mapInPandas(pack, "data binary")
+    there = [c for c in FIELDS if c in rows.columns]
+    packed = rows.select("chrom", "pos", "ref", "alts", *(F.col(c).cast(FIELDS[c]) for c in there)).mapInArrow(pack, "data binary")
     return packed.select(F.monotonically_increasing_id().alias("place"), "data")
+
+
+def _named(kind: str, key: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+
+def missing_definitions(rows: DataFrame, header: list[str]) -> list[str]:
+    """Definitions, as text of any number, of the FILTER, INFO and FORMAT keys of rows that a header lacks; a file has few keys."""
+    have = {(m[1], m[2]) for x in header if (m := re.match(r"##(FILTER|INFO|FORMAT)=<ID=([^,>]+)", x))} | {("FILTER", "PASS")}
+    keys = [F.transform(c, partial(_named, kind)) for kind, name, c in (("FILTER", "filters", F.col("filters")), ("INFO", "info", F.map_keys("info")), ("FORMAT", "format", F.col("format"))) if name in rows.columns]
+    if not keys:
+        return []
+    found = rows.select(F.explode(F.concat(*(F.coalesce(k, F.array().cast("array<struct<kind:string,key:string>>")) for k in keys))).alias("k")).distinct().select("k.*").collect()
+    lines = []
+    for r in sorted((r["kind"], r["key"]) for r in found):
+        if r not in have:
+            lines.append(f'##FILTER=<ID={r[1]},Description="not defined in the input">' if r[0] == "FILTER" else f'##{r[0]}=<ID={r[1]},Number=.,Type=String,Description="not defined in the input">')
+    return lines

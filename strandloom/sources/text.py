@@ -2,52 +2,26 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import bound, complement, computed, trimmed
+from strandloom.sources import layered
 
-MOST_LAYERS = 10
 #: ord counts lines from the part's number in its higher bits, as monotonically_increasing_id() does.
 PART_BITS = 33
 
 
 def peel(data: bytes) -> bytes:
     """Bytes without their gzip (any number of members) and zip (first entry) layers, told by magic, not by name."""
-    for _ in range(MOST_LAYERS):
-        if data[:2] == b"\x1f\x8b":
-            out = []
-            while data[:2] == b"\x1f\x8b":
-                z = zlib.decompressobj(31)
-                out.append(z.decompress(data) + z.flush())
-                data = z.unused_data
-            data = b"".join(out)
-        elif data[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                data = z.read(z.infolist()[0])
-        else:
-            break
-    return data
-
-
-def unpacked_start(data: bytes) -> bytes:
-    """What the first bytes of a gzip file say, as far as they go, through any number of layers."""
-    for _ in range(MOST_LAYERS):
-        if data[:2] != b"\x1f\x8b":
-            break
-        out = []
-        while data[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(data))
-            data = z.unused_data if z.eof else b""
-        data = b"".join(out)
-    return data
+    return b"".join(layered.streamed(data))
 
 
 def detect_format(head: bytes, path: str) -> str:
@@ -84,35 +58,55 @@ def heads(spark: SparkSession, path: str, n: int) -> list[tuple[str, bytes]]:
 def peek(spark: SparkSession, path: str) -> bytes:
     """The first bytes of the first file without its layers; of a packed file its first 64 KB are enough for that."""
     first = heads(spark, path, 1 << 16)
-    data = first[0][1] if first else b""
-    for _ in range(MOST_LAYERS):
-        if data[:2] == b"\x1f\x8b":
-            data = zlib.decompressobj(31).decompress(data, 1 << 16)
-        elif data[:4] == b"PK\x03\x04":
-            name, extra = int.from_bytes(data[26:28], "little"), int.from_bytes(data[28:30], "little")
-            rest = data[30 + name + extra :]
-            data = zlib.decompressobj(-15).decompress(rest, 1 << 16) if data[8] == 8 else rest
-        else:
-            break
-    return data
-
-
-def read_lines(spark: SparkSession, path: str, layered: bool | None = None) -> DataFrame:
-    """(ord, line). Plain text is read and split by Spark; where one file has layers, or a name that belies it, files are unpacked one to a task.
-
-    ord is the byte order of the lines: partition and place in it, so it needs no shuffle.
+    return start_of(first[0][1]) if first else b""
+
+
+def start_of(data: bytes, n: int = 1 << 16, layers: int = layered.MOST_LAYERS) -> bytes:
+    """The first n bytes of what a cut file says without its outer layers, as far as it goes."""
+    out = b""
+    try:
+        for piece in layered.peeled(iter([data]), layers):
+            out += piece
+            if len(out) >= n:
+                break
+    except (zlib.error, struct.error):  # cut
+        pass
+    return out
+
+
+def sparks_own(name: str, head: bytes) -> bool:
+    """Whether Spark's text reader takes a file as it is: plain, or one gzip layer under its name, and no BGZF, which it can't split."""
+    if head[:2] == layered.GZIP:
+        return name.lower().endswith(".gz") and layered.member_size(head) is None and not is_layer(start_of(head, 4, layers=1))
+    return not is_layer(head) and not name.lower().endswith(PACKED_NAMES)
+
+
+def is_layer(head: bytes) -> bool:
+    return head[:2] == layered.GZIP or head[:4] == layered.ZIP
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """(ord, line). Plain text and single gzip layers go to Spark's reader; where a file has other layers, or a name that belies it,
+    the files are read as packed ones: BGZF in ranges of split_bytes, others one to a task, as a stream.
+
+    ord is the byte order of the lines: partition and place in it, so it needs no shuffle. In stores that only Spark opens, packed
+    files are held whole by their task.
     """
-    if layered is None:
-        layered = any(h[:2] == b"\x1f\x8b" or h == b"PK\x03\x04" or name.lower().endswith(PACKED_NAMES) for name, h in heads(spark, path, 4))
-    if not layered:
-        return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
+    found = heads(spark, path, 1 << 16)
+    if all(sparks_own(name, head) for name, head in found):
+        lines = spark.read.text(path).withColumnRenamed("value", "line")
+    elif layered.reachable(found[0][0]):
+        spark.dataSource.register(layered.LineSource)
+        lines = spark.read.format("packed_lines").option("files", "\n".join(name for name, _ in found)).option("bytes", split_bytes).load()
+    else:
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame({"line": peel(bytes(content)).decode("utf-8", "replace").splitlines()})
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    yield from layered.batches(layered.whole_lines(layered.streamed(content.as_py())))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "line string").select(F.monotonically_increasing_id().alias("ord"), "line")
+        lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "line string")
+    return lines.select(F.monotonically_increasing_id().alias("ord"), "line")
 
 
 def dtc_scan(lines: DataFrame) -> DataFrame:
@@ -143,10 +137,43 @@ def first_by_key(pairs: Column) -> Column:
     return F.map_from_entries(bound(pairs, lambda p: F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["k"]), x["k"]) == i + 1)))
 
 
-def vcf_scan(lines: DataFrame) -> DataFrame:
+def definitions(lines: list[str]) -> dict[tuple[str, str], tuple[str, str]]:
+    """(Number, Type) by (INFO or FORMAT, key) of header lines."""
+    found = (re.match(r"##(INFO|FORMAT)=<ID=([^,>]+),.*?Number=([^,>]+),.*?Type=(\w+)", x) for x in lines)
+    return {(m[1], m[2]): (m[3], m[4]) for m in found if m}
+
+
+def ill_typed(value: Column, number: str, kind: str) -> Column:
+    """Whether a value isn't one of its definition: a flag with a value, more than one entry where Number is 1, no number or one beyond 32 bits where Type is numeric."""
+    if kind == "Flag":
+        return value != ""
+    missing = value.isin(".", "")
+    several = value.contains(",") if number == "1" and kind in ("Integer", "Float") else F.lit(False)
+    if kind == "Integer":
+        wrong = F.exists(F.split(value, ",", -1), lambda x: (x != ".") & (~x.rlike(r"^[+-]?[0-9]+$") | x.try_cast("int").isNull()))
+    elif kind == "Float":
+        wrong = F.exists(F.split(value, ",", -1), lambda x: (x != ".") & ~x.rlike(r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"))
+    else:
+        return F.lit(False)
+    return ~missing & (several | wrong)
+
+
+def entry_is_ill(keys: list[str], number: str, kind: str, entry: Column) -> Column:
+    return entry["key"].isin(*keys) & ill_typed(entry["value"], number, kind)
+
+
+def bad_genotype(gt: Column, n_alts: Column) -> Column:
+    """Whether a GT is no row of allele numbers and dots between / and |, or one of its numbers has no allele."""
+    number = F.transform(F.split(gt, "[/|]", -1), lambda a: F.when(a == ".", 0).otherwise(a.try_cast("int")))
+    return ~gt.rlike(r"^([0-9]+|\.)([/|]([0-9]+|\.))*$") | F.coalesce(F.exists(number, lambda k: k.isNull() | (k > n_alts)), F.lit(True))
+
+
+def vcf_scan(lines: DataFrame, header: list[str] = ()) -> DataFrame:
     """Body rows of a VCF: chrom, pos, ids, ref, alts, qual, filters, info, format, samples; bad rows have an error.
 
-    Of a repeated INFO or FORMAT key the first value counts; a sample with more fields than FORMAT is an error of its row.
+    Of a repeated INFO or FORMAT key the first value counts; a sample with more fields than FORMAT is an error of its row, and so
+    are a position below 1, a GT that is none or names an allele that the row lacks, and, by the definitions of the header lines, INFO
+    and FORMAT values of another type.
     """
     f = F.split("line", "\t", -1)
     rows = computed(lines.where((F.col("line") != "") & ~F.col("line").startswith("#")), f=f)
@@ -154,16 +181,46 @@ def vcf_scan(lines: DataFrame) -> DataFrame:
     several = lambda c, sep: F.when((c == ".") | c.isNull(), F.array().cast("array<string>")).otherwise(F.split(c, sep, -1))
     pairs = F.transform(several(at(7), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v")))
     pos = at(1).try_cast("bigint")
-    error = F.when(F.size("f") < 8, "field_count").when(pos.isNull(), "position").when(~at(3).rlike("^[A-Za-z]+$"), "ref")
     cells = F.transform(F.slice("f", 10, 1_000_000), lambda s: F.split(s, ":", -1))
     keys = F.split(at(8), ":", -1)
-    error = error.when(F.exists(cells, lambda c: F.size(c) > F.size(keys)), "sample")
     sample = lambda c: F.filter(F.zip_with(keys, c, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
-    return rows.select(
+    error = F.when(F.size("f") < 8, "field_count").when(pos.isNull() | (pos < 1), "position").when(~at(3).rlike("^[A-Za-z]+$"), "ref")
+    error = error.when(F.exists(cells, lambda c: F.size(c) > F.size(keys)), "sample")
+    rows = rows.select(
         "ord", at(0).alias("chrom"), pos.alias("pos"), several(at(2), ";").alias("ids"), at(3).alias("ref"), several(at(4), ",").alias("alts"),
         at(5).try_cast("float").alias("qual"), several(at(6), ";").alias("filters"), first_by_key(pairs).alias("info"),
         several(at(8), ":").alias("format"), F.transform(cells, lambda c: first_by_key(sample(c))).alias("samples"), error.alias("error"),
     )
+    rows = computed(rows, __row=F.struct(*rows.columns)).select("__row.*")  # each field once, though the checks refer to it again
+    known = definitions(header)
+    gt = lambda c: F.try_element_at(c, F.lit("GT"))
+
+    def ill(where: str, pairs: Column) -> Column:
+        """Whether a map holds an ill-typed value of a key that the header defines."""
+        out = F.lit(False)
+        for number, kind in sorted({("1" if n == "1" else ".", k) for (w, _), (n, k) in known.items() if w == where}):
+            keys = [key for (w, key), (n, k) in known.items() if w == where and k == kind and ("1" if n == "1" else ".") == number and key != "GT"]
+            if keys and kind in ("Flag", "Integer", "Float"):
+                out = out | F.exists(F.map_entries(pairs), partial(entry_is_ill, keys, number, kind))
+        return F.coalesce(out, F.lit(False))
+
+    wrong = F.when(F.exists("samples", lambda c: F.coalesce(bad_genotype(gt(c), F.size("alts")), F.lit(False))), "genotype")
+    wrong = wrong.when(ill("INFO", F.col("info")), "info").when(F.exists("samples", lambda c: ill("FORMAT", c)), "format")
+    return rows.withColumn("error", F.coalesce("error", wrong))
+
+
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines that start with # at the start of the first file under a path; only that start is read, more of it until they end."""
+    n = 1 << 18
+    while True:
+        raw = heads(spark, path, n)[0][1]
+        data = start_of(raw, 1 << 40)
+        lines = data.decode("utf-8", "replace").split("\n")
+        whole = len(raw) < n
+        body = next((i for i, x in enumerate(lines if whole else lines[:-1]) if not x.startswith("#")), None)
+        if body is not None or whole:
+            return [x.removesuffix("\r") for x in (lines[:body] if body is not None else lines) if x]
+        n *= 4
 
 
 def with_head(lines: DataFrame, is_head: Column) -> DataFrame:

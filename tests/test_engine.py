@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import lift
 from strandloom.plans.engine import Config, convert_file
 from strandloom.sinks import plink
-from strandloom.sources import bcf, text
+from strandloom.sources import bcf, layered, text
 
 
 def put(folder: Path, name: str, data: str | bytes) -> str:
@@ -92,7 +92,7 @@ def test_panel_keeps_its_records_and_samples(spark, tmp_path):
     from strandloom.sinks import files, vcf
 
     top = [x.replace("\tme", "\ts1\ts2") for x in vcf.header([("1", 40)], "me")]
-    files.write_parts(bcf.blocks(records, top), "data", str(tmp_path / "bcf"), bcf.bgzf(bcf.header_bytes(top)), bcf.END_BLOCK)
+    files.write_parts(bcf.blocks(records, top), [("data", str(tmp_path / "bcf"), bcf.bgzf(bcf.header_bytes(top)), bcf.END_BLOCK)])
     path = put(tmp_path, "p.bcf", b"".join(x.read_bytes() for x in sorted((tmp_path / "bcf").glob("part-*"))))
     assert bcf.header_lines(spark, path) == top
     convert_file(spark, Config(calls, fasta, str(tmp_path / "from_bcf"), sex="female", panel=path))
@@ -148,7 +148,7 @@ def test_fasta_layouts_agree(spark):
 def test_plink_bytes(spark):
     gts = [["0/0", "1/1", "./.", "1/1", "1/1", "1/1"], ["1/1", "./.", "0/1", "1/1", "1/1", "1/1"], ["1/1", "0/1", "0/1", "./.", "./.", "0/0"]]
     df = spark.createDataFrame([(i, ["G"], g) for i, g in enumerate(gts)], "ord long, alts array<string>, gts array<string>")
-    assert [bytes(r["data"]).hex().upper() for r in plink.bed_bytes(df).orderBy("ord").collect()] == ["DC0F", "E70F", "6B01"]
+    assert [bytes(r["data"]).hex().upper() for r in plink.bed_rows(df).select("ord", plink.as_binary(F.col("b")).alias("data")).orderBy("ord").collect()] == ["DC0F", "E70F", "6B01"]
 
 
 def test_stream_of_calls(spark, tmp_path):
@@ -259,3 +259,184 @@ def test_fasta_and_chains_over_many_parts(spark):
     assert sorted(map(tuple, text.fasta_blocks(made(fasta, True), 4).collect())) == sorted(map(tuple, text.fasta_blocks(made(fasta, False), 4).collect()))
     got = [sorted(map(tuple, text.chain_blocks(made(chain, s)).collect())) for s in (True, False)]
     assert got[0] == got[1] and [r[1:3] for r in got[0]] == [(10, 15), (16, 23), (26, 32), (0, 9)]
+
+
+def bgzf_file(path: Path, data: bytes, sizes) -> str:
+    """data in BGZF members of the given sizes, again and again, and the empty one at the end."""
+    out, at, k = [], 0, 0
+    while at < len(data):
+        n = sizes[k % len(sizes)]
+        out.append(bcf.bgzf(data[at : at + n]))
+        at, k = at + n, k + 1
+    path.write_bytes(b"".join(out) + bcf.END_BLOCK)
+    return str(path)
+
+
+@pytest.mark.parametrize("sizes", [(7,), (1, 3000, 20), (60_000,)])
+def test_bgzf_lines_are_read_once_wherever_they_are_cut(spark, tmp_path, sizes):
+    lines = [f"{i}\t" + "x" * (i * 37 % 211) + ("\r" if i % 9 == 0 else "") for i in range(400)] + ["", "y" * 5000, "", "last without an end"]
+    data = "\n".join(lines).encode()
+    want = [x.removesuffix("\r") for x in lines]
+    path = bgzf_file(tmp_path / "a.vcf.gz", data, sizes)
+    for most in (1, 40, 333, 5000, 1 << 25) if sizes[0] > 7 else (333, 1 << 25):
+        source = layered.LineScan({"files": path, "bytes": str(most)})
+        got = [x for part in source.partitions()[:] for b in source.read(part) for x in b.column(0).to_pylist()] if most > 1 or Path(path).stat().st_size < 3000 else want
+        assert got == want
+    frame = text.read_lines(spark, path, split_bytes=Path(path).stat().st_size // 3)
+    assert frame.rdd.getNumPartitions() > 1 and [r["line"] for r in frame.orderBy("ord").collect()] == want
+
+
+def test_layers_of_many_kinds_as_a_conversion(spark, tmp_path):
+    """Plain, gzip, zip, zip in gzip, gzip in zip, gzip twice, names that belie: one variant each."""
+    fasta = put(tmp_path, "r.fa", ">1\nACGTACGT\n")
+    vcf = b"##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n1\t1\t.\tA\tC\t.\t.\t.\tGT\t0/1\n"
+    wraps = {"a.vcf": bytes, "b.vcf.gz": gzip.compress, "c.vcf.zip": zipped, "d.vcf.gz.zip": lambda b: zipped(gzip.compress(b)), "e.txt": gzip.compress, "f.gz": zipped, "g.gz": lambda b: gzip.compress(gzip.compress(b)), "h.vcf.gz": lambda b: bcf.bgzf(b) + bcf.END_BLOCK, "i.gz": lambda b: gzip.compress(bcf.bgzf(b))}
+    for name, wrap in wraps.items():
+        assert convert_file(spark, Config(put(tmp_path, name, wrap(vcf)), fasta, str(tmp_path / f"o_{name}"), sex="female")) == {"variant_records": 1}, name
+    calls = put(tmp_path, "k.txt.gz.zip", zipped(gzip.compress(b"rs1\t1\t1\tAC\n")))
+    assert convert_file(spark, Config(calls, fasta, str(tmp_path / "o_k"), sex="female")) == {"variant_records": 1}
+
+
+def test_streams_are_inflated_in_bounded_pieces():
+    data = b"0123456789\n" * 2_000_000
+    for packed in (gzip.compress(data, 1), zipped(data), gzip.compress(zipped(data), 1)):
+        sizes = [len(x) for x in layered.streamed(packed)]
+        assert sum(sizes) == len(data) and max(sizes) <= 2 * layered.PIECE
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a", data[:1000])
+        z.writestr("b", "other")
+    assert b"".join(layered.streamed(stored.getvalue())) == data[:1000]
+
+
+def test_parts_of_a_bcf_give_its_rows(spark, tmp_path):
+    """Ranges of every size, with cuts inside records and inside members, give the rows of the whole file."""
+    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="g">', "##contig=<ID=1>", "##contig=<ID=2>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\tt"]
+    rows = [{"chrom": "1" if i < 200 else "2", "pos": i + 1, "id": f"rs{i}", "ref": "A" * (1 + i % 40), "alts": ["C", "<DEL>"][: i % 3], "gts": ["0|1", "./."], "info": {}} for i in range(400)]
+    names, strings = bcf.dictionaries("\n".join(head))
+    data = bcf.header_bytes(head) + b"".join(bcf.record(r, {c: i for i, c in enumerate(names)}, {c: i for i, c in enumerate(strings)}) for r in rows)
+    for sizes in ((50,), (997,), (60_000,)):
+        path = bgzf_file(tmp_path / f"{sizes[0]}.bcf", data, sizes)
+        for most in (60, 300, 4000, 1 << 25):
+            source = bcf.BcfScan({"files": path, "bytes": str(most)})
+            got = [r for part in source.partitions() for b in source.read(part) for r in b.to_pylist()]
+            assert [(r["chrom"], r["pos"], r["ref"], r["alts"]) for r in got] == [(r["chrom"], r["pos"], r["ref"], r["alts"]) for r in rows]
+    frame = bcf.read(spark, path, split_bytes=500)
+    assert frame.rdd.getNumPartitions() > 1 and [r["pos"] for r in frame.orderBy("ord").collect()] == [r["pos"] for r in rows]
+    plain = put(tmp_path, "plain.bcf", data)
+    assert bcf.read(spark, plain).count() == 400
+
+
+ALL_FIELDS = """##fileformat=VCFv4.2
+##FILTER=<ID=q10,Description="low">
+##INFO=<ID=AF,Number=A,Type=Float,Description="f">
+##INFO=<ID=NS,Number=1,Type=Integer,Description="n">
+##INFO=<ID=DB,Number=0,Type=Flag,Description="d">
+##INFO=<ID=NAME,Number=1,Type=String,Description="s">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="g">
+##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="q">
+##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">
+#CHROM	POS	ID	REF	ALT	QUAL	FILTER	INFO	FORMAT	s
+"""
+
+
+def test_bcf_keeps_every_field(spark, tmp_path):
+    """VCF to BCF to VCF: QUAL, FILTER, typed INFO, keys without a definition, FORMAT values."""
+    fasta = put(tmp_path, "r.fa", ">1\n" + "ACGT" * 3000 + "\n")
+    rows = ["1\t1\trs1\tA\tC,G\t29.5\tq10\tAF=0.5,.;NS=3;DB;NAME=x;XX=3\tGT:GQ:DP\t1|2:99:300", "1\t5\t.\tA\tT\t.\tPASS\tNS=-70000\tGT\t./.", "1\t9\ta;b\tA\t.\t100\t.\t.\tGT:DP\t0:.", "1\t13\t.\tA\t<DEL>\t.\tq10;mine\tNS=200\tGT:MIN_DP\t0/1:40000"]
+    vcf_in = put(tmp_path, "a.vcf", ALL_FIELDS + "\n".join(rows) + "\n")
+    keep = dict(sex="female", standardize=False)
+    assert convert_file(spark, Config(vcf_in, fasta, str(tmp_path / "bcf"), output_format="bcf", **keep)) == {"variant_records": 3, "reference_records": 1}
+    path = put(tmp_path, "b.bcf", b"".join(x.read_bytes() for x in sorted((tmp_path / "bcf").glob("part-*"))))
+    convert_file(spark, Config(vcf_in, fasta, str(tmp_path / "direct"), **keep))
+    convert_file(spark, Config(path, fasta, str(tmp_path / "back"), **keep))
+    assert body(str(tmp_path / "back"))[1:] == body(str(tmp_path / "direct"))[1:] == rows
+    r = {x["pos"]: x for x in bcf.read(spark, path).collect()}
+    assert r[1]["info"] == {"AF": "0.5,.", "NS": "3", "DB": "", "NAME": "x", "XX": "3"} and r[1]["filters"] == ["q10"] and r[13]["filters"] == ["q10", "mine"] and r[1]["samples"][0] == {"GT": "1|2", "GQ": "99", "DP": "300"}
+
+
+def test_typed_vectors():
+    head = [*ALL_FIELDS.strip().split("\n")[:-1], '##FORMAT=<ID=AD,Number=1,Type=String,Description="a">', "##contig=<ID=1>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\tt"]
+    names, strings = bcf.dictionaries("\n".join(head))
+    numbers = {c: i for i, c in enumerate(names)}, {c: i for i, c in enumerate(strings)}
+    for values in ("0", "127", "-120", "128", "-121", "32767", "-32760", "32768", "-32761", "2147483647", "-2147483640", ".", "1,.,300"):
+        row = {"chrom": "1", "pos": 7, "ref": "A", "alts": ["C"] * 20, "qual": 1.5, "info": {"NS": values, "NAME": "y" * 40, "AF": "0.25,."}, "format": ["GT", "DP", "AD"], "samples": [{"GT": "0|20", "DP": "5", "AD": "q"}, {"GT": ".", "DP": ".", "AD": "long"}]}
+        data = bcf.header_bytes(head) + bcf.record(row, *numbers, bcf.types(head))
+        got = bcf.record_row(data, bcf.head_of(data).size, bcf.head_of(data))
+        assert dict(got["info"]) == row["info"] and got["qual"] == 1.5 and [dict(c) for c in got["samples"]] == row["samples"] and len(got["alts"]) == 20
+
+
+def test_bad_rows_are_counted_never_fatal(spark, tmp_path):
+    """By the header's types, GT and position; contigs that the reference lacks."""
+    fasta = put(tmp_path, "r.fa", ">1\n" + "ACGT" * 30 + "\n")
+    bad = ["1\t0\t.\tA\tC\t.\t.\t.\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\t.\tGT\t0/x", "1\t2\t.\tC\tA\t.\t.\t.\tGT\t0/5", "1\t2\t.\tC\tA\t.\t.\tNS=1.5\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\tNS=1,2\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\tDB=1\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\tAF=a\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\tNS=99999999999\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\t.\tGT:DP\t0/1:x", "1\t2\t.\tC\tA\t.\t.\t.\tGT\t0/1\t0/1"]
+    good = ["Un9\t2\t.\tC\tA\t.\t.\t.\tGT\t0/1", "1\t2\t.\tC\tA\t.\t.\tAF=1e-3;NS=+4\tGT\t0/1"]
+    vcf_in = put(tmp_path, "a.vcf", ALL_FIELDS + "\n".join(bad + good) + "\n")
+    for form, want in (("vcf", {"parse_errors": 10, "variant_records": 2}), ("plink", {"parse_errors": 10, "variant_records": 2}), ("bcf", {"parse_errors": 10, "variant_records": 1, "unknown_chromosomes": 1})):
+        assert convert_file(spark, Config(vcf_in, fasta, str(tmp_path / f"o_{form}"), sex="female", standardize=False, output_format=form)) == want
+    assert [x.split("\t")[0] for x in body(str(tmp_path / "o_vcf"))[1:]] == ["1", "Un9"]  # unknown contigs last
+    assert convert_file(spark, Config(vcf_in, fasta, str(tmp_path / "o_std"), sex="female")) == {"parse_errors": 10, "variant_records": 1, "unknown_chromosomes": 1}
+
+
+@pytest.mark.parametrize("form", ["vcf", "bcf", "plink"])
+def test_input_is_read_once(spark, tmp_path, form, monkeypatch):
+    """Lines that tasks read of the input, sex and build inferred, counted and written."""
+    fasta = put(tmp_path, "r.fa", ">1\n" + "ACGT" * 300 + "\n")
+    vcf_in = put(tmp_path, "a.vcf", ALL_FIELDS + "".join(f"1\t{i}\t.\t{'TACG'[i % 4]}\t{'GTAC'[i % 4]}\t.\t.\t.\tGT\t0/1\n" for i in range(1, 201)))
+    seen, plain = spark.sparkContext.accumulator(0), text.read_lines
+
+    def counted(session, path, *args):
+        lines = plain(session, path, *args)
+        if path != vcf_in:
+            return lines
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lines.mapInArrow(run, "ord long, line string")
+
+    monkeypatch.setattr(text, "read_lines", counted)
+    assert convert_file(spark, Config(vcf_in, fasta, str(tmp_path / "out"), other_reference=fasta, assembly="GRCh38", output_format=form)) == {"variant_records": 200}
+    assert 200 <= seen.value <= 2 * 210
+
+
+def test_a_lost_attempt_leaves_nothing(spark, tmp_path):
+    """Attempts write under their own names; a job that fails leaves no file, the next one takes the place of what was there."""
+    from strandloom.sinks import files
+
+    target = [("data", str(tmp_path / "x"), b"<", b">")]
+    rows = spark.range(0, 100, 1, 4).selectExpr("cast(cast(id as string) as binary) as data")
+    with pytest.raises(Exception, match="lost"):
+        files.write_parts(rows.withColumn("data", F.when(F.col("data") == b"77", F.raise_error(F.lit("lost"))).otherwise(F.col("data"))), target)
+    assert not [p for p in (tmp_path / "x").rglob("*") if p.is_file()]
+    for _ in range(2):
+        files.write_parts(rows, target)
+        assert b"".join(p.read_bytes() for p in sorted((tmp_path / "x").iterdir())) == ("<" + "".join(map(str, range(100))) + ">").encode()
+
+
+def test_segments_against_every_block(spark):
+    """Disjoint segments of overlapping blocks give what all blocks give, at every position."""
+    import random
+
+    rng = random.Random(4)
+    kind = "t_chrom string, t_start long, t_end long, chain_id int, score long, q_chrom string, q_start long, q_size long, q_strand string"
+    big = 1 << lift.SWEEP_BITS
+    blocks = [(rng.choice(["chr1", "1", "2"]), s, s + rng.choice([1, 3, 20, 60]), rng.randint(1, 3), rng.randint(1, 3), rng.choice("ab"), rng.randint(0, 900), 1000, rng.choice("+-+?")) for s in (rng.randint(0, 120) + rng.choice([0, big - 60]) for _ in range(90))]
+    asked = [(i, c, p) for i, (c, p) in enumerate((c, p) for c in ("1", "chr2", "3") for p in (*range(0, 190), *range(big - 62, big + 70)))]
+    got = {r["rid"]: r for r in lift.lift_point(spark.createDataFrame(asked, "rid long, chrom string, pos long"), spark.createDataFrame(blocks, kind)).collect()}
+    assert len(got) == len(asked)
+    for i, c, p in asked:
+        hits = [b for b in blocks if b[0].removeprefix("chr") == c.removeprefix("chr") and b[1] <= p < b[2] and b[8] in "+-"]
+        best = [b for b in hits if b[4] == max(h[4] for h in hits)]
+        if not hits:
+            want = ("unmapped", None, None, None)
+        elif len({b[3] for b in best}) > 1:
+            want = ("ambiguous", None, None, None)
+        else:
+            shift = lambda b: b[6] - b[1] if b[8] == "+" else b[7] - 1 - b[6] + b[1]
+            b = min(best, key=lambda b: (b[1], b[2], b[5], shift(b), b[8]))
+            q = p + shift(b) if b[8] == "+" else shift(b) - p
+            want = ("lifted", b[5], q, b[8]) if q >= 0 else ("unmapped", None, None, None)
+        assert tuple(got[i][1:]) == want
