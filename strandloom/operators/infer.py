@@ -63,21 +63,21 @@ def classify_build(rates: dict[str, float | None]) -> str:
     return "GRCh37" if a is not None and (b is None or a > b) else "GRCh38"
 
 
-def site_sex_counts(sites: DataFrame, build: str) -> DataFrame:
+def site_sex_counts(sites: DataFrame, build: str, by: list[str] = ()) -> DataFrame:
     """sex_counts of variant rows (chrom, pos, gt)."""
-    return _sex_counts(sites, build, ~F.col("gt").rlike(r"^[./|]*$"), A.het_flag_vcf(F.col("gt")))
+    return _sex_counts(sites, build, by, ~F.col("gt").rlike(r"^[./|]*$"), A.het_flag_vcf(F.col("gt")))
 
 
-def sex_counts(calls: DataFrame, build: str) -> DataFrame:
-    """Attempts, calls and heterozygotes on autosomes, X and Y outside the pseudo-autosomal ranges."""
-    return _sex_counts(calls, build, ~A.is_missing_call(F.col("genotype")), A.het_flag(F.col("genotype")))
+def sex_counts(calls: DataFrame, build: str, by: list[str] = ()) -> DataFrame:
+    """Attempts, calls and heterozygotes on autosomes, X and Y outside the pseudo-autosomal ranges, of all rows or by sample columns."""
+    return _sex_counts(calls, build, by, ~A.is_missing_call(F.col("genotype")), A.het_flag(F.col("genotype")))
 
 
-def _sex_counts(calls: DataFrame, build: str, called: Column, het: Column) -> DataFrame:
+def _sex_counts(calls: DataFrame, build: str, by: list[str], called: Column, het: Column) -> DataFrame:
     kind = A.chrom_class(F.col("chrom"))
     y = (kind == "Y") & ~A.is_par(F.lit("Y"), F.col("pos"), build)
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return calls.agg(n(kind == "autosome").alias("autosome"), n((kind == "autosome") & called).alias("autosome_called"), n((kind == "autosome") & het).alias("autosome_het"), n(kind == "X").alias("x"), n((kind == "X") & het).alias("x_het"), n(y).alias("y"), n(y & called).alias("y_called"))
+    return calls.groupBy(*by).agg(n(kind == "autosome").alias("autosome"), n((kind == "autosome") & called).alias("autosome_called"), n((kind == "autosome") & het).alias("autosome_het"), n(kind == "X").alias("x"), n((kind == "X") & het).alias("x_het"), n(y).alias("y"), n(y & called).alias("y_called"))
 
 
 def classify_sex(c: dict[str, int], y_density: float = 0.5, x_ratio: float = 0.5) -> str:
@@ -91,6 +91,14 @@ def classify_sex(c: dict[str, int], y_density: float = 0.5, x_ratio: float = 0.5
     return "female" if density < y_density and ratio >= x_ratio else "unknown"
 
 
+def sex_of() -> Column:
+    """classify_sex as a column over rows of sex_counts."""
+    share = lambda a, b, least: F.col(a) / F.greatest(F.col(b), F.lit(1)) / F.greatest(F.col(least) / F.col("autosome"), F.lit(1e-9))
+    density, ratio = share("y_called", "y", "autosome_called"), share("x_het", "x", "autosome_het")
+    told = F.when((density >= 0.5) & (ratio < 0.5), "male").when((density < 0.5) & (ratio >= 0.5), "female").otherwise("unknown")
+    return F.when((F.col("autosome") == 0) | (F.col("x") + F.col("y") == 0), "unknown").otherwise(told)
+
+
 def strand_votes(calls: DataFrame, contigs: DataFrame, blocks: DataFrame, limit: int = STRAND_ROWS) -> DataFrame:
     """plus, minus: votes of the first decisive informative calls."""
     rows = calls.where(A.informative_snp(F.col("genotype"))).withColumn("__name", A.strand_contig(F.col("chrom")))

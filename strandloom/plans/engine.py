@@ -136,9 +136,9 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         if kind == "vcf":
             parsed = text.vcf_scan(lines, head)
         else:
-            bad = F.when(F.exists("samples", lambda c: F.coalesce(text.bad_genotype(F.try_element_at(c, F.lit("GT")), F.size("alts")), F.lit(False))), "genotype").when(F.col("pos") < 1, "position")
-            parsed = bcf.read(spark, cfg.input).withColumn("error", bad)
-        parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.size("samples") > 1, "sample"))).persist()
+            parsed = bcf.read(spark, cfg.input).withColumn("error", F.when(F.col("pos") < 1, "position"))
+        wrong = F.when(F.size("samples") > 1, "sample").when(text.beyond_alts(F.col("samples"), F.size("alts")), "genotype")
+        parsed = parsed.withColumn("error", F.coalesce("error", wrong)).persist()
         kept.append(parsed)
         rows = parsed.where("error is null")
         rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
@@ -219,7 +219,7 @@ def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
         kept.append(records)
     else:
         site = out.withColumn("ids", F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.array("id"))).withColumn("gts", F.array("gt"))
-        plink.write(site, order, plink.fam(spark, cfg.sample, facts["sex"]), cfg.output)
+        plink.write(site, order, plink.fam(spark.createDataFrame([(cfg.sample, facts["sex"])], "sample string, sex string")), cfg.output)
     spark.createDataFrame([(report.report(asdict(cfg), counters, facts),)], "value string").coalesce(1).write.mode("overwrite").text(cfg.output + "_report")
     for table in [rows, *kept]:
         table.unpersist()

@@ -151,6 +151,21 @@ def vcf_scan(spark, sf_dir):
     return got.select("ord", "chrom", "pos", joined("ids", ";").alias("id"), "ref", joined("alts").alias("alt"), F.size("alts").cast("bigint").alias("n_alts"), F.get("samples", F.lit(0))["GT"].alias("gt"))
 
 
+#: Header of the rows of vcf_errors.
+_TYPED = ['##INFO=<ID=DP,Number=1,Type=Integer,Description="d">', '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="b">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="g">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">']
+
+
+@query("""select ord, case ord%12 when 0 then 'position' when 1 then 'genotype' when 2 then 'info' when 3 then 'info' when 4 then 'info' when 5 then 'info' when 6 then 'format' when 7 then 'ref' when 8 then 'sample' when 9 then 'position' end as error from sites""")
+def vcf_errors(spark, sf_dir):
+    """Rows with a planted fault in ten of twelve: position 0 or no number, GT, INFO and FORMAT of another type than the header's, REF, too many fields."""
+    k = F.col("ord") % 12
+    rows = view(spark, sf_dir, "sites")
+    info = F.when(k == 2, "DP=1.5").when(k == 3, "DP=1,2").when(k == 4, "AF=0.1,x").when(k == 5, "DB=1;DP=3").otherwise("DP=.;AF=1e-3,.;DB;XX=y")
+    cells = F.when(k == 1, "0/x:9").when(k == 6, "0/1:9x").when(k == 8, "0/1:9:9").otherwise(F.concat("gt", F.lit(":-9")))
+    lines = rows.select("ord", F.concat_ws("\t", "chrom", F.when(k == 0, "0").when(k == 9, "x").otherwise(F.col("pos").cast("string")), F.lit("."), F.when(k == 7, "1").otherwise(F.col("ref")), "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT:DP"), cells).alias("line"))
+    return text.vcf_scan(lines, _TYPED).select("ord", "error")
+
+
 @query("""select cast(row_number() over (order by h.ord)-1 as bigint) as contig_idx, 'c'||cast(h.ord as string) as contig, cast(sum(length(f.line)) as bigint) as length
   from fasta h join fasta f on f.ord>h.ord and f.ord<h.ord+100 where h.ord%100=0 group by h.ord""")
 def fasta_contigs(spark, sf_dir):
@@ -659,6 +674,15 @@ ORACLES["plink_bed"] = f"""with sites as ({VIEWS["sites"]}), {_SPLIT}, c as (sel
   select ord, cast(n as bigint) as alt_no, cast(0 as bigint) as byte_no, cast(g + case n when 1 then 8+48+64 else 0+0+64 end as bigint) as byte from c union all select ord, cast(n as bigint), cast(1 as bigint), cast(case n when 1 then 2 else 2 end as bigint) from c"""
 
 
-@query("select 's' as fid, 's' as iid, '0' as father, '0' as mother, 2 as sex, -9 as phenotype")
+@query()
 def plink_fam(spark, sf_dir):
-    return plink.fam(spark, "s", "female")
+    """The .fam rows of 40 samples, sex inferred from their calls."""
+    calls = view(spark, sf_dir, "calls").withColumn("sample", F.concat(F.lit("s"), (F.col("rid") % 40).cast("string")))
+    counts = infer.sex_counts(calls, "GRCh38", ["sample"])
+    return plink.fam(counts.select("sample", infer.sex_of().alias("sex")))
+
+
+ORACLES["plink_fam"] = f"""with calls as ({VIEWS["calls"]}), x as (select 's'||cast(rid%40 as varchar) as sample, case when replace(chrom,'chr','')='X' then 'X' when replace(chrom,'chr','')='Y' then 'Y' else 'autosome' end as c, genotype<>'--' as called, pos between 10001 and 2781479 as par, coalesce(len(a)=2 and not list_contains(a,'MIS') and upper(a[1])<>upper(a[2]),false) as het from (select *, {_PARSE.format("genotype")} as a from calls)),
+  n as (select sample, count(*) filter (c='autosome') as a, count(*) filter (c='autosome' and called) as ac, count(*) filter (c='autosome' and het) as ah, count(*) filter (c='X') as x, count(*) filter (c='X' and het) as xh, count(*) filter (c='Y' and not par) as y, count(*) filter (c='Y' and not par and called) as yc from x group by 1),
+  r as (select *, yc/greatest(y,1)/greatest(ac/a,1e-9) as dy, xh/greatest(x,1)/greatest(ah/a,1e-9) as rx from n)
+  select sample as fid, sample as iid, '0' as father, '0' as mother, case when a=0 or x+y=0 then 0 when dy>=0.5 and rx<0.5 then 1 when dy<0.5 and rx>=0.5 then 2 else 0 end as sex, -9 as phenotype from r"""

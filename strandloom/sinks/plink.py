@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import computed
@@ -60,8 +60,10 @@ def bed(rows: DataFrame) -> DataFrame:
     return bed_rows(rows).select("ord", "alt_no", F.posexplode("b").alias("byte_no", "byte"))
 
 
-def fam(spark: SparkSession, sample: str, sex: str) -> DataFrame:
-    return spark.createDataFrame([(sample, sample, "0", "0", {"male": 1, "female": 2}.get(sex, 0), -9)], "fid string, iid string, father string, mother string, sex int, phenotype int")
+def fam(samples: DataFrame) -> DataFrame:
+    """fid, iid, father, mother, sex, phenotype of rows (sample, sex)."""
+    code = F.when(F.col("sex") == "male", 1).when(F.col("sex") == "female", 2).otherwise(0)
+    return samples.select(F.col("sample").alias("fid"), F.col("sample").alias("iid"), F.lit("0").alias("father"), F.lit("0").alias("mother"), code.cast("int").alias("sex"), F.lit(-9).alias("phenotype"))
 
 
 def as_binary(b: Column) -> Column:

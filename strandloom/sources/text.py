@@ -162,18 +162,23 @@ def entry_is_ill(keys: list[str], number: str, kind: str, entry: Column) -> Colu
     return entry["key"].isin(*keys) & ill_typed(entry["value"], number, kind)
 
 
-def bad_genotype(gt: Column, n_alts: Column) -> Column:
-    """Whether a GT is no row of allele numbers and dots between / and |, or one of its numbers has no allele."""
-    number = F.transform(F.split(gt, "[/|]", -1), lambda a: F.when(a == ".", 0).otherwise(a.try_cast("int")))
-    return ~gt.rlike(r"^([0-9]+|\.)([/|]([0-9]+|\.))*$") | F.coalesce(F.exists(number, lambda k: k.isNull() | (k > n_alts)), F.lit(True))
+def no_genotype(gt: Column) -> Column:
+    """Whether a GT isn't a row of allele numbers and dots between / and |."""
+    return F.coalesce(~gt.rlike(r"^([0-9]+|\.)([/|]([0-9]+|\.))*$"), F.lit(False))
+
+
+def beyond_alts(samples: Column, n_alts: Column) -> Column:
+    """Whether a sample's GT names an allele that its row lacks."""
+    number = lambda gt: F.transform(F.split(gt, "[/|]", -1), lambda a: F.when(a == ".", 0).otherwise(a.try_cast("int")))
+    return F.exists(samples, lambda c: F.coalesce(F.exists(number(F.try_element_at(c, F.lit("GT"))), lambda k: k.isNull() | (k > n_alts)), F.lit(False)))
 
 
 def vcf_scan(lines: DataFrame, header: list[str] = ()) -> DataFrame:
     """Body rows of a VCF: chrom, pos, ids, ref, alts, qual, filters, info, format, samples; bad rows have an error.
 
     Of a repeated INFO or FORMAT key the first value counts; a sample with more fields than FORMAT is an error of its row, and so
-    are a position below 1, a GT that is none or names an allele that the row lacks, and, by the definitions of the header lines, INFO
-    and FORMAT values of another type.
+    are a position below 1, a GT that is none, and, by the definitions of the header lines, INFO and FORMAT values of another type.
+    A GT that names an allele the row lacks is left to beyond_alts().
     """
     f = F.split("line", "\t", -1)
     rows = computed(lines.where((F.col("line") != "") & ~F.col("line").startswith("#")), f=f)
@@ -193,7 +198,6 @@ def vcf_scan(lines: DataFrame, header: list[str] = ()) -> DataFrame:
     )
     rows = computed(rows, __row=F.struct(*rows.columns)).select("__row.*")  # each field once, though the checks refer to it again
     known = definitions(header)
-    gt = lambda c: F.try_element_at(c, F.lit("GT"))
 
     def ill(where: str, pairs: Column) -> Column:
         """Whether a map holds an ill-typed value of a key that the header defines."""
@@ -204,7 +208,7 @@ def vcf_scan(lines: DataFrame, header: list[str] = ()) -> DataFrame:
                 out = out | F.exists(F.map_entries(pairs), partial(entry_is_ill, keys, number, kind))
         return F.coalesce(out, F.lit(False))
 
-    wrong = F.when(F.exists("samples", lambda c: F.coalesce(bad_genotype(gt(c), F.size("alts")), F.lit(False))), "genotype")
+    wrong = F.when(F.exists("samples", lambda c: no_genotype(F.try_element_at(c, F.lit("GT")))), "genotype")
     wrong = wrong.when(ill("INFO", F.col("info")), "info").when(F.exists("samples", lambda c: ill("FORMAT", c)), "format")
     return rows.withColumn("error", F.coalesce("error", wrong))
 
