@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as A
@@ -35,17 +35,23 @@ def harmonize(rows: DataFrame) -> DataFrame:
 def panel_alt_index(rows: DataFrame, order: list) -> DataFrame:
     """Rows of harmonize with merged_alts (panel ALTs and those added up to this row) and indices of its alleles among them.
 
-    Alleles are added in row order, so each row sees a prefix: a running list over the rows of one site.
+    Alleles are added in row order. The first row of each (site, allele) is an aggregate, and so is the site's list of new alleles in
+    that order; a row sees those whose first row isn't after it. No task needs the rows of a site together, and the work is rows
+    times the different alleles of their site.
     """
-    w = Window.partitionBy("site_chrom", "pos").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = rows.withColumn("site_chrom", F.coalesce("panel_chrom", "chrom"))
-    site_ref = F.upper(F.first("ref").over(w))
-    seen = start.withColumn("__ref", F.upper(F.coalesce(F.col("panel_ref"), site_ref))).withColumn("__all", F.flatten(F.collect_list("alleles").over(w)))
-    base = F.coalesce(F.transform("panel_alts", F.upper), F.array().cast("array<string>"))
-    merged = F.filter(F.array_distinct(F.concat(base, "__all")), lambda a: a != F.col("__ref"))
-    seen = seen.withColumn("merged_alts", merged)
+    start = rows.withColumn("site_chrom", F.coalesce("panel_chrom", "chrom")).withColumn("__at", F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)))
+    up = lambda c: F.coalesce(F.transform(c, F.upper), F.array().cast("array<string>"))
+    each = start.select("site_chrom", "pos", "__at", F.posexplode("alleles").alias("__i", "allele"))
+    firsts = each.groupBy("site_chrom", "pos", "allele").agg(F.min(F.struct("__at", "__i")).alias("first"))
+    new = firsts.groupBy("site_chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "allele"))).alias("__new"))
+    heads = start.groupBy("site_chrom", "pos").agg(F.min_by("ref", "__at").alias("__first_ref"))
+    sites = new.join(heads, new["site_chrom"].eqNullSafe(heads["site_chrom"]) & new["pos"].eqNullSafe(heads["pos"])).select(new["site_chrom"].alias("__c"), new["pos"].alias("__p"), "__new", "__first_ref")
+    seen = start.join(sites, F.col("site_chrom").eqNullSafe(F.col("__c")) & F.col("pos").eqNullSafe(F.col("__p"))).withColumn("__ref", F.upper(F.coalesce(F.col("panel_ref"), F.col("__first_ref"))))
+    sofar = F.transform(F.filter("__new", lambda n: n["first"]["__at"] <= F.col("__at")), lambda n: n["allele"])
+    merged = F.filter(F.array_distinct(F.concat(up("panel_alts"), sofar)), lambda a: a != F.col("__ref"))
+    seen = A.computed(seen, merged_alts=merged)
     index = F.transform("alleles", lambda a: F.when(a == F.col("__ref"), 0).otherwise(F.array_position("merged_alts", a)).cast("int"))
-    return seen.withColumn("indices", index).withColumn("site_ref", F.col("__ref")).drop("__ref", "__all")
+    return seen.withColumn("indices", index).withColumn("site_ref", F.col("__ref")).drop("__ref", "__at", "__new", "__first_ref", "__c", "__p")
 
 
 def inject(rows: DataFrame) -> DataFrame:

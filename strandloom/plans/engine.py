@@ -13,7 +13,7 @@ from strandloom.operators import convert, infer, lift, panel
 from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.sinks import panel as panel_sink
 from strandloom.sinks import files, plink, report, vcf
-from strandloom.sources import bcf, text
+from strandloom.sources import bcf, fasta, text
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,7 @@ class Config:
     standardize: bool = True
     input_build: str | None = None
     other_reference: str | None = None
+    reference_fai: str | None = None
 
 
 #: Lines of an input header that go on to the output.
@@ -67,13 +68,18 @@ def info_text(info: Column) -> Column:
 
 def detected_build(spark: SparkSession, cfg: Config, rows: DataFrame, contigs: DataFrame, blocks: DataFrame) -> dict:
     """The input's build by the bases of both references."""
-    other = text.fasta_blocks(text.read_lines(spark, cfg.other_reference))
+    other, other_contigs = fasta.load(spark, cfg.other_reference, None, asked_contigs(rows))
     here = cfg.input_build or cfg.assembly
     names = ("GRCh37", "GRCh38") if infer.builds_match(here, "GRCh37") else ("GRCh38", "GRCh37")
-    rates = {r["build"]: r["rate"] for r in infer.build_rates(rows, {names[0]: (contigs, blocks), names[1]: (contig_table(other), other)}).collect()}
+    rates = {r["build"]: r["rate"] for r in infer.build_rates(rows, {names[0]: (contigs, blocks), names[1]: (other_contigs, other)}).collect()}
     return {"detected_build": infer.classify_build(rates), **{f"match_rate_{k}": v for k, v in rates.items()}}
 
 
+def asked_contigs(rows: DataFrame) -> DataFrame:
+    """Names under which rows (chrom) look up a reference."""
+    return rows.select("chrom").distinct().select(F.explode(F.array("chrom", A.strand_contig(F.col("chrom")))).alias("chrom"))
+
+
 def contig_table(blocks: DataFrame) -> DataFrame:
     """contig_idx, contig, length of a reference in blocks."""
     return blocks.groupBy("contig_idx", "contig").agg(F.sum(F.length("seq")).alias("length"))
@@ -93,23 +99,22 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
     With a chain, `reference` is that of the input: it tells strand and build. Rows are lifted before anything is looked up in
     the output's reference, calls with a REF of N, so contigs, bases and polarising are those of the output.
     """
-    blocks = text.fasta_blocks(text.read_lines(spark, cfg.reference)).cache()
-    contigs = contig_table(blocks).cache()
     kind = cfg.input_format
     if kind == "auto":
         kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
     lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
     facts: dict = {"input_format": kind}
-    kept = [blocks, contigs]
+    kept: list[DataFrame] = []
     lifts = bool(cfg.chain and cfg.lift_reference)
     if lifts:
-        new_blocks = text.fasta_blocks(text.read_lines(spark, cfg.lift_reference)).cache()
-        new_contigs = contig_table(new_blocks).cache()
+        new_blocks, new_contigs = (t.cache() for t in fasta.load(spark, cfg.lift_reference))
         chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
         kept += [new_blocks, new_contigs]
     if kind == "dtc":
         parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos").persist()
         kept.append(parsed)
+        blocks, contigs = (t.cache() for t in fasta.load(spark, cfg.reference, cfg.reference_fai, asked_contigs(parsed)))
+        kept += [blocks, contigs]
         good = parsed.where("error is null")
         if cfg.limit:  # counts good rows
             good = infer.first_rows(good, cfg.limit)
@@ -140,6 +145,8 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
         wrong = F.when(F.size("samples") > 1, "sample").when(text.beyond_alts(F.col("samples"), F.size("alts")), "genotype")
         parsed = parsed.withColumn("error", F.coalesce("error", wrong)).persist()
         kept.append(parsed)
+        blocks, contigs = (t.cache() for t in fasta.load(spark, cfg.reference, cfg.reference_fai, asked_contigs(parsed)))
+        kept += [blocks, contigs]
         rows = parsed.where("error is null")
         rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
         rows = A.computed(rows, __cell=F.coalesce(F.get("samples", F.lit(0)), F.create_map().cast("map<string,string>")))

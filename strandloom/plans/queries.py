@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import alleles as A
 from strandloom.operators import convert, infer, lift, panel
+from strandloom.operators.number import numbered
 from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.plans.engine import contig_table
 from strandloom.sinks import panel as panel_sink
@@ -221,7 +222,7 @@ def chrom_class(spark, sf_dir):
 @query()
 def natural_order(spark, sf_dir):
     n = A.natural_order(F.col("chrom"))
-    return view(spark, sf_dir, "names").select("chrom", F.row_number().over(Window.orderBy(n["rank"], n["tail"], "chrom")).cast("bigint").alias("place"))
+    return numbered(view(spark, sf_dir, "names").select("chrom"), [n["rank"], n["tail"], F.col("chrom")], "place")
 
 
 ORACLES["natural_order"] = f"""with names as ({VIEWS["names"]}), n as (select chrom, regexp_replace(regexp_replace(regexp_replace(chrom,'^(chr)+',''),'^(Chr)+',''),'^(CHR)+','') as b from names),
@@ -390,7 +391,7 @@ ORACLES["summary"] = _chain_sql("female", "select coalesce(reason, case when len
 def vcf_lines(spark, sf_dir):
     rows = dtc(spark, sf_dir).where("reason is null").withColumn("chrom", F.col("contig"))
     keys = convert.order_keys()
-    return vcf.body(rows).select(F.row_number().over(Window.partitionBy("chrom").orderBy(*keys)).cast("bigint").alias("place"), "line")
+    return numbered(vcf.body(rows), keys, "place", [F.col("chrom")]).select("place", "line")
 
 
 ORACLES["vcf_lines"] = _chain_sql("female", """select cast(row_number() over (partition by k order by pos, rid) as bigint) as place, k||chr(9)||cast(pos as string)||chr(9)||id||chr(9)||ref||chr(9)||case when len(alts)=0 then '.' else array_to_string(list_transform(alts, lambda x: case x when 'DEL' then '<DEL>' when 'INS' then '<INS>' else x end),',') end||chr(9)||'.'||chr(9)||'.'||chr(9)||
@@ -400,7 +401,7 @@ ORACLES["vcf_lines"] = _chain_sql("female", """select cast(row_number() over (pa
 @query()
 def sort_variants(spark, sf_dir):
     rows = view(spark, sf_dir, "sites").where("chrom not like '%Un1'")
-    return rows.select("rid", F.row_number().over(Window.orderBy(*convert.order_keys())).cast("bigint").alias("place"))
+    return numbered(rows, convert.order_keys(), "place").select("rid", "place")
 
 
 ORACLES["sort_variants"] = f"with sites as ({VIEWS['sites']}) select rid, cast(row_number() over (order by case replace(chrom,'chr','') when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else try_cast(replace(chrom,'chr','') as int) end, pos, ord) as bigint) as place from sites where chrom not like '%Un1'"

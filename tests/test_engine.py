@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import lift
 from strandloom.plans.engine import Config, convert_file
 from strandloom.sinks import plink
-from strandloom.sources import bcf, layered, text
+from strandloom.sources import bcf, fasta, layered, text
 
 
 def put(folder: Path, name: str, data: str | bytes) -> str:
@@ -440,3 +440,75 @@ def test_segments_against_every_block(spark):
             q = p + shift(b) if b[8] == "+" else shift(b) - p
             want = ("lifted", b[5], q, b[8]) if q >= 0 else ("unmapped", None, None, None)
         assert tuple(got[i][1:]) == want
+
+
+def test_fasta_index(spark, tmp_path):
+    """Built, used, rebuilt when older than the FASTA; the blocks of lines; contigs that nobody asks for aren't read."""
+    import os
+
+    seqs = {"1": "ACGT" * 1500, "2": "", "chrX": "TTGCA" * 900 + "GG", "Un7": "N"}
+    for end, width in (("\n", 60), ("\r\n", 61), ("\n", 10_000)):
+        folder = tmp_path / f"{len(end)}{width}"
+        folder.mkdir()
+        path = put(folder, "r.fa", "".join(f">{k} about it{end}" + "".join(v[i : i + width] + end for i in range(0, len(v), width)) for k, v in seqs.items()))
+        blocks, contigs = fasta.load(spark, path)
+        index = (folder / "r.fa.fai").read_text().splitlines()
+        assert [x.split("\t")[:2] for x in index] == [[k, str(len(v))] for k, v in seqs.items()]
+        at = [int(x.split("\t")[2]) for x in index]
+        raw = Path(path).read_bytes()
+        assert all(raw[o : o + 1].decode() == v[0] for o, v in zip(at, seqs.values()) if v)
+        want = {(i, k, b): v[b * 1024 : b * 1024 + 1024] for i, (k, v) in enumerate(seqs.items()) for b in range(-(-len(v) // 1024))}
+        assert {(r["contig_idx"], r["contig"], r["block"]): r["seq"] for r in blocks.collect()} == want
+        assert sorted(tuple(r) for r in contigs.collect()) == [(i, k, len(v)) for i, (k, v) in enumerate(seqs.items())]
+        some, all_contigs = fasta.load(spark, path, None, spark.createDataFrame([("X",), ("nowhere",)], "c string"))
+        assert {r["contig"] for r in some.collect()} == {"chrX"} and all_contigs.count() == 4
+    other = str(folder / "elsewhere.fai")
+    Path(other).write_text("1\t5\t3\t5\t6\n")
+    os.utime(other, (1, 1))  # stale
+    assert fasta.load(spark, path, other)[1].count() == 4 and len(Path(other).read_text().splitlines()) == 4
+    Path(other).write_text("no index\n")
+    os.utime(other, (4e9, 4e9))
+    assert fasta.load(spark, path, other)[1].count() == 4
+    uneven = put(tmp_path, "u.fa", ">1\nACG\nACGTA\nA\n>2\nTT\n")
+    assert fasta.index(spark, uneven) is None and {(r["contig"], r["seq"]) for r in fasta.load(spark, uneven)[0].collect()} == {("1", "ACGACGTAA"), ("2", "TT")}
+    packed = put(tmp_path, "g.fa.gz", gzip.compress(b">1\nACGT\n"))
+    assert fasta.index(spark, packed) is None and fasta.load(spark, packed)[1].collect()[0]["length"] == 4
+
+
+def test_reference_index_of_a_run(spark, tmp_path):
+    """The given index is used: output order and lengths are those it says, and a run leaves one beside a FASTA without."""
+    path = put(tmp_path, "r.fa", ">2\nTTTTCCCC\n>1\nACGTACGT\n")
+    calls = put(tmp_path, "c.txt", "rs1 1 2 CC\nrs2 2 3 AG\n")
+    convert_file(spark, Config(calls, path, str(tmp_path / "out"), sex="female", reference_fai=str(tmp_path / "mine.fai")))
+    assert (tmp_path / "mine.fai").read_text() == "2\t8\t3\t8\t9\n1\t8\t15\t8\t9\n" and not (tmp_path / "r.fa.fai").exists()
+    assert [x.split("\t")[0] for x in body(str(tmp_path / "out"))[1:]] == ["2", "1"]
+
+
+def test_numbers_of_a_total_order(spark):
+    from strandloom.operators.number import numbered
+
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id", "pmod(hash(id), 5) as g", "if(id % 3 = 0, null, pmod(hash(id), 40)) as k")
+    got = numbered(rows, [F.col("k"), F.col("id")], "place", ranges=16).collect()
+    want = sorted(((r["k"] is not None, r["k"] or 0, r["id"]) for r in got))
+    assert [(r["k"] is not None, r["k"] or 0, r["id"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 3001))
+    by = numbered(rows, [F.col("id")], "place", [F.col("g")]).collect()
+    for g in range(5):
+        assert [r["place"] for r in sorted((r for r in by if r["g"] == g), key=lambda r: r["id"])] == list(range(1, sum(r["g"] == g for r in by) + 1))
+    assert numbered(rows.where("id < 0"), [F.col("id")], "place").count() == 0
+
+
+def test_panel_indices_of_many_rows_at_one_site(spark):
+    """100,000 rows of one site in seconds; the lists are those of a plain run over the rows."""
+    import time
+
+    from strandloom.operators import panel
+
+    began = time.time()
+    rows = spark.range(100_000).selectExpr("id as ord", "'1' as chrom", "5L as pos", "'A' as ref", "cast(null as string) as panel_chrom", "if(id % 2 = 0, 'A', null) as panel_ref", "if(id < 0, array('x'), null) as panel_alts", "array('A', element_at(array('C','G','T','CA','CC'), cast(pmod(hash(id), 5) + 1 as int))) as alleles")
+    got = panel.panel_alt_index(rows, [F.col("ord")]).select("ord", "alleles", "merged_alts", "indices", "site_ref").orderBy("ord").collect()
+    assert time.time() - began < 60
+    seen = []
+    for r in got:
+        if r["alleles"][1] not in seen:
+            seen.append(r["alleles"][1])
+        assert r["merged_alts"] == seen and r["indices"] == [0, seen.index(r["alleles"][1]) + 1] and r["site_ref"] == "A"
