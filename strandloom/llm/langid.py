@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into windows that overlap; in each a forward and a
 over both states labels every position. The MARGIN positions at either end of a window are there for context alone and are
 labelled in its neighbours, so every position has read at least so many bytes on both sides. A document's probabilities are
 the mean over all its positions. Training takes batches from all windows of whole texts of a bounded sample of labelled
-documents (`per_lang` expected for each language, chosen by a hash of the id); prediction reads every byte of every document.
+documents (at most `per_lang` of each language, `most_langs` languages and `most_bytes` bytes, chosen by a hash of id and text); prediction reads every byte of every document.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled document all are `und`;
 equal texts get equal results; ties go to the first language in order; other columns are never read; an empty table gives
@@ -18,15 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import crc_mod, free_name, given_back
 
 HIDDEN, CORE, MARGIN, PAD = 8, 96, 16, 256
 TRAIN_WINDOW = 64
-#: PER_LANG bounds the sample that training sees: so many documents of each language are expected.
-PER_LANG, BATCH, STEPS, RATE = 600, 256, 260, 0.02
+#: Bounds of the sample that training sees: documents of each language, languages (the most frequent), and bytes of all texts.
+PER_LANG, MOST_LANGS, SAMPLE_BYTES = 600, 64, 24 << 20
+BATCH, STEPS, RATE = 256, 260, 0.02
 UND = "und"
 
 
@@ -156,17 +157,29 @@ def pooled(net: Net, texts: list[str], batch: int = 2048) -> np.ndarray:
     return total / np.maximum(length, 1)[:, None]
 
 
-def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_lang: int = PER_LANG) -> Net | None:
-    """A net from the labelled documents outside the held-out fold; the sample's bound is per_lang documents for each language, as expected value."""
+def drawn(known: DataFrame, counts: dict[str, int], per_lang: int, most_bytes: int) -> DataFrame:
+    """(lang, text) of at most per_lang rows and most_bytes bytes for each language of counts: the rows of smallest hash.
+
+    The hash is of doc_id and text, so rows without or of one doc_id are drawn like all others; equal rows stay or go together, as
+    far as the bounds allow. Rows beyond a generous share are left out before the ranking, whose limit each task applies to its own
+    rows first; a text longer than most_bytes is not drawn.
+    """
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * (per_lang + 50) / n) * 2**30)))))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    hashed = known.where(F.col("lang").isin(*counts)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), size.alias("n")).where((F.pmod("h", F.lit(2**30)) < share[F.col("lang")]) & (F.col("n") <= most_bytes))
+    order = Window.partitionBy("lang").orderBy("h")
+    first = hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, most_bytes: int = SAMPLE_BYTES) -> Net | None:
+    """A net from labelled documents outside the held-out fold: per_lang of each of the most_langs most frequent languages, and most_bytes of text in all."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.coalesce(crc_mod("doc_id", folds), F.lit(-1)) != held_out))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
-    langs = sorted(counts)
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, per_lang / counts[k]) * 2**30)))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < share[F.col("lang")])
-
-    texts = sorted((r["lang"], bytes(r["text"])) for r in sample.select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect())
+    texts = sorted((r["lang"], bytes(r["text"])) for r in drawn(known, counts, per_lang, most_bytes // len(counts)).select("lang", F.col("text").cast("binary").alias("text")).collect())
     cut = [windows_of(np.frombuffer(t, np.uint8), TRAIN_WINDOW, 0) for _, t in texts]
     x, label = np.concatenate([np.empty((0, TRAIN_WINDOW), np.int16), *cut]), np.repeat([lang for lang, _ in texts], [len(c) for c in cut])
     if not len(x):
