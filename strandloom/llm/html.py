@@ -5,9 +5,16 @@ only one has into optional groups (x)? and texts that differ into slots, so the
 Wrappers are merged as a tree, in each step at most FAN of them, so a host with a third of all pages is never one task's group.
 What stands under an article or main element is the content, and where a page has none, everything else in the body but the
 template: texts that stand at the same path on all pages of a host with pages that differ. Menus, headers, footers, sidebars,
-notices, adverts, forms and comments are told by their elements and class names. Class names are a guess that is overruled: a
-page whose articles all bear such names is their text or the unmarked rest, whichever is more once the template is gone; and
-where nothing is left without marked boxes, the slots of the host that vary inside them are the content.
+notices, adverts, forms and comments are told by their elements and class names. A class that says no more than such a name
+(comments, user-reviews, ad-slot, cookiebar) marks a box; of one that only has such a name among others (header-note, related-work)
+the wrapper decides: slots of it that vary over the host's pages are text, fixed ones are template, and on a host whose pages don't
+differ the name takes nothing away. Marks are overruled, too: a page whose articles are all marked is their text or the unmarked
+rest, whichever is more once the template is gone; and where nothing is left without marked boxes, the slots of the host that
+vary inside them are the content.
+
+Optional tokens in a row are kept as one repeated group of the different ones among them, which matches all that they match, so a
+wrapper is no longer than what all its pages share and the different paths between; and a task merges the shapes of a host when it
+has SHAPES of them. So a host of irregular pages costs each page one alignment with a short wrapper.
 
 Defined results: null html or html without main text gives an empty text; cut tags at the end are markup; an element that is
 not closed ends with the box around it; a null url is a host of its own; repeated rows are extracted each; other columns are
@@ -37,9 +44,11 @@ SKIP = {"object", "select", "button"}
 BOX = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "figure", "dialog"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CHROME = {"nav", "header", "footer", "aside", "form", "dialog"}
-CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
+CHROME_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "reviews", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "teaser", "teasers", "thread", "toolbar"}
+#: Parts of class names that say nothing of what a box holds.
+NEUTRAL = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "discussion", "global", "group", "inner", "item", "items", "left", "links", "list", "main", "nav", "outer", "page", "panel", "reader", "right", "row", "section", "site", "slot", "top", "unit", "user", "widget", "wrap", "wrapper"}
 #: Whole class names that mark a block element such as a paragraph.
-LEAF_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "cookie", "cookies", "newsletter", "promo", "share", "sponsored"}
+LEAF_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "cookie", "cookies", "newsletter", "promo", "share", "sponsored", "teaser"}
 CONTENT = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements without text of the page: the first group ends with the page where it is not closed, of the second an open tag alone counts for nothing.
@@ -53,6 +62,8 @@ HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", re.I)
 LONGEST_PERIOD = 12
 #: Wrappers merged at once, and salts of a host where its rules can't be broadcast.
 FAN, SALTS = 32, 16
+#: Shapes of a host's pages that a task holds before it merges them, and optional tokens in a row that stay apart.
+SHAPES, RUN = 64, 4
 
 
 def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
@@ -69,8 +80,20 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
+def marked(names: str, known: set[str]) -> str:
+    """"~" if one of the class names says no more than a name of page furniture, "?" if one only has such a name among others, else ""."""
+    weak = ""
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        own = [p for p in parts if p in known or any(p.startswith(k) and p[len(k) :] in NEUTRAL for k in known if len(k) > 2)]
+        if own and all(p in own or p in NEUTRAL or p.isdigit() for p in parts):
+            return "~"
+        weak = "?" if own else weak
+    return weak
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(path of boxes and the block element, text) of each block, in page order; what marks page furniture is in the path, ! for an element and ~ for a class name."""
+    """(path of boxes and the block element, text) of each block, in page order; what marks page furniture is in the path, ! for an element, ~ for a class name and ? with the names for part of one."""
     stack: list[tuple[str, str]] = []
     out: list[tuple[str, str]] = []
     held: list[str] = []
@@ -106,11 +129,11 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 held.append(" ")
         else:
             flush()
-            leaf = tag + "~" * (not LEAF_NAMES.isdisjoint(more.split())) if kind == "open" and tag not in BOX else ""
+            leaf = tag + "~" * (marked(more, LEAF_NAMES) == "~") if kind == "open" and tag not in BOX else ""
             if tag in BOX:
                 if kind == "open":
-                    named = tag not in ("html", "body") and not CHROME_NAMES.isdisjoint(re.split(r"[\s_-]+", more))
-                    stack.append((tag, tag + ("!" if tag in CHROME else "~" if named else "")))
+                    named = marked(more, CHROME_NAMES) if more and tag not in ("html", "body") else ""
+                    stack.append((tag, tag + ("!" if tag in CHROME else named + re.sub(r"[^a-z0-9_-]+", ".", more) if named == "?" else named)))
                 elif any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
@@ -181,7 +204,36 @@ def align(a: list, b: list) -> list:
                 out.append(token)
         else:
             out += [t if t[0] == "?" else ["?", [t]] for t in a[i:j] + b[k:m]]
-    return fold(out)
+    return shortened(fold(out))
+
+
+def plain_tokens(token: list) -> Iterator[list]:
+    """The texts of a token, out of all groups."""
+    if token[0] in ("+", "?"):
+        for t in token[1]:
+            yield from plain_tokens(t)
+    else:
+        yield token
+
+
+def shortened(tokens: list) -> list:
+    """The same expression with each long run of optional tokens as ((a)?(b)?...)+ of the different ones in it."""
+    out, i = [], 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and tokens[j][0] == "?":
+            j += 1
+        if j - i <= RUN:
+            out += tokens[i : max(j, i + 1)]
+            i = max(j, i + 1)
+            continue
+        different: dict[str, list] = {}
+        for token in tokens[i:j]:
+            for t in plain_tokens(token):
+                different[t[0]] = _met(different[t[0]], t) if t[0] in different else t
+        out.append(["?", [["+", [["?", [t]] for t in different.values()]]]])
+        i = j
+    return out
 
 
 def digest_of(text: str) -> str:
@@ -215,12 +267,12 @@ def rules(differ: bool, wrapper: list) -> str:
     """What extraction needs of a wrapper: (path, digest, times) of the template's own texts outside articles, and the paths in boxes
     marked by class names whose slots vary. differ: the host has pages that differ; copies of one page tell nothing about its template."""
     fixed = Counter((p, d) for p, d in wrapper if differ and p not in ("+", "?") and d is not None and not is_content(p))
-    varied = {p for p, varies in slots(wrapper) if differ and varies and "~" in p and "!" not in p}
+    varied = {p for p, varies in slots(wrapper) if differ and varies and ("~" in p or "?" in p) and "!" not in p}
     return json.dumps({"fixed": sorted([p, d, n] for (p, d), n in fixed.items()), "varied": sorted(varied), "differ": differ})
 
 
 def in_content(path: str) -> bool:
-    return "!" not in path and any(label.rstrip("~") in CONTENT for label in path.split(">"))
+    return "!" not in path and any(re.split("[~?]", label)[0] in CONTENT for label in path.split(">"))
 
 
 def is_content(path: str) -> bool:
@@ -228,6 +280,9 @@ def is_content(path: str) -> bool:
 
 
 def main_text(page: list[tuple[str, str]], rule: dict) -> str:
+    varied = set(rule["varied"])
+    # The wrapper decides what a part of a name leaves open.
+    page = [(p, t) for p, t in page if "?" not in p or not rule["differ"] or p in varied]
     keep = [t for p, t in page if is_content(p)]
     if not keep:
         left = {(p, d): n for p, d, n in rule["fixed"]}
@@ -243,7 +298,6 @@ def main_text(page: list[tuple[str, str]], rule: dict) -> str:
         if sum(map(len, named)) > sum(map(len, keep)) > 0:
             keep = named
     if not keep:
-        varied = set(rule["varied"])
         able = [(p, t) for p, t in page if (p in varied if rule["differ"] else in_content(p))]
         keep = [t for p, t in able if in_content(p)] or [t for _, t in able]
     return "\n".join(keep)
@@ -269,6 +323,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 shape = " ".join(map(_shape, e))
                 seen = known.setdefault(host, {}).get(shape)
                 if seen is None:
+                    if len(known[host]) >= SHAPES:
+                        known[host] = {"": list(merged([tuple(x) for x in known[host].values()]))}
                     known[host][shape] = [1, e]
                 else:
                     seen[0], seen[1] = seen[0] + 1, [_met(a, b) for a, b in zip(seen[1], e, strict=True)]

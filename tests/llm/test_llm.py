@@ -535,3 +535,35 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+PROBE = """<nav>Menu</nav><article><h1>T{0}</h1><div class="header-note"><p>note {0}</p></div><p>own {0}</p><section id="related-work"><p>work {0}</p></section><div class="user-reviews"><p>rev {0}</p></div>
+<div class="cookiebar"><p>ok</p></div><div class="teaser"><p>other {0}</p></div><section class="discussion-thread"><p>c {0}</p></section><p class="ad-slot">buy {0}</p><div class="banner-line"><p>Fixed line</p></div></article>"""
+
+
+def test_wrapper_decides_partial_names_inside_articles(spark):
+    """Names that are more than a name of furniture: slots that vary are text, fixed ones template; a lone page keeps all."""
+    rows = [(i, f"http://probe.org/{i}", PROBE.replace("{0}", str(i))) for i in range(4)] + [(10 + i, "http://copies.org/", PROBE.replace("{0}", "x")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\nnote {i}\nown {i}\nwork {i}" for i in range(4))
+    assert all(got[10 + i] == "Tx\nnote x\nown x\nwork x\nFixed line" for i in range(3))  # with the wrapper's word, one line less
+
+
+def test_a_host_of_irregular_pages(spark):
+    """2,000 pages of random blocks on one host within a minute; the wrapper stays short and every text is kept."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    made = [[(rng.choice(["p", "h2", "pre", "blockquote", "h3"]), f"t{rng.random()}") for _ in range(60)] for _ in range(2000)]
+    rows = [(i, f"http://wild.org/{i}", "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in page) + "</body>") for i, page in enumerate(made)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    began = time.time()
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert time.time() - began < 60 and got == {i: "\n".join(x for _, x in page) for i, page in enumerate(made)}
+    found = {r["host"]: r["rules"] for r in html.wrappers(pages).collect()}
+    assert len(found["wild.org"]) < 1000
+    one = html.expression([(rng.choice("abcdef"), str(k)) for k in range(200)])
+    for _ in range(30):
+        one = html.align(one, html.expression([(rng.choice("abcdef"), str(k)) for k in range(200)]))
+    assert len(one) < 50 and {p for p, _ in html.slots(one)} == set("abcdef")
