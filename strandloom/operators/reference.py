@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.alleles import canonical_contig
 
-BLOCK = 1024
+BLOCK, BROADCAST_BYTES = 1024, 64 << 20
+
+
+def small(side: DataFrame, source: DataFrame) -> DataFrame:
+    """side marked for broadcast if the table it comes from has at most BROADCAST_BYTES by the optimizer's statistics."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
 
 def resolve_contig(rows: DataFrame, contigs: DataFrame, name: str = "chrom") -> DataFrame:
     """rows with `contig` and `contig_idx` of the reference (null if unknown); of contigs with one key the first counts.
 
-    The contig table of a genome is a few hundred rows, so it is broadcast.
+    The contig table of a genome is a few hundred rows; it is broadcast where Spark can tell that it has at most BROADCAST_BYTES.
     """
     keys = contigs.groupBy(canonical_contig(F.col("contig")).alias("__key")).agg(F.min(F.struct("contig_idx", "contig")).alias("__c"))
-    met = rows.withColumn("__key", canonical_contig(F.col(name))).join(F.broadcast(keys), "__key", "left")
+    met = rows.withColumn("__key", canonical_contig(F.col(name))).join(small(keys, contigs), "__key", "left")
     return met.select(*rows.columns, F.col("__c.contig").alias("contig"), F.col("__c.contig_idx").alias("contig_idx"))
 
 

@@ -35,16 +35,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--other-reference", help="FASTA of the other build, to detect the input's")
     p.add_argument("--output-dir", help="folder of OUTPUT and what is written beside it")
     p.add_argument("--reference-fai", help="index of the reference; the file beside it by default, built where it is missing or older")
+    p.add_argument("--refs", help="folder of references and chains by build names; lifting follows from the input's build")
     p.add_argument("--log-level", default="WARN")
     return p
 
 
 def config(argv: list[str] | None = None) -> Config:
     a = parser().parse_args(argv)
-    if a.input_build and not builds_match(a.input_build, a.output_build) and not (a.chain and a.lift_reference):
-        raise SystemExit("the builds differ: --chain and --lift-reference are needed")
+    if a.input_build and not builds_match(a.input_build, a.output_build) and not (a.chain and a.lift_reference) and not a.refs:
+        raise SystemExit("the builds differ: --chain and --lift-reference, or --refs, are needed")
     output = f"{a.output_dir.rstrip('/')}/{a.output}" if a.output_dir else a.output
-    return Config(a.input, a.reference, output, a.input_format, a.format, a.sample or sample_name(a.input), a.output_build, a.sex, None if a.infer_strand else "forward", a.variants_only, a.chain, a.lift_reference, a.panel, a.limit, a.standardize, a.input_build, a.other_reference, a.reference_fai)
+    return Config(a.input, a.reference, output, a.input_format, a.format, a.sample or sample_name(a.input), a.output_build, a.sex, None if a.infer_strand else "forward", a.variants_only, a.chain, a.lift_reference, a.panel, a.limit, a.standardize, a.input_build, a.other_reference, a.reference_fai, a.refs)
 
 
 def summary_lines(counters: dict[str, int]) -> list[str]:

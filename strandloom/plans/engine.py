@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass
+import warnings
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from strandloom.operators import convert, infer, lift, panel
 from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.sinks import panel as panel_sink
 from strandloom.sinks import files, plink, report, vcf
-from strandloom.sources import bcf, fasta, text
+from strandloom.sources import bcf, builds, fasta, text
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,9 @@ class Config:
     """A run. Paths are read by Spark; `chain` and `lift_reference` turn lifting on, `panel` harmonisation, `other_reference` (the
     FASTA of the other of GRCh37 and GRCh38) the detection of the input's build, which must be that of `reference`.
 
+    `refs` is a folder of references and chains by build names; then `reference` is that of the output's build `assembly`, and where
+    the input's build, given or detected, is another one, rows are lifted and standardised by what the folder holds.
+
     `standardize` polarises variant rows against the reference; without it they keep QUAL, FILTER, INFO and the FORMAT values GQ, DP and MIN_DP.
     """
 
@@ -42,6 +46,7 @@ class Config:
     input_build: str | None = None
     other_reference: str | None = None
     reference_fai: str | None = None
+    refs: str | None = None
 
 
 #: Lines of an input header that go on to the output.
@@ -91,30 +96,79 @@ def lifted(rows: DataFrame, chain: DataFrame, contigs: DataFrame, blocks: DataFr
     return rows.drop("chrom", "pos", "ref", "alts", "gt", "contig", "contig_idx", "reason").join(moved, "ord")
 
 
-def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, dict, list[DataFrame]]:
-    """(tagged variant rows, contig table, inferred facts, tables that are kept meanwhile).
+def parsed_input(spark: SparkSession, cfg: Config) -> tuple[DataFrame, dict]:
+    """(rows of the input with `error`, kept in memory and on disk; facts of its header and format)."""
+    kind = cfg.input_format
+    if kind == "auto":
+        kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
+    facts: dict = {"input_format": kind}
+    if kind == "dtc":
+        parsed = text.dtc_parse(text.dtc_scan(text.read_lines(spark, cfg.input))).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos")
+        if said := builds.commented(text.header_lines(spark, cfg.input)):
+            facts["comment_build"] = said
+            if not infer.builds_match(said, cfg.input_build or cfg.assembly):
+                warnings.warn(f"{cfg.input} says that it is of {said}; positions are read as those of {cfg.input_build or cfg.assembly}", stacklevel=2)
+        return parsed.persist(), facts
+    if kind not in ("vcf", "bcf"):
+        raise ValueError(f"no reader for {kind}")
+    head = input_header(spark, cfg, kind)
+    facts["definitions"] = [x for x in head if DEFINITION.match(x)]
+    if kind == "vcf":
+        parsed = text.vcf_scan(text.read_lines(spark, cfg.input), head)
+    else:
+        parsed = bcf.read(spark, cfg.input).withColumn("error", F.when(F.col("pos") < 1, "position"))
+    wrong = F.when(F.size("samples") > 1, "sample").when(text.beyond_alts(F.col("samples"), F.size("alts")), "genotype")
+    return parsed.withColumn("error", F.coalesce("error", wrong)).persist(), facts
+
+
+def by_build(spark: SparkSession, cfg: Config, parsed: DataFrame, kind: str) -> tuple[Config, dict]:
+    """(the run with chain and references of `refs` where the input's build differs from the output's, facts of the detection)."""
+    if not cfg.refs or cfg.chain:
+        return cfg, {}
+    build, facts = cfg.input_build, {}
+    if build is None:
+        rows = infer.build_calls(parsed.where("error is null")) if kind == "dtc" else infer.build_sites(parsed.where("error is null"))
+        loaded = {}
+        for name in ("GRCh37", "GRCh38"):
+            path = cfg.reference if infer.builds_match(name, cfg.assembly) else builds.reference(spark, cfg.refs, name)
+            if path is None:
+                raise FileNotFoundError(f"no reference of {name} in {cfg.refs}, to detect the input's build")
+            blocks, contigs = fasta.load(spark, path, None, asked_contigs(rows))
+            loaded[name] = (contigs, blocks)
+        rates = {r["build"]: r["rate"] for r in infer.build_rates(rows, loaded).collect()}
+        if all(v is None for v in rates.values()):  # nothing tells: the input is taken to be of the output's build
+            return cfg, {f"match_rate_{k}": None for k in rates}
+        build = infer.classify_build(rates)
+        facts = {"detected_build": build, **{f"match_rate_{k}": v for k, v in rates.items()}}
+    if infer.builds_match(build, cfg.assembly):
+        return replace(cfg, input_build=build), facts
+    chain = builds.chain(spark, cfg.refs, build, cfg.assembly)
+    source = builds.reference(spark, cfg.refs, build)
+    if source is None:
+        raise FileNotFoundError(f"no reference of {build} in {cfg.refs}")
+    return replace(cfg, chain=chain, lift_reference=cfg.reference, reference=source, reference_fai=None, input_build=build, standardize=True), facts
+
+
+def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, dict, Config, list[DataFrame]]:
+    """(tagged variant rows, contig table, inferred facts, the run as resolved by build, tables that are kept meanwhile).
 
     The input is read once: its parsed rows are kept, in memory and on disk, for inference and conversion.
 
     With a chain, `reference` is that of the input: it tells strand and build. Rows are lifted before anything is looked up in
     the output's reference, calls with a REF of N, so contigs, bases and polarising are those of the output.
     """
-    kind = cfg.input_format
-    if kind == "auto":
-        kind = text.detect_format(text.peek(spark, cfg.input), cfg.input)
-    lines = None if kind == "bcf" else text.read_lines(spark, cfg.input)
-    facts: dict = {"input_format": kind}
-    kept: list[DataFrame] = []
+    parsed, facts = parsed_input(spark, cfg)
+    kind, kept = facts["input_format"], [parsed]
+    cfg, told = by_build(spark, cfg, parsed, kind)
+    facts |= told
+    blocks, contigs = (t.cache() for t in fasta.load(spark, cfg.reference, cfg.reference_fai, asked_contigs(parsed)))
+    kept += [blocks, contigs]
     lifts = bool(cfg.chain and cfg.lift_reference)
     if lifts:
         new_blocks, new_contigs = (t.cache() for t in fasta.load(spark, cfg.lift_reference))
         chain = text.chain_blocks(text.read_lines(spark, cfg.chain))
         kept += [new_blocks, new_contigs]
     if kind == "dtc":
-        parsed = text.dtc_parse(text.dtc_scan(lines)).withColumnRenamed("chromosome", "chrom").withColumnRenamed("position", "pos").persist()
-        kept.append(parsed)
-        blocks, contigs = (t.cache() for t in fasta.load(spark, cfg.reference, cfg.reference_fai, asked_contigs(parsed)))
-        kept += [blocks, contigs]
         good = parsed.where("error is null")
         if cfg.limit:  # counts good rows
             good = infer.first_rows(good, cfg.limit)
@@ -135,18 +189,7 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
             rows = rows.unionByName(dropped.select("ord", "reason"), allowMissingColumns=True)
         bad = parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason"))
         rows = rows.unionByName(bad, allowMissingColumns=True)
-    elif kind in ("vcf", "bcf"):
-        head = input_header(spark, cfg, kind)
-        facts["definitions"] = [x for x in head if DEFINITION.match(x)]
-        if kind == "vcf":
-            parsed = text.vcf_scan(lines, head)
-        else:
-            parsed = bcf.read(spark, cfg.input).withColumn("error", F.when(F.col("pos") < 1, "position"))
-        wrong = F.when(F.size("samples") > 1, "sample").when(text.beyond_alts(F.col("samples"), F.size("alts")), "genotype")
-        parsed = parsed.withColumn("error", F.coalesce("error", wrong)).persist()
-        kept.append(parsed)
-        blocks, contigs = (t.cache() for t in fasta.load(spark, cfg.reference, cfg.reference_fai, asked_contigs(parsed)))
-        kept += [blocks, contigs]
+    else:
         rows = parsed.where("error is null")
         rows = infer.first_rows(rows, cfg.limit) if cfg.limit else rows
         rows = A.computed(rows, __cell=F.coalesce(F.get("samples", F.lit(0)), F.create_map().cast("map<string,string>")))
@@ -167,9 +210,7 @@ def variants(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame, di
             rows = rows.withColumn("info_map", A.normalise_info(F.col("info"))).withColumn("info", info_text(F.col("info_map")))
         rows = rows.withColumn("symbolic", F.col("alts"))
         rows = rows.unionByName(parsed.where("error is not null").select("ord", F.lit("parse_errors").alias("reason")), allowMissingColumns=True)
-    else:
-        raise ValueError(f"no reader for {kind}")
-    return rows, new_contigs if lifts else contigs, facts, kept
+    return rows, new_contigs if lifts else contigs, facts, cfg, kept
 
 
 def bcf_rows(out: DataFrame) -> DataFrame:
@@ -195,7 +236,7 @@ def panel_text(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 def convert_file(spark: SparkSession, cfg: Config) -> dict[str, int]:
     """Run a conversion; returns the counters, which are also in <output>_report as JSON."""
-    rows, contigs, facts, kept = variants(spark, cfg)
+    rows, contigs, facts, cfg, kept = variants(spark, cfg)
     if cfg.output_format == "bcf":  # its records name contigs by their number in the header; the other formats write an unknown one as it is, last
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("contig").isNull(), "unknown_chromosomes")))
     rows = rows.persist()  # counted, sorted and written; made once

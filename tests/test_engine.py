@@ -512,3 +512,26 @@ def test_panel_indices_of_many_rows_at_one_site(spark):
         if r["alleles"][1] not in seen:
             seen.append(r["alleles"][1])
         assert r["merged_alts"] == seen and r["indices"] == [0, seen.index(r["alleles"][1]) + 1] and r["site_ref"] == "A"
+
+
+def test_chain_and_reference_by_build_names(spark, tmp_path):
+    """The folder's files are chosen by the input's build, given or detected; no lifting where builds agree; a missing chain is an error."""
+    refs = tmp_path / "refs"
+    refs.mkdir()
+    put(refs, "hg19.fa", ">chr1\n" + "ACGTTGCA" * 40 + "\n")
+    (refs / "hg19ToHg38.over.chain.gz").write_bytes(gzip.compress(b"chain 100 chr1 320 + 0 300 chr1 330 + 10 310 1\n300\n\n"))
+    new = put(tmp_path, "new.fa", ">chr1\n" + "T" * 10 + "ACGTTGCA" * 40 + "\n")
+    calls = put(tmp_path, "c.txt", "# we use human assembly build 37\n# Build 37\n" + "".join(f"rs{i} 1 {i} {'ACGTTGCA'[(i - 1) % 8] * 2}\n" for i in range(1, 200)))
+    base = dict(sex="female", refs=str(refs))
+    with pytest.warns(UserWarning, match="GRCh37"):
+        got = convert_file(spark, Config(calls, new, str(tmp_path / "o1"), **base))
+    assert got == {"reference_records": 199} and [x.split("\t")[1] for x in body(str(tmp_path / "o1"))[1:3]] == ["11", "12"]
+    import json
+
+    facts = json.loads("".join(p.read_text() for p in (tmp_path / "o1_report").glob("part-*")))
+    assert facts["detected_build"] == "GRCh37" and facts["match_rate_GRCh37"] == 100.0 and facts["comment_build"] == "GRCh37"
+    assert convert_file(spark, Config(calls, new, str(tmp_path / "o2"), input_build="hg19", **base)) == got
+    same = convert_file(spark, Config(calls, new, str(tmp_path / "o3"), input_build="GRCh38", **base))
+    assert [x.split("\t")[1] for x in body(str(tmp_path / "o3"))[1:3]] == ["1", "2"] and sum(same.values()) == 199
+    with pytest.raises(FileNotFoundError, match="no chain"):
+        convert_file(spark, Config(calls, str(refs / "hg19.fa"), str(tmp_path / "o4"), input_build="hg38", assembly="GRCh37", **base))
