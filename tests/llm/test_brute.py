@@ -314,3 +314,16 @@ def test_op2_sample_is_bounded(spark):
     assert len(langid.fit(many, most_langs=5, per_lang=4).langs) == 5
     long = spark.createDataFrame([(1, "x" * 100_000, "en"), (3, "short text", "en")], "doc_id long, text string, lang string")
     assert [r["text"] for r in langid.drawn(long, {"en": 2}, 600, 50_000).collect()] == ["short text"]
+
+
+def test_op10_rows_without_an_id(spark):
+    """Many rows without an id, and many of one id: all get their fingerprints, and one of them stands for each as the next."""
+    rows = [(None, f"text without an id {i % 50}") for i in range(3000)] + [(7, f"text of seven {i}") for i in range(3000)] + [(1, "first"), (9, "last one here")]
+    got = merkle.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+    one = {r["doc_id"]: r for r in got if r["doc_id"] in (1, 9)}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    seven = min((t for i, t in rows if i == 7), key=digest)
+    lone = min({t for i, t in rows if i is None}, key=digest)
+    assert one[9]["edited_sha256"] == digest("last one here"[:-4] + seven[:4]) and one[1]["edited_sha256"] == digest("first"[:-1] + lone[:1])
+    assert len({r["fingerprint"] for r in got if r["doc_id"] is None}) == 50
