@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from strandloom.operators.reference import reference_base, resolve_contig
 from strandloom.plans.engine import contig_table
 from strandloom.sinks import panel as panel_sink
 from strandloom.sinks import plink, vcf
-from strandloom.sources import text
+from strandloom.sources import bcf, fasta, layered, text
 
 LENGTH = 16384
 _CHROM = "case when o_orderkey%5=0 then 'chr' else '' end || case when o_orderkey%26<22 then cast(o_orderkey%26+1 as string) when o_orderkey%26=22 then 'X' when o_orderkey%26=23 then 'Y' when o_orderkey%26=24 then 'MT' else 'Un1' end"
@@ -167,6 +168,54 @@ def vcf_errors(spark, sf_dir):
     return text.vcf_scan(lines, _TYPED).select("ord", "error")
 
 
+#: Header of the records of bcf_fields.
+_BCF_HEAD = [*_TYPED, '##FILTER=<ID=q10,Description="q">', *(f"##contig=<ID={p}{c}>" for c in [*range(1, 23), "X", "Y", "MT", "Un1"] for p in ("", "chr")), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb"]
+
+
+@query("""select 'rs'||cast(ord as string) as id, chrom, pos, ref, alt, cast(ord%400 as double)/4 as qual, case when ord%2=0 then 'q10' else '' end as filter, cast(ord*1000 as string) as dp, case when ord%3=0 then '0.5,.' else '-0.25' end as af, ord%5=0 as db, gt as gt_a, cast(ord%300 as string) as dp_b from sites""")
+def bcf_fields(spark, sf_dir):
+    """Rows encoded as BCF records by the header's types, packed in BGZF members, and decoded again."""
+    rows = view(spark, sf_dir, "sites")
+    k = F.col("ord")
+    info = F.map_concat(F.create_map(F.lit("DP"), (k * 1000).cast("string"), F.lit("AF"), F.when(k % 3 == 0, "0.5,.").otherwise("-0.25")), F.when(k % 5 == 0, F.create_map(F.lit("DB"), F.lit(""))).otherwise(F.create_map().cast("map<string,string>")))
+    cell = lambda gt, dp: F.create_map(F.lit("GT"), gt, F.lit("DP"), dp)
+    full = rows.select("chrom", "pos", F.concat(F.lit("rs"), k.cast("string")).alias("id"), "ref", "alts", ((k % 400) / 4).alias("qual"), F.when(k % 2 == 0, F.array(F.lit("q10"))).otherwise(F.array().cast("array<string>")).alias("filters"), info.alias("info"), F.array(F.lit("GT"), F.lit("DP")).alias("format"), F.array(cell(F.col("gt"), F.lit(".")), cell(F.lit("./."), (k % 300).cast("string"))).alias("samples"))
+    data = bcf.blocks(full, _BCF_HEAD)
+    head = bcf.Head(*bcf.dictionaries("\n".join(_BCF_HEAD)), 2, 0)
+
+    def decode(batches):
+        for batch in batches:
+            for value in batch.column(0):
+                yield from bcf.rows_of(((True, piece) for piece in layered.streamed(value.as_py())), head, True)
+
+    back = data.select("data").mapInArrow(decode, bcf.SCHEMA)
+    at = lambda i, key: F.get("samples", F.lit(i))[key]
+    return back.select(joined("ids", ";").alias("id"), "chrom", "pos", "ref", joined("alts").alias("alt"), F.col("qual").cast("double").alias("qual"), joined("filters", ";").alias("filter"), F.col("info")["DP"].alias("dp"), F.col("info")["AF"].alias("af"), F.map_contains_key("info", F.lit("DB")).alias("db"), at(0, "GT").alias("gt_a"), at(1, "DP").alias("dp_b"))
+
+
+@query("select cast(ord as string)||' '||line as line from lines")
+def bgzf_ranges(spark, sf_dir):
+    """Lines packed in BGZF members of 997 bytes and read by ranges of 3,000 packed bytes, cut anywhere."""
+
+    def through(batches):
+        for batch in batches:
+            raw = "".join(x + "\n" for x in batch.column(0).to_pylist()).encode()
+            packed = b"".join(bcf.bgzf(raw[i : i + 997]) for i in range(0, len(raw), 997)) + bcf.END_BLOCK
+            for at in range(0, len(packed), 3000):
+                yield from layered.batches(layered.whole_lines(layered.line_bytes(pa.BufferReader(packed), at, min(at + 3000, len(packed)), len(packed))))
+
+    return view(spark, sf_dir, "lines").select(F.concat(F.col("ord").cast("string"), F.lit(" "), "line").alias("line")).mapInArrow(through, "line string")
+
+
+@query("""select cast(row_number() over (order by h.ord)-1 as bigint) as contig_idx, 'c'||cast(h.ord as string) as contig, cast(coalesce(n,0) as bigint) as length, cast(start as bigint) as start, cast(coalesce(k,0) as bigint) as line_bases, coalesce(n is null or (most=k and (lines-1)*k+last=n), true) as even
+  from (select ord, upto as start from (select ord, sum(length(line)+1) over (order by ord rows unbounded preceding) as upto from fasta) where ord%100=0) h
+  left join (select ord-ord%100 as head, sum(length(line)) as n, arg_min(length(line), ord) as k, max(length(line)) as most, arg_max(length(line), ord) as last, count(*) as lines from fasta where ord%100<>0 group by 1) b on b.head=h.ord""")
+def fasta_index(spark, sf_dir):
+    """The offset index of a FASTA whose lines come in parts of 500."""
+    lines = view(spark, sf_dir, "fasta").withColumn("ord", F.shiftleft(F.expr("ord div 500"), text.PART_BITS) + F.col("ord") % 500)
+    return fasta.built(lines, 1).select("contig_idx", "contig", "length", F.col("offset").alias("start"), "line_bases", "even")
+
+
 @query("""select cast(row_number() over (order by h.ord)-1 as bigint) as contig_idx, 'c'||cast(h.ord as string) as contig, cast(sum(length(f.line)) as bigint) as length
   from fasta h join fasta f on f.ord>h.ord and f.ord<h.ord+100 where h.ord%100=0 group by h.ord""")
 def fasta_contigs(spark, sf_dir):
