@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.bpe import byte_chars
 from strandloom.llm.common import given_back, slices, written
 
-#: Bytes of text that are cut together.
-SLICE_BYTES = 8 << 20
+#: Bytes of text that are cut together; the arrays over them take some 30 times as many.
+SLICE_BYTES = 4 << 20
 #: The tokenizer's contractions; beside them its pieces are letters in a row, one digit, or other characters in a row.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Totals of parts that are broadcast at most: 16 bytes each.
@@ -78,7 +78,7 @@ class WordCoder:
         return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.array(flat, "<u4"))])
 
     def pieces(self, text: str) -> tuple[pa.Array, np.ndarray]:
-        """(the pieces of a text in normal form, the code point at which each ends)."""
+        """(the pieces of a text in normal form, the code point at which each starts)."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = self.kind[points]
         if not kind.all():
@@ -96,14 +96,18 @@ class WordCoder:
             end = at + 1 + len(tail)
             first[end[end < len(points)]] = True
         word = kind != self.SPACE
-        starts = np.flatnonzero(first[word])
-        place = np.flatnonzero(word)
-        points = points[word]
-        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        offsets = np.concatenate([[0], np.cumsum(width)])[np.append(starts, len(points))].astype(np.int64)
-        data = points.tobytes().decode("utf-32-le").encode()
-        ends = place[np.append(starts[1:], len(points)) - 1] + 1 if len(starts) else place
-        return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), ends
+        places = np.flatnonzero(first & word)
+        points, starts = points[word], np.flatnonzero(first[word])
+        del kind, first, word
+        starts = np.append(starts, len(points))
+        if len(points) and points.max() > 0x7F:
+            width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+            upto = np.cumsum(width, dtype=np.int64 if len(points) > 1 << 29 else np.int32)
+            starts = np.where(starts > 0, upto[starts - 1], 0)
+            del width, upto
+        data = points.tobytes()
+        del points
+        return pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.decode("utf-32-le").encode())), places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); null is empty."""
@@ -119,13 +123,16 @@ class WordCoder:
                     out.append(self.encode(pa.array(rows[a:b], pa.large_string())))
             return tuple(np.concatenate(x) for x in zip(*out))
         rows = [t if self.plain(t) else self.lib.normalizer.normalize_str(t) for t in rows]
-        pieces, ends = self.pieces(" ".join(rows))
+        starts = np.cumsum([0, *(len(t) + 1 for t in rows)])
+        pieces, places = self.pieces(" ".join(rows))
+        of_row = np.searchsorted(places, starts)
+        del rows, places
         met = pieces.dictionary_encode()
+        del pieces
         out = self.coded(met.dictionary).take(met.indices)
         upto = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1] >> 2 if len(out) else np.zeros(1, np.int64)
         ids = np.frombuffer(out.buffers()[2], np.uint32)[: upto[-1]] if upto[-1] else np.empty(0, np.uint32)
-        last = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1) - 1
-        return ids, np.diff(upto[np.searchsorted(ends, last, "right")], prepend=0)
+        return ids, np.diff(upto[of_row])
 
 
 def coder(path: str) -> WordCoder:
