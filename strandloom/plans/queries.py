@@ -175,7 +175,7 @@ _BCF_HEAD = [*_TYPED, '##FILTER=<ID=q10,Description="q">', *(f"##contig=<ID={p}{
 @query("""select 'rs'||cast(ord as string) as id, chrom, pos, ref, alt, cast(ord%400 as double)/4 as qual, case when ord%2=0 then 'q10' else '' end as filter, cast(ord*1000 as string) as dp, case when ord%3=0 then '0.5,.' else '-0.25' end as af, ord%5=0 as db, gt as gt_a, cast(ord%300 as string) as dp_b from sites""")
 def bcf_fields(spark, sf_dir):
     """Rows encoded as BCF records by the header's types, packed in BGZF members, and decoded again."""
-    rows = view(spark, sf_dir, "sites")
+    rows = spread(view(spark, sf_dir, "sites"))
     k = F.col("ord")
     info = F.map_concat(F.create_map(F.lit("DP"), (k * 1000).cast("string"), F.lit("AF"), F.when(k % 3 == 0, "0.5,.").otherwise("-0.25")), F.when(k % 5 == 0, F.create_map(F.lit("DB"), F.lit(""))).otherwise(F.create_map().cast("map<string,string>")))
     cell = lambda gt, dp: F.create_map(F.lit("GT"), gt, F.lit("DP"), dp)

@@ -12,7 +12,9 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
+from itertools import accumulate, pairwise
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,27 +30,35 @@ _TEXT, _MAP = pa.string(), pa.map_(pa.string(), pa.string())
 ARROW = pa.schema([("chrom", _TEXT), ("pos", pa.int64()), ("ids", pa.list_(_TEXT)), ("ref", _TEXT), ("alts", pa.list_(_TEXT)), ("qual", pa.float32()), ("filters", pa.list_(_TEXT)), ("info", _MAP), ("format", pa.list_(_TEXT)), ("samples", pa.list_(_MAP))])
 #: Fixed values of the format: type codes, their struct letters, and the values for missing and end of vector.
 KINDS = {1: ("b", -128, -127), 2: ("h", -32768, -32767), 3: ("i", -(2**31), -(2**31) + 1)}
+MOST_FLOAT = struct.unpack("<f", b"\xff\xff\x7f\x7f")[0]
 FLOAT_MISSING, FLOAT_END = b"\x01\x00\x80\x7f", b"\x02\x00\x80\x7f"
 #: Fixed value: the empty BGZF block at the end of a file.
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+#: Fixed value: the layout of a record's first fields, up to its ID.
+FIXED = struct.Struct("<IIiii4sHHI")
+
+
+@lru_cache(1 << 12)
+def _struct(form: str) -> struct.Struct:
+    return struct.Struct("<" + form)
+
+
 class _Reader:
     def __init__(self, data: bytes, at: int = 0) -> None:
         self.data, self.at = data, at
 
-    def take(self, form: str):
-        out = struct.unpack_from("<" + form, self.data, self.at)
-        self.at += struct.calcsize("<" + form)
-        return out[0] if len(out) == 1 else out
-
     def shape(self) -> tuple[int, int]:
         """(type, length) of a typed value."""
-        b = self.take("B")
+        b = self.data[self.at]
+        self.at += 1
         n = b >> 4
         if n == 15:
             kind, _ = self.shape()
-            n = self.take(KINDS[kind][0])
+            form = _struct(KINDS[kind][0])
+            n = form.unpack_from(self.data, self.at)[0]
+            self.at += form.size
         return b & 15, n
 
     def values(self, kind: int, n: int) -> list:
@@ -57,17 +67,20 @@ class _Reader:
             raw = self.data[self.at : self.at + n].rstrip(b"\0")
             self.at += n
             return [raw.decode("utf-8", "replace")] if raw not in (b"", b".") else []
-        out = []
-        for _ in range(n if kind else 0):
-            if kind == 5:
-                raw = self.data[self.at : self.at + 4]
-                v = self.take("f")
-                out.append("end" if raw == FLOAT_END else None if raw == FLOAT_MISSING else v)
-            else:
-                letter, missing, end = KINDS[kind]
-                v = self.take(letter)
-                out.append("end" if v == end else None if v == missing else v)
-        return [v for v in out if v != "end"]
+        if not kind or not n:
+            return []
+        letter, missing, end = KINDS[kind] if kind != 5 else ("f", None, None)
+        form = _struct(f"{n}{letter}")
+        at, out = self.at, form.unpack_from(self.data, self.at)
+        self.at += form.size
+        if kind == 5:
+            if all(v == v for v in out):  # marks are NaNs
+                return list(out)
+            raw = [self.data[i : i + 4] for i in range(at, self.at, 4)]
+            return [None if r == FLOAT_MISSING else v for r, v in zip(raw, out, strict=True) if r != FLOAT_END]
+        if min(out) > end:  # the marks are the two smallest
+            return list(out)
+        return [None if v == missing else v for v in out if v != end]
 
     def typed(self) -> list:
         return self.values(*self.shape())
@@ -93,7 +106,8 @@ def _show(values: list) -> str:
     return ",".join("." if v is None else f"{v:g}" if isinstance(v, float) else str(v) for v in values) or "."
 
 
-def _genotype(values: list) -> str:
+@lru_cache(1 << 12)
+def _genotype(values: tuple) -> str:
     out = ""
     for k, v in enumerate(values):
         out += ("|" if v & 1 else "/") * (k > 0) + (str((v >> 1) - 1) if v >> 1 else ".") if v is not None else ("/" if k else "") + "."
@@ -124,12 +138,9 @@ def head_of(data: bytes) -> Head | None:
 
 def record_row(data: bytes, at: int, head: Head) -> dict:
     """The row of the record at a place of unpacked bytes."""
-    shared, each = struct.unpack_from("<II", data, at)
-    r = _Reader(data, at + 8)
-    chrom, pos, _ = r.take("iii")
-    raw_qual = data[r.at : r.at + 4]
-    qual = r.take("f")
-    n_info, n_allele, sample_word = r.take("H"), r.take("H"), r.take("I")
+    shared, each, chrom, pos, _, raw_qual, n_info, n_allele, sample_word = FIXED.unpack_from(data, at)
+    r = _Reader(data, at + FIXED.size)
+    qual = _struct("f").unpack(raw_qual)[0]
     ids = r.typed()
     alleles = [(r.typed() or ["."])[0] for _ in range(n_allele)]
     filters = [head.strings[i] for i in r.typed() if i is not None]
@@ -147,7 +158,7 @@ def record_row(data: bytes, at: int, head: Head) -> dict:
         names.append(key)
         for cell in cells:
             values = r.values(kind, size)
-            cell[key] = _genotype(values) if key == "GT" and kind in KINDS else _show(values)
+            cell[key] = _genotype(tuple(values)) if key == "GT" and kind in KINDS else _show(values)
     if r.at != at + 8 + shared + each:
         raise ValueError("a record's samples and length differ")
     return {"chrom": head.contigs[chrom], "pos": pos + 1, "ids": ids[0].split(";") if ids else [], "ref": alleles[0] if alleles else "N", "alts": alleles[1:], "qual": None if raw_qual == FLOAT_MISSING else qual, "filters": filters, "info": list(info.items()), "format": names, "samples": [list(c.items()) for c in cells]}
@@ -220,7 +231,35 @@ def record_places(stream: Iterator[tuple[bool, bytes]], head: Head, from_start:
 def rows_of(stream: Iterator[tuple[bool, bytes]], head: Head, from_start: bool) -> Iterator[pa.RecordBatch]:
     for data, places in record_places(stream, head, from_start):
         for i in range(0, len(places), 2000):
-            yield pa.RecordBatch.from_pylist([record_row(data, at, head) for at in places[i : i + 2000]], ARROW)
+            rows = [record_row(data, at, head) for at in places[i : i + 2000]]
+            yield pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in ARROW], schema=ARROW)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """values without None in lists, built from their flat entries: several times as fast as entry by entry."""
+    if not pa.types.is_list(kind) and not pa.types.is_map(kind):
+        return pa.array(values, kind)
+    flat = [x for v in values for x in v]
+    offsets = pa.array(accumulate(map(len, values), initial=0), pa.int32())
+    if pa.types.is_list(kind):
+        return pa.ListArray.from_arrays(offsets, _column(flat, kind.value_type), type=kind)
+    return pa.MapArray.from_arrays(offsets, pa.array([k for k, _ in flat], kind.key_type), pa.array([v for _, v in flat], kind.item_type), type=kind)
+
+
+def _values(column: pa.Array) -> list:
+    """Entries of a column, maps as lists of pairs: what to_pylist() gives, from the flat entries."""
+    if pa.types.is_string(column.type) or pa.types.is_primitive(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not pa.types.is_list(column.type) and not pa.types.is_map(column.type):
+        return column.to_pylist()
+    offsets = column.offsets.to_pylist()
+    first, stop = offsets[0], offsets[-1]
+    if pa.types.is_list(column.type):
+        flat = _values(column.values[first:stop])
+    else:
+        flat = list(zip(_values(column.keys[first:stop]), _values(column.items[first:stop]), strict=True))
+    out = [flat[a - first : b - first] for a, b in pairwise(offsets)]
+    return [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
 
 
 def head_from(stream: Iterator[bytes]) -> Head:
@@ -319,7 +358,16 @@ def text_lines(records: DataFrame) -> DataFrame:
 
 def _int_kind(values: list[int]) -> int:
     """The narrowest type that holds values beside its reserved ones."""
-    return 1 if all(-120 <= v <= 127 for v in values) else 2 if all(-32760 <= v <= 32767 for v in values) else 3
+    low, high = min(values, default=0), max(values, default=0)
+    return 1 if low >= -120 and high <= 127 else 2 if low >= -32760 and high <= 32767 else 3
+
+
+def _holds(numbers: list[int | float | None], kind: str) -> bool:
+    """Whether the format has numbers of a type: 32 bits, of integers less the reserved ones."""
+    there = [v for v in numbers if v is not None]
+    if kind == "Integer":
+        return not there or (min(there) >= -(2**31) + 8 and max(there) < 2**31)
+    return all(not isfinite(v) or abs(v) <= MOST_FLOAT for v in there)
 
 
 def _length(n: int, kind: int) -> bytes:
@@ -329,7 +377,7 @@ def _length(n: int, kind: int) -> bytes:
 def _int_vector(values: list[int | None], kind: int, width: int) -> bytes:
     """values, None for missing, filled up to width with the end of vector."""
     letter, missing, end = KINDS[kind]
-    return struct.pack(f"<{width}{letter}", *(missing if v is None else v for v in values), *[end] * (width - len(values)))
+    return _struct(f"{width}{letter}").pack(*(missing if v is None else v for v in values), *[end] * (width - len(values)))
 
 
 def _float_vector(values: list[float | None], width: int) -> bytes:
@@ -341,6 +389,12 @@ def _typed_ints(values: list[int | None]) -> bytes:
     return _length(len(values), kind) + _int_vector(values, kind, len(values))
 
 
+@lru_cache(1 << 12)
+def _key(number: int) -> bytes:
+    """A key's number in the dictionary of strings."""
+    return _typed_ints([number])
+
+
 def _typed_text(s: str) -> bytes:
     raw = s.encode()
     return _length(len(raw), 7) + raw
@@ -364,30 +418,25 @@ def _parsed(value: str, kind: str) -> list:
 
 
 def _one(value: str, kind: str) -> bytes:
-    """A typed INFO value: a vector of numbers, text, or nothing for a flag."""
+    """A typed INFO value: a vector of numbers, text, or nothing for a flag. Numbers that the format can't hold stay whole as text; a value tells its own type."""
     if kind == "Flag" or value == "":
         return b"\x00"
-    if kind == "Integer":
-        return _typed_ints(_parsed(value, kind))
-    if kind == "Float":
-        numbers = _parsed(value, kind)
-        return _length(len(numbers), 5) + _float_vector(numbers, len(numbers))
+    if kind in ("Integer", "Float") and _holds(numbers := _parsed(value, kind), kind):
+        return _typed_ints(numbers) if kind == "Integer" else _length(len(numbers), 5) + _float_vector(numbers, len(numbers))
     return _typed_text(value)
 
 
-def genotype_codes(gt: str) -> list[int]:
+@lru_cache(1 << 12)
+def genotype_codes(gt: str) -> tuple[int, ...]:
     """Allele numbers of a GT as the format codes them: (number + 1) * 2, and 1 more for an allele that is phased with the one before."""
     marks = re.findall(r"[/|]", gt)
-    return [(0 if a in (".", "") else (int(a) + 1) << 1) | int(k > 0 and marks[k - 1] == "|") for k, a in enumerate(re.split(r"[/|]", gt))]
+    return tuple((0 if a in (".", "") else (int(a) + 1) << 1) | int(k > 0 and marks[k - 1] == "|") for k, a in enumerate(re.split(r"[/|]", gt)))
 
 
 def _each(key: str, values: list[str], kind: str) -> bytes:
-    """Type, length and one vector for each sample, all as long as the longest."""
-    if key == "GT":
-        rows = [genotype_codes(v) for v in values]
-    elif kind in ("Integer", "Float"):
-        rows = [_parsed(v, kind) for v in values]
-    else:
+    """Type, length and one vector for each sample, all as long as the longest; text for all where one sample has a number that the format can't hold."""
+    rows = [genotype_codes(v) for v in values] if key == "GT" else [_parsed(v, kind) for v in values] if kind in ("Integer", "Float") else None
+    if rows is None or key != "GT" and not all(_holds(r, kind) for r in rows):
         raw = [b"" if v == "." else v.encode() for v in values]
         width = max(map(len, raw))
         return _length(width, 7) + b"".join(x.ljust(width, b"\0") for x in raw)
@@ -416,8 +465,8 @@ def record(row: dict, contigs: dict[str, int], strings: dict[str, int], kinds: d
     filters = row.get("filters") or []
     shared += _typed_text(row.get("id") or ".") + b"".join(map(_typed_text, alleles)) + (_typed_ints([strings[f] for f in filters]) if filters else b"\x00")
     for k, v in info.items():
-        shared += _typed_ints([strings[k]]) + _one(v, kinds.get(("INFO", k), "String"))
-    each = b"".join(_typed_ints([strings[k]]) + _each(k, [c.get(k) or "." for c in cells], kinds.get(("FORMAT", k), "String")) for k in names)
+        shared += _key(strings[k]) + _one(v, kinds.get(("INFO", k), "String"))
+    each = b"".join(_key(strings[k]) + _each(k, [c.get(k) or "." for c in cells], kinds.get(("FORMAT", k), "String")) for k in names)
     return struct.pack("<II", len(shared), len(each)) + shared + each
 
 
@@ -448,7 +497,8 @@ def blocks(rows: DataFrame, header: list[str]) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
-                data = b"".join(record(r, contig_at, string_at, kinds) for r in batch.slice(i, 2000).to_pylist())
+                part = batch.slice(i, 2000)
+                data = b"".join(record(dict(zip(part.schema.names, r, strict=True)), contig_at, string_at, kinds) for r in zip(*map(_values, part.columns), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([bgzf(data)], pa.binary())], names=["data"])
 
     there = [c for c in FIELDS if c in rows.columns]

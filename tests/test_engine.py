@@ -3,6 +3,7 @@ import io
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -535,3 +536,29 @@ def test_chain_and_reference_by_build_names(spark, tmp_path):
     assert [x.split("\t")[1] for x in body(str(tmp_path / "o3"))[1:3]] == ["1", "2"] and sum(same.values()) == 199
     with pytest.raises(FileNotFoundError, match="no chain"):
         convert_file(spark, Config(calls, str(refs / "hg19.fa"), str(tmp_path / "o4"), input_build="hg38", assembly="GRCh37", **base))
+
+
+def test_bcf_numbers_beyond_their_type():
+    """Integers that 32 bits or the reserved values leave no room for, and floats beyond single precision, come back whole, beside others."""
+    head = ['##INFO=<ID=DP,Number=.,Type=Integer,Description="d">', '##INFO=<ID=AF,Number=.,Type=Float,Description="f">', '##FORMAT=<ID=DP,Number=.,Type=Integer,Description="d">', "##contig=<ID=1>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb"]
+    names, strings = bcf.dictionaries("\n".join(head))
+    numbers = {c: i for i, c in enumerate(names)}, {s: i for i, s in enumerate(strings)}
+    for dp, af in [("2147483647", "0.5"), ("2147483648", "0.5"), ("8999999000,.,-3", "1e39"), ("-2147483640", "."), ("-2147483641", ".,-1e300"), ("-2147483648", "nan"), ("-2147483647,1", "inf,.,0.25")]:
+        row = {"chrom": "1", "pos": 5, "ref": "A", "alts": ["C"], "info": [("DP", dp), ("AF", af)], "format": ["DP"], "samples": [[("DP", dp)], [("DP", ".")]]}
+        data = bcf.header_bytes(head) + bcf.record(row, *numbers, bcf.types(head))
+        got = bcf.record_row(data, bcf.head_of(data).size, bcf.head_of(data))
+        assert (got["info"], got["samples"]) == (row["info"], row["samples"])
+
+
+def test_bcf_columns_are_those_of_arrow():
+    """Columns taken apart and put together by their flat entries, cut anywhere, with nulls, empty lists and maps."""
+    rows = [{"ids": [], "info": [], "samples": [[("GT", "0/1"), ("DP", ".")], []]}, {"ids": ["a", "b"], "info": [("DP", "1")], "samples": []}, {"ids": ["c"], "info": [("AF", ""), ("DB", "x")], "samples": [[("GT", "0")]]}]
+    kinds = {f.name: f.type for f in bcf.ARROW}
+    for name in rows[0]:
+        column = pa.array([r[name] for r in rows], kinds[name])
+        assert bcf._column([r[name] for r in rows], kinds[name]).equals(column)
+        holed = pa.array([rows[0][name], None, rows[1][name], rows[2][name]], kinds[name])
+        for a in range(4):
+            for b in range(a, 5):
+                assert bcf._values(holed[a:b]) == holed[a:b].to_pylist()
+    assert bcf._values(pa.array([1.5, None], pa.float32())) == [1.5, None] and bcf._values(pa.array([3, 4])) == [3, 4]
