@@ -440,7 +440,7 @@ ORACLES["summary"] = _chain_sql("female", "select coalesce(reason, case when len
 def vcf_lines(spark, sf_dir):
     rows = dtc(spark, sf_dir).where("reason is null").withColumn("chrom", F.col("contig"))
     keys = convert.order_keys()
-    return numbered(vcf.body(rows), keys, "place", [F.col("chrom")]).select("place", "line")
+    return numbered(vcf.body(rows).select("chrom", "pos", "ord", "line"), keys, "place", [F.col("chrom")]).select("place", "line")
 
 
 ORACLES["vcf_lines"] = _chain_sql("female", """select cast(row_number() over (partition by k order by pos, rid) as bigint) as place, k||chr(9)||cast(pos as string)||chr(9)||id||chr(9)||ref||chr(9)||case when len(alts)=0 then '.' else array_to_string(list_transform(alts, lambda x: case x when 'DEL' then '<DEL>' when 'INS' then '<INS>' else x end),',') end||chr(9)||'.'||chr(9)||'.'||chr(9)||
@@ -450,7 +450,7 @@ ORACLES["vcf_lines"] = _chain_sql("female", """select cast(row_number() over (pa
 @query()
 def sort_variants(spark, sf_dir):
     rows = view(spark, sf_dir, "sites").where("chrom not like '%Un1'")
-    return numbered(rows, convert.order_keys(), "place").select("rid", "place")
+    return numbered(rows.select("rid", "chrom", "pos", "ord"), convert.order_keys(), "place").select("rid", "place")
 
 
 ORACLES["sort_variants"] = f"with sites as ({VIEWS['sites']}) select rid, cast(row_number() over (order by case replace(chrom,'chr','') when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else try_cast(replace(chrom,'chr','') as int) end, pos, ord) as bigint) as place from sites where chrom not like '%Un1'"

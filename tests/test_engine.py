@@ -579,3 +579,27 @@ def test_fasta_lines_numbered_through(spark):
             want[name] = want.get(name, "") + x.strip()
     got = {(r["contig_idx"], r["contig"], r["block"]): r["seq"] for r in text.fasta_blocks(df, 64).collect()}
     assert got == {(i, c, k // 64): want[c][k : k + 64] for i, c in enumerate("abc") for k in range(0, len(want[c]), 64)}
+
+
+def test_numbers_read_rows_once_and_halve_bounds(spark):
+    """Sample, counts and numbers come from one run of the rows, and a row's range from as many steps as the number of bounds has bits."""
+    from bisect import bisect_right
+
+    from strandloom.operators.number import last_upto, numbered
+
+    run = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            run.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).select("id", (F.col("id") * 7919 % 1000).alias("k"), F.create_map("id", F.lit("m")).alias("m"), F.when(F.col("id") % 2 == 0, "a").alias("g")).repartition(5).mapInArrow(through, "id long, k long, m map<long,string>, g string")
+    got = numbered(rows, [F.col("k"), F.col("id")], "place", [F.col("g")]).collect()
+    assert run.value == 3000
+    want = {r["id"]: i for g in ("a", None) for i, r in enumerate(sorted((r for r in got if r["g"] == g), key=lambda r: (r["k"], r["id"])), 1)}
+    assert {r["id"]: r["place"] for r in got} == want and all(r["m"] == {r["id"]: "m"} for r in got)
+    for n in (0, 1, 2, 3, 7, 8, 200):
+        bounds = [3 * i for i in range(n)]
+        found = spark.range(-2, 3 * n + 3).select("id", last_upto(F.lit(bounds) if n else F.array().cast("array<int>"), F.col("id"), max(n, 2)).alias("n")).collect()
+        assert all(r["n"] == bisect_right(bounds, r["id"]) for r in found)
